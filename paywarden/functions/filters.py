@@ -80,18 +80,23 @@ def rule_predicate(rules: list[FilterRule], institution: str, regime: str | None
     return all_of([condition(r) for r in rules if r.institution_id == institution and r.regime in (None, regime)])
 
 
-def retained(rules: list[FilterRule]) -> Column:
-    """True for the lines that the filters of their own institution and regime keep."""
+def own_predicate(rules: list[FilterRule]) -> Column:
+    """Whether a line passes the filters of its own scope; unknown where a filtered column is empty."""
     scopes = {}
     for rule in rules:
         scopes.setdefault((rule.institution_id, rule.regime), []).append(condition(rule))
-    keep = F.lit(True)
+    passes = F.lit(True)
     for (institution, regime), parts in scopes.items():
         here = F.col("institution_id") == institution
         if regime is not None:
             here &= F.col("regime") == regime
-        keep &= F.when(here, F.coalesce(all_of(parts), F.lit(False))).otherwise(True)
-    return keep
+        passes &= F.when(here, all_of(parts)).otherwise(True)
+    return passes
+
+
+def retained(rules: list[FilterRule]) -> Column:
+    """True for the lines that the filters of their own institution and regime keep."""
+    return F.coalesce(own_predicate(rules), F.lit(False))
 
 
 def in_scope(institution_id=None, regime=None, quarter=None, year=None) -> Column:

@@ -13,7 +13,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from paywarden.schema import GROSS_PARTS, MONEY, MONEY_FIELDS, Mode, Rubric, SCOPE
+from paywarden.schema import GROSS_PARTS, MONEY_FIELDS, Mode, Rubric, SCOPE
 
 BUILT_IN_COMPONENTS = {name.upper(): name for name in [*MONEY_FIELDS, "gross_pay"]}
 COEFFICIENT = "decimal(12,4)"
@@ -43,8 +43,13 @@ def period_number(quarter: str, year: int) -> int:
     return int(year) * 4 + int(quarter[1:])
 
 
-def period_column() -> Column:
-    return F.col("year") * 4 + F.substring("quarter", 2, 1).cast("int")
+def period_sql() -> str:
+    return "(year * 4 + cast(substring(quarter, 2, 1) as int))"
+
+
+def text_sql(value: str | None) -> str:
+    """A string literal."""
+    return "null" if value is None else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def component_catalog(spark: SparkSession, extra: dict[str, str] | None = None) -> DataFrame:
@@ -84,13 +89,13 @@ def new_version(existing: list[Formula], formula: Formula, components=()) -> For
     return replace(formula, terms=tuple(terms), version=max(same, default=0) + 1)
 
 
-def applies(formula: Formula) -> Column:
-    fits = period_column() >= period_number(formula.quarter, formula.year)
+def applies_sql(formula: Formula) -> str:
+    tests = [f"{period_sql()} >= {period_number(formula.quarter, formula.year)}"]
     if formula.regime:
-        fits &= F.col("regime") == formula.regime
+        tests.append(f"regime = {text_sql(formula.regime)}")
     if formula.institution_id:
-        fits &= F.col("institution_id") == formula.institution_id
-    return fits
+        tests.append(f"institution_id = {text_sql(formula.institution_id)}")
+    return " and ".join(tests)
 
 
 def candidates(formulas: list[Formula], rubric: str) -> list[Formula]:
@@ -107,66 +112,64 @@ def candidates(formulas: list[Formula], rubric: str) -> list[Formula]:
     )
 
 
+def case_sql(branches: list[tuple[str, str]], otherwise: str) -> str:
+    if not branches:
+        return otherwise
+    return "case " + " ".join(f"when {test} then {value}" for test, value in branches) + f" else {otherwise} end"
+
+
+def resolve_sql(formulas: list[Formula], rubric: str) -> str:
+    branches = [(applies_sql(f), text_sql(f.formula_id)) for f in candidates(formulas, rubric)]
+    return case_sql(branches, text_sql(DEFAULT_FORMULA.formula_id))
+
+
 def resolve_id(formulas: list[Formula], rubric: str) -> Column:
     """Id of the formula that values a line under a rubric."""
-    choice = None
-    for formula in candidates(formulas, rubric):
-        choice = (
-            F.when(applies(formula), formula.formula_id)
-            if choice is None
-            else choice.when(applies(formula), formula.formula_id)
-        )
-    default = F.lit(DEFAULT_FORMULA.formula_id)
-    return default if choice is None else choice.otherwise(default)
+    return F.expr(resolve_sql(formulas, rubric))
 
 
-def resolve_by(formulas: list[Formula], rubric_of: Column, rubrics, none: str | None = None) -> Column:
-    """Formula id where the rubric itself is a column; ``none`` where it is null."""
-    choice = F.when(rubric_of.isNull(), F.lit(none))
-    for rubric in rubrics:
-        choice = choice.when(rubric_of == rubric, resolve_id(formulas, rubric))
-    return choice.otherwise(F.lit(none))
+def resolve_by(formulas: list[Formula], rubric_column: str, rubrics, none: str | None = None) -> Column:
+    """Formula id where the rubric itself is a column; ``none`` for any other value of it."""
+    branches = [(f"{rubric_column} = {text_sql(r)}", resolve_sql(formulas, r)) for r in sorted(rubrics)]
+    return F.expr(case_sql(branches, f"cast({text_sql(none)} as string)"))
 
 
-def component_value(code: str) -> Column:
-    column = BUILT_IN_COMPONENTS.get(code)
-    value = F.col(column) if column else F.try_element_at(F.col("extra_components"), F.lit(code))
-    return F.coalesce(value, F.lit(0).cast(MONEY))
+def component_sql(code: str) -> str:
+    column = BUILT_IN_COMPONENTS.get(code) or f"try_element_at(extra_components, {text_sql(code)})"
+    return f"coalesce({column}, 0)"
 
 
-def terms_value(formula: Formula) -> Column:
-    value = F.lit(0).cast("decimal(38,6)")
-    for code, coefficient in formula.terms:
-        value = value + F.lit(Decimal(str(coefficient))).cast(COEFFICIENT) * component_value(code)
-    return value.cast(MONEY)
+def terms_sql(formula: Formula) -> str:
+    parts = [f"cast({Decimal(str(k))} as {COEFFICIENT}) * {component_sql(code)}" for code, k in formula.terms]
+    return f"cast({' + '.join(parts) or '0'} as decimal(18,2))"
+
+
+def mode_sql(formula: Formula, first: str | None) -> str:
+    if formula.mode == Mode.NO_IMPACT:
+        return "cast(0 as decimal(18,2))"
+    if first and formula.mode == Mode.EXTRA_LINES:
+        return f"if({first}, cast(0 as decimal(18,2)), {terms_sql(formula)})"
+    if first and formula.mode == Mode.ONE_PER_PERSON:
+        return f"if({first}, {terms_sql(formula)}, cast(0 as decimal(18,2)))"
+    return terms_sql(formula)
 
 
-def value_of(formula_id: Column, formulas: list[Formula], first: Column | None = None) -> Column:
-    """Amount of each line under its formula.
+def value_of(formula_column: str, formulas: list[Formula], first: str | None = None) -> Column:
+    """Amount of each line under the formula whose id a column holds.
 
-    ``first`` tells whether the line is the first of its person; without it
+    ``first`` names a boolean: the line is the first of its person. Without it
     every line has its full amount, whatever the mode.
     """
-    zero = F.lit(0).cast(MONEY)
-    choice = F.when(formula_id.isNull(), zero)
-    for formula in [DEFAULT_FORMULA, *formulas]:
-        if formula.mode == Mode.NO_IMPACT:
-            value = zero
-        elif first is not None and formula.mode == Mode.EXTRA_LINES:
-            value = F.when(first, zero).otherwise(terms_value(formula))
-        elif first is not None and formula.mode == Mode.ONE_PER_PERSON:
-            value = F.when(first, terms_value(formula)).otherwise(zero)
-        else:
-            value = terms_value(formula)
-        choice = choice.when(formula_id == formula.formula_id, value)
-    return choice.otherwise(zero)
-
-
-def mode_of(formula_id: Column, formulas: list[Formula]) -> Column:
-    choice = F.when(formula_id == NO_FORMULA, Mode.NO_IMPACT)
-    for formula in formulas:
-        choice = choice.when(formula_id == formula.formula_id, formula.mode)
-    return choice.otherwise(Mode.ALL_LINES)
+    branches = [
+        (f"{formula_column} = {text_sql(f.formula_id)}", mode_sql(f, first)) for f in [DEFAULT_FORMULA, *formulas]
+    ]
+    return F.expr(case_sql(branches, "cast(0 as decimal(18,2))"))
+
+
+def mode_of(formula_column: str, formulas: list[Formula]) -> Column:
+    branches = [(f"{formula_column} = {text_sql(NO_FORMULA)}", text_sql(Mode.NO_IMPACT))]
+    branches += [(f"{formula_column} = {text_sql(f.formula_id)}", text_sql(f.mode)) for f in formulas]
+    return F.expr(case_sql(branches, text_sql(Mode.ALL_LINES)))
 
 
 def any_ranked(formulas: list[Formula], rubrics) -> bool:
@@ -241,4 +244,4 @@ def resolve_table(lines: DataFrame, formulas: list[Formula], rubrics=Rubric.ALL)
     """Formula id of every scope present in the lines, for each rubric."""
     scopes = lines.select(*SCOPE).distinct()
     rubric = F.explode(F.array(*[F.lit(r) for r in rubrics])).alias("rubric")
-    return scopes.select(*SCOPE, rubric).withColumn("formula_id", resolve_by(formulas, F.col("rubric"), rubrics))
+    return scopes.select(*SCOPE, rubric).withColumn("formula_id", resolve_by(formulas, "rubric", rubrics))

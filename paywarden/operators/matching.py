@@ -109,16 +109,16 @@ def declared_not_paid(lines: DataFrame, declared: DataFrame) -> DataFrame:
 
 def value_matches(classified: DataFrame, formulas: list[fx.Formula], forced: fx.Formula | None = None) -> DataFrame:
     """Controlled mass and potential impact. The mass never uses a forced formula."""
-    known = [*formulas]
+    known = [*formulas, *([forced] if forced and forced not in formulas else [])]
     if forced is None:
-        rubric_formula = fx.resolve_by(formulas, F.col("status"), Match.PAY_STATUSES)
+        rubric_formula = fx.resolve_by(formulas, "status", Match.PAY_STATUSES)
     else:
         rubric_formula = F.lit(forced.formula_id)
-    first = F.col("first_line")
     return (
         classified.withColumn("formula_id", rubric_formula)
-        .withColumn("impact", fx.value_of(F.col("formula_id"), known, first))
-        .withColumn("mass", fx.value_of(fx.resolve_id(formulas, Rubric.ANY), known, first))
+        .withColumn("mass_formula_id", fx.resolve_id(formulas, Rubric.ANY))
+        .withColumn("impact", fx.value_of("formula_id", known, "first_line"))
+        .withColumn("mass", fx.value_of("mass_formula_id", formulas, "first_line"))
     )
 
 
