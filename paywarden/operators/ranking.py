@@ -58,6 +58,27 @@ def large_keys(lines: DataFrame, keys: list[str], limit: int = LARGE_KEYS, floor
     return counts.where((F.col("n") > floor) & (F.col("n") > share.scalar())).select(*keys)
 
 
+def cut_large(
+    lines: DataFrame, keys: list[str], slices: dict[str, Column], limit: int = LARGE_KEYS, floor: int = LARGE_FLOOR
+) -> DataFrame:
+    """Add the slice columns: filled for lines of large keys, null for all others, which form one slice per key."""
+    large = large_keys(lines, keys, limit, floor).withColumn("is_large", F.lit(True))
+    on_keys = [lines[k].eqNullSafe(large[k]) for k in keys]
+    marked = lines.join(F.broadcast(large), on_keys, "left").select(lines["*"], "is_large")
+    return marked.select("*", *[F.when(F.col("is_large"), c).alias(name) for name, c in slices.items()])
+
+
+def add_slice_figures(sliced: DataFrame, figures: DataFrame, keys: list[str], cuts: list[str]) -> DataFrame:
+    """Bring figures of whole slices back to their lines; lines of small keys get nulls."""
+    same = [sliced[c].eqNullSafe(figures[c]) for c in [*keys, *cuts]]
+    extra = [figures[c] for c in figures.columns if c not in (*keys, *cuts)]
+    return sliced.join(figures, same, "left").select(sliced["*"], *extra)
+
+
+def slices_before(keys: list[str], cuts: list[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def ranked(
     lines: DataFrame,
     keys: list[str],
@@ -75,25 +96,111 @@ def ranked(
     rank inside the slice plus the number of lines in earlier slices.
     """
     lead = order[: order.index(slice_of)]
-    large = large_keys(lines, keys, limit, floor).withColumn("is_large", F.lit(True))
-    on_keys = [lines[k].eqNullSafe(large[k]) for k in keys]
-    marked = lines.join(F.broadcast(large), on_keys, "left").select(lines["*"], "is_large")
-    cut = [
-        F.when(F.col("is_large"), F.col(c)).alias(f"cut_{c}") for c in lead
-    ] + [F.when(F.col("is_large"), F.floor(F.col(slice_of) / slice_rows)).alias(f"cut_{slice_of}")]
-    cut_names = [f"cut_{c}" for c in [*lead, slice_of]]
-    sliced = marked.select("*", *cut)
+    slices = {f"cut_{c}": F.col(c) for c in lead}
+    slices[f"cut_{slice_of}"] = F.floor(F.col(slice_of) / slice_rows)
+    cuts = list(slices)
+    sliced = cut_large(lines, keys, slices, limit, floor)
+    counts = sliced.where("is_large").groupBy(*keys, *cuts).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(*keys, *cuts, F.sum("n").over(slices_before(keys, cuts)).alias("lines_before"))
+    inside = Window.partitionBy(*keys, *cuts).orderBy(*order)
+    numbered = sliced.withColumn("rank_inside", F.row_number().over(inside).cast("long"))
+    rank = F.col("rank_inside") + F.coalesce("lines_before", F.lit(0))
+    return add_slice_figures(numbered, before, keys, cuts).select(*lines.columns, rank.alias(out))
 
-    slices = sliced.where("is_large").groupBy(*keys, *cut_names).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy(*keys).orderBy(*cut_names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select(*keys, *cut_names, F.sum("n").over(earlier).alias("lines_before"))
 
-    inside = Window.partitionBy(*keys, *cut_names).orderBy(*order)
-    numbered = sliced.withColumn("rank_inside", F.row_number().over(inside).cast("long"))
-    same_slice = [numbered[c].eqNullSafe(offsets[c]) for c in [*keys, *cut_names]]
-    joined = numbered.join(offsets, same_slice, "left")
-    rank = numbered["rank_inside"] + F.coalesce(offsets["lines_before"], F.lit(0))
-    return joined.select(*[numbered[c] for c in lines.columns], rank.alias(out))
+def ranked_values(
+    rows: DataFrame, keys: list[str], measure: str, width: float, limit: int = LARGE_KEYS, floor: int = LARGE_FLOOR
+) -> DataFrame:
+    """RANK and DENSE_RANK of each value of a measure per key, largest first.
+
+    Equal values are counted before they are ranked. A key with very many values
+    is cut into ranges of ``width``.
+    """
+    values = rows.groupBy(*keys, measure).agg(F.count(F.lit(1)).alias("n"))
+    cuts = ["cut_range"]
+    sliced = cut_large(values, keys, {"cut_range": -F.floor(F.col(measure) / width)}, limit, floor)
+    sums = sliced.where("is_large").groupBy(*keys, *cuts).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
+    earlier = slices_before(keys, cuts)
+    before = sums.select(
+        *keys, *cuts, F.sum("n").over(earlier).alias("rows_before"), F.sum("v").over(earlier).alias("values_before")
+    )
+    inside = Window.partitionBy(*keys, *cuts).orderBy(F.col(measure).desc_nulls_last())
+    larger = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = sliced.withColumns(
+        {"larger_rows": F.coalesce(larger, F.lit(0)), "place": F.row_number().over(inside).cast("long")}
+    )
+    none = F.lit(0)
+    return add_slice_figures(numbered, before, keys, cuts).select(
+        *keys,
+        measure,
+        (F.col("larger_rows") + F.coalesce("rows_before", none) + 1).alias("rank"),
+        (F.col("place") + F.coalesce("values_before", none)).alias("dense_rank"),
+    )
+
+
+def neighbours(
+    rows: DataFrame, keys: list[str], order: list[str], value: str, slice_of: Column,
+    limit: int = LARGE_KEYS, floor: int = LARGE_FLOOR,
+) -> DataFrame:
+    """Previous and next value per key in ``order``. At the edge of a slice they come from the next slice."""
+    cuts = ["cut_range"]
+    sliced = cut_large(rows, keys, {"cut_range": slice_of}, limit, floor)
+    at = F.struct(*order)
+    edges = sliced.where("is_large").groupBy(*keys, *cuts).agg(
+        F.min_by(F.struct(value), at).alias("head"), F.max_by(F.struct(value), at).alias("tail")
+    )
+    along = Window.partitionBy(*keys).orderBy(*cuts)
+    edges = edges.select(
+        *keys, *cuts, F.lag(f"tail.{value}").over(along).alias("edge_before"),
+        F.lead(f"head.{value}").over(along).alias("edge_after"),
+    )
+    inside = Window.partitionBy(*keys, *cuts).orderBy(*order)
+    marked = sliced.withColumns(
+        {
+            "previous": F.lag(value).over(inside),
+            "next": F.lead(value).over(inside),
+            "is_head": F.row_number().over(inside) == 1,
+            "is_tail": F.lead(F.lit(1)).over(inside).isNull(),
+        }
+    )
+    return add_slice_figures(marked, edges, keys, cuts).select(
+        *rows.columns,
+        F.when(F.col("is_head"), F.col("edge_before")).otherwise(F.col("previous")).alias("previous"),
+        F.when(F.col("is_tail"), F.col("edge_after")).otherwise(F.col("next")).alias("next"),
+    )
+
+
+def with_group_totals(rows: DataFrame, keys: list[str], measure: str) -> DataFrame:
+    """SUM and AVG over the group of each row: summed per group, then joined back, so that no group is one task's work."""
+    totals = rows.groupBy(*keys).agg(
+        F.sum(measure).alias("group_total"), F.avg(F.col(measure).cast("double")).alias("group_mean")
+    )
+    return rows.join(totals, keys)
+
+
+def exact_median(rows: DataFrame, column: str, band: float = 1e-5) -> Column:
+    """The exact median of a column as a scalar.
+
+    A quantile sketch bounds the middle from both sides. Only the values between
+    the two bounds, about 2 * band of all rows and fewer after equal values are
+    merged, are put in order; those below are just counted.
+    """
+    accuracy = int(5 / band)
+    known = rows.select(F.col(column).alias("v")).where("v is not null")
+    bounds = known.agg(
+        F.percentile_approx("v", [0.5 - band, 0.5 + band], accuracy).alias("b"), F.count(F.lit(1)).alias("n")
+    )
+    low, high = bounds.select(F.col("b")[0]).scalar(), bounds.select(F.col("b")[1]).scalar()
+    merged = known.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    below = known.where(F.col("v") < low).agg(F.count(F.lit(1))).scalar()
+    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + below
+    n = bounds.select("n").scalar()
+    placed = merged.select("v", upto.alias("upto"))
+    middle = placed.agg(
+        F.min(F.when(F.col("upto") > F.floor((n - 1) / 2), F.col("v"))).alias("lower"),
+        F.min(F.when(F.col("upto") > F.floor(n / 2), F.col("v"))).alias("upper"),
+    )
+    return middle.select((F.col("lower") + F.col("upper")) / 2).scalar()
 
 
 def count_per(lines: DataFrame, keys: list[str], out: str) -> DataFrame:

@@ -57,6 +57,8 @@ raw_pay AS (
     c_mktsegment AS category, n_name AS province,
     'G' || cast(CASE WHEN c_custkey % 8 = 0 THEN o_orderkey % 3 ELSE c_custkey % 3 END AS varchar) AS grade,
     'U' || cast(c_custkey % 9 AS varchar) AS unit,
+    'Tab_R' || substr(o_orderpriority, 1, 1) || '_T' || cast(quarter(o_orderdate) AS varchar) || '_' ||
+      cast(year(o_orderdate) AS varchar) AS source_table,
     cast(CASE WHEN c_custkey % 4 = 0 THEN c_acctbal ELSE o_totalprice END AS decimal(18,2)) AS base_pay,
     cast(c_custkey % 7 * 10 AS decimal(18,2)) AS transport, cast(c_custkey % 3 * 25 AS decimal(18,2)) AS bonus,
     cast(c_custkey % 5 * 5 AS decimal(18,2)) AS deductions
@@ -79,7 +81,18 @@ declared AS (
       quarter, year, staff_key, name_key, source_row
     FROM pay WHERE source_row % 10 = 9)
   GROUP BY agent_no, institution_id, regime, quarter, year),
-listing AS (SELECT * FROM pay WHERE institution_id <> 'IF' OR category = 'BUILDING')
+listing AS (SELECT * FROM pay WHERE institution_id <> 'IF' OR category = 'BUILDING'),
+journal AS (
+  SELECT execution_id, institution_id, regime, quarter, year, 'IMPORT_PAY' AS operation,
+    'pay_' || execution_id || '.csv' AS source_file, count(*) AS rows_loaded, 'DONE' AS status,
+    make_date(year, cast(substr(quarter, 2, 1) AS integer) * 3, 1) AS finished_on
+  FROM pay GROUP BY ALL
+  UNION ALL
+  SELECT execution_id, institution_id, regime, quarter, year, 'IMPORT_DECLARED',
+    'declared_' || institution_id || '.csv', count(*),
+    CASE WHEN year = 1995 THEN 'DELETED' ELSE 'DONE' END,
+    make_date(year, cast(substr(quarter, 2, 1) AS integer) * 3, 1)
+  FROM declared GROUP BY ALL)
 """
 
 
@@ -134,6 +147,8 @@ class Views:
             F.col("n_name").alias("province"),
             F.concat(F.lit("G"), text_of(F.when(agent % 8 == 0, F.col("o_orderkey") % 3).otherwise(agent % 3))).alias("grade"),
             F.concat(F.lit("U"), text_of(agent % 9)).alias("unit"),
+            F.concat(F.lit("Tab_R"), regime_no, F.lit("_T"), text_of(F.quarter("o_orderdate")), F.lit("_"),
+                     text_of(F.year("o_orderdate"))).alias("source_table"),
             money(F.when(agent % 4 == 0, F.col("c_acctbal")).otherwise(F.col("o_totalprice"))).alias("base_pay"),
             money(agent % 7 * 10).alias("transport"),
             money(agent % 3 * 25).alias("bonus"),
@@ -190,6 +205,25 @@ class Views:
             F.concat(F.lit("U"), (F.col("agent_no") % 9).cast("string")).alias("service"),
         )
 
+    @cached_property
+    def journal(self) -> DataFrame:
+        """One entry per import and scope; the imports of the first year are withdrawn."""
+        finished = F.make_date("year", F.substring("quarter", 2, 1).cast("int") * 3, F.lit(1))
+        entries = []
+        for lines, operation, name in (
+            (self.pay, "IMPORT_PAY", F.concat(F.lit("pay_"), "execution_id", F.lit(".csv"))),
+            (self.declared, "IMPORT_DECLARED", F.concat(F.lit("declared_"), "institution_id", F.lit(".csv"))),
+        ):
+            withdrawn = (F.col("year") == 1995) if operation == "IMPORT_DECLARED" else F.lit(False)
+            counted = lines.groupBy("execution_id", *SCOPE).agg(F.count(F.lit(1)).alias("rows_loaded"))
+            entries.append(
+                counted.select(
+                    "execution_id", *SCOPE, F.lit(operation).alias("operation"), name.alias("source_file"), "rows_loaded",
+                    F.when(withdrawn, "DELETED").otherwise("DONE").alias("status"), finished.alias("finished_on"),
+                )
+            )
+        return entries[0].unionByName(entries[1])
+
     @cached_property
     def institutions(self) -> DataFrame:
         """Official names; one institution has none."""
