@@ -1 +1,4 @@
 """Registered queries over the given tables."""
+
+from paywarden.plans import controls  # noqa: F401
+from paywarden.plans.registry import ORACLES, QUERIES  # noqa: F401
