@@ -548,15 +548,11 @@ ORDERED = """CASE WHEN status = 'IDENTICAL' THEN 1 ELSE 0 END, abs(gross_gap) DE
 
 
 @query("compare_results", f"""
-SELECT row_number() OVER (PARTITION BY {I} ORDER BY {ORDERED}) AS place, {I}, match_key, status, gross_gap FROM compared""",
-       (ANY_GAP_SQL,))
+SELECT {I}, match_key, status, gross_gap, full_name_a, full_name_b FROM compared ORDER BY {ORDERED}""", (ANY_GAP_SQL,))
 def compare_results(v):
-    """The place of each result in the ordered list of its scope."""
-    from pyspark.sql import Window
-
-    keys = ["institution_id", *PERIOD]
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*cm.result_order())).cast("long")
-    return compared(v).select(place.alias("place"), *keys, "match_key", "status", "gross_gap")
+    """All results in their order; the sort is by ranges, so no task holds a whole scope."""
+    rows = compared(v).orderBy(*cm.result_order())
+    return rows.select("institution_id", *PERIOD, "match_key", "status", "gross_gap", "full_name_a", "full_name_b")
 
 
 @query("top_gaps", f"""
