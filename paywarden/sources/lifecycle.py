@@ -186,7 +186,7 @@ def delete_rows(spark: SparkSession, path: str, schema, delete: Column) -> int:
     left = rows.join(touched.select(*SCOPE), SCOPE, "left_semi")
     remaining = kept(left, delete)
     filled = {tuple(row) for row in remaining.select(*SCOPE).distinct().collect()}
-    remaining.write.partitionBy(*SCOPE).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    writers.replace_scopes(remaining, path)
     for scope in scopes:
         if tuple(scope[c] for c in SCOPE) not in filled:
             writers.drop_partition(spark, path, scope)

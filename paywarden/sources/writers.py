@@ -39,9 +39,14 @@ def drop_partition(spark: SparkSession, path: str, scope: dict[str, object]) ->
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def by_scope(lines: DataFrame) -> DataFrame:
+    """Lines of a scope together, so that it gets few files; Spark splits a scope too large for one task."""
+    return lines.hint("rebalance", *SCOPE)
+
+
 def append_lines(lines: DataFrame, path: str) -> None:
-    """Add lines to a table, partitioned by scope. Rows of a scope go to few files."""
-    lines.write.partitionBy(*SCOPE).mode("append").parquet(path)
+    """Add lines to a table, partitioned by scope."""
+    by_scope(lines).write.partitionBy(*SCOPE).mode("append").parquet(path)
 
 
 def append_by_name(table: DataFrame, lines: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ def replace_scopes(lines: DataFrame, path: str, scopes: list[dict[str, object]]
     spark = lines.sparkSession
     for scope in scopes:
         drop_partition(spark, path, scope)
-    lines.write.partitionBy(*SCOPE).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    by_scope(lines).write.partitionBy(*SCOPE).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
