@@ -243,9 +243,9 @@ def business_filter(v):
     return v.listing.select("line_id")
 
 
-@query("filter_eq", KEEP + "province = 'FRANCE'")
+@query("filter_eq", KEEP + "province = 'NATION_7'")
 def filter_eq(v):
-    return kept(v, "province", "=", "FRANCE")
+    return kept(v, "province", "=", "NATION_7")
 
 
 @query("filter_ne", KEEP + "base_pay <> 0 AND category <> 'BUILDING'")
@@ -254,9 +254,9 @@ def filter_ne(v):
     return v.pay.where(fl.all_of([fl.condition(r) for r in rules])).select("line_id")
 
 
-@query("filter_contains", KEEP + "lower(province) LIKE '%an_a%'")
+@query("filter_contains", KEEP + "lower(province) LIKE '%ation__1%'")
 def filter_contains(v):
-    return kept(v, "province", "contains", "AN_A")
+    return kept(v, "province", "contains", "ATION__1")
 
 
 @query("filter_prefix", KEEP + "lower(last_name) LIKE 'agént x%'")
