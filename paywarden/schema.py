@@ -68,6 +68,8 @@ DECLARED_LINE = T.StructType(
     ]
 )
 
+SCOPE_LAYOUT = T.StructType([PAY_LINE[name] for name in SCOPE])
+
 # Normalised identifiers that stand for "no identifier".
 UNUSABLE_KEYS = ["", "NU"]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,11 @@ def build_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf) -> S
     return session
 
 
+@lru_cache(maxsize=1)
+def local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="paywarden-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for written intermediate tables.
 
@@ -37,6 +43,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder that every executor can reach.")
-        shared = tempfile.mkdtemp(prefix="paywarden-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = local_scratch()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

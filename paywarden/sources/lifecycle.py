@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paywarden.functions.filters import in_scope
-from paywarden.schema import DECLARED_LINE, PAY_LINE, SCOPE
+from paywarden.schema import DECLARED_LINE, PAY_LINE, SCOPE, SCOPE_LAYOUT
 from paywarden.sources import mapping as mp, writers
 
 IMPORT_PAY, IMPORT_DECLARED = "IMPORT_PAY", "IMPORT_DECLARED"
@@ -251,7 +251,7 @@ def delete_scope(spark: SparkSession, store: Store, scope: dict[str, object]) ->
     for name, path in (("results", store.results), ("pay", store.pay), ("declared", store.declared)):
         counts[name] = 0
         if writers.exists(spark, path):
-            counts[name] = spark.read.parquet(path).where(here).count()
+            counts[name] = writers.read_lines(spark, path, SCOPE_LAYOUT).where(here).count()
             writers.drop_partition(spark, path, scope)
     return counts
 
