@@ -120,7 +120,7 @@ def t_count_distinct(v):
     """Distinct values are counted by two aggregations, so that no task sees them all."""
     rows = v.table("lineitem")
     count = lambda c: rows.select(c).distinct().agg(F.count(c)).scalar()
-    return rows.limit(1).select(count("l_partkey").alias("parts"), count("l_suppkey").alias("suppliers"))
+    return v.spark.range(1).select(count("l_partkey").alias("parts"), count("l_suppkey").alias("suppliers"))
 
 
 CENTS = "cast(round({0} * 100) AS bigint)"

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from paywarden.functions.filters import FilterRule, retained
 from paywarden.functions.formulas import Formula
 from paywarden.functions.text import normalise
-from paywarden.schema import GROSS_PARTS, MONEY, Mode, Rubric, SCOPE
+from paywarden.schema import GROSS_PARTS, MONEY, Mode, PERIOD, Rubric, SCOPE
+from paywarden.session import scratch_path
 
 RULES = [FilterRule("category", "=", "BUILDING", institution_id="IF")]
 
@@ -101,8 +102,17 @@ def with_views(body: str, *more: str) -> str:
     return "WITH " + ",\n".join([PAY_SQL.strip(), *[m.strip() for m in more]]) + "\n" + body
 
 
+#: Tables written in this session: (application, folder, name) to path.
+WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 class Views:
-    """The given tables of one folder and the lines derived from them."""
+    """The given tables of one folder and the lines derived from them.
+
+    Listings are standardised once and analysed many times, so the standard
+    tables are written once per session, one folder per period, and every
+    analysis starts from a scan that reads only the columns and periods it needs.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -111,6 +121,24 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def written(self, name: str, rows: DataFrame) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in WRITTEN:
+            path = scratch_path(self.spark, name)
+            rows.hint("rebalance", *PERIOD).write.partitionBy(*PERIOD).parquet(path)
+            WRITTEN[key] = path
+        return self.spark.read.schema(rows.schema).parquet(WRITTEN[key]).select(*rows.columns)
+
+    @cached_property
+    def pay(self) -> DataFrame:
+        """Standard pay lines."""
+        return self.written("pay_line", self.standard_pay)
+
+    @cached_property
+    def declared(self) -> DataFrame:
+        """Standard declared lines."""
+        return self.written("declared_line", self.standard_declared)
+
     @cached_property
     def raw_pay(self) -> DataFrame:
         """Listing lines as they would arrive: text identifiers, names and amounts."""
@@ -156,8 +184,7 @@ class Views:
         )
 
     @cached_property
-    def pay(self) -> DataFrame:
-        """Standard pay lines."""
+    def standard_pay(self) -> DataFrame:
         gross = (F.col("base_pay") + F.col("transport") + F.col("bonus")).cast(MONEY)
         zero = F.lit(0).cast(MONEY)
         columns = self.raw_pay.columns
@@ -178,8 +205,7 @@ class Views:
         return self.pay.where(retained(RULES))
 
     @cached_property
-    def declared(self) -> DataFrame:
-        """Standard declared lines."""
+    def standard_declared(self) -> DataFrame:
         base = self.pay.select("agent_no", *SCOPE, "staff_key", "name_key", "source_row")
         slot = F.col("source_row") % 10
         next_regime = F.concat(F.lit("R"), (F.substring("regime", 2, 1).cast("int") % 5 + 1).cast("string"))
