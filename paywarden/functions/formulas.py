@@ -1,9 +1,11 @@
 """Versioned impact formulas, compiled to Column expressions.
 
-Formulas are configuration. For a given rubric their order of precedence does
-not depend on the data, so the formula of a line is the first one, in that
-order, whose institution, regime and starting period fit. This is a CASE
-expression: no join, no shuffle and nothing to broadcast.
+Formulas are configuration. In a fixed order of precedence, the formula of a
+line is the first one whose rubric, institution, regime and starting period
+fit: one CASE with a branch per formula. Its amount is another CASE with a
+branch per distinct list of terms. There is no join, no shuffle and nothing to
+broadcast, and the generated code does not grow with the product of formulas and
+rubrics.
 """
 
 from __future__ import annotations
@@ -43,8 +45,11 @@ def period_number(quarter: str, year: int) -> int:
     return int(year) * 4 + int(quarter[1:])
 
 
-def period_sql() -> str:
-    return "(year * 4 + cast(substring(quarter, 2, 1) as int))"
+def started_sql(quarter: str, year: int) -> str:
+    """The period of a line is not before this one. Quarters compare as text, which keeps the test small."""
+    if quarter == QUARTERS[0]:
+        return f"year >= {int(year)}"
+    return f"(year > {int(year)} or (year = {int(year)} and quarter >= {text_sql(quarter)}))"
 
 
 def text_sql(value: str | None) -> str:
@@ -90,24 +95,22 @@ def new_version(existing: list[Formula], formula: Formula, components=()) -> For
 
 
 def applies_sql(formula: Formula) -> str:
-    tests = [f"{period_sql()} >= {period_number(formula.quarter, formula.year)}"]
+    tests = []
     if formula.regime:
         tests.append(f"regime = {text_sql(formula.regime)}")
     if formula.institution_id:
         tests.append(f"institution_id = {text_sql(formula.institution_id)}")
-    return " and ".join(tests)
+    return " and ".join([*tests, started_sql(formula.quarter, formula.year)])
 
 
-def candidates(formulas: list[Formula], rubric: str) -> list[Formula]:
-    """Formulas that can serve a rubric, best first: institution, exact rubric, latest start, version."""
-    able = [f for f in formulas if f.active and f.rubric in (rubric, Rubric.ANY)]
+def precedence(formulas: list[Formula]) -> list[Formula]:
+    """Active formulas, best first: own institution, exact rubric, latest start, latest version.
+
+    Formulas for different rubrics exclude each other, so one order serves all rubrics.
+    """
     return sorted(
-        able,
-        key=lambda f: (
-            (4 if f.institution_id else 2) + (1 if f.rubric == rubric else 0),
-            period_number(f.quarter, f.year),
-            f.version,
-        ),
+        (f for f in formulas if f.active),
+        key=lambda f: (bool(f.institution_id), f.rubric != Rubric.ANY, period_number(f.quarter, f.year), f.version),
         reverse=True,
     )
 
@@ -118,58 +121,80 @@ def case_sql(branches: list[tuple[str, str]], otherwise: str) -> str:
     return "case " + " ".join(f"when {test} then {value}" for test, value in branches) + f" else {otherwise} end"
 
 
-def resolve_sql(formulas: list[Formula], rubric: str) -> str:
-    branches = [(applies_sql(f), text_sql(f.formula_id)) for f in candidates(formulas, rubric)]
-    return case_sql(branches, text_sql(DEFAULT_FORMULA.formula_id))
-
-
 def resolve_id(formulas: list[Formula], rubric: str) -> Column:
     """Id of the formula that values a line under a rubric."""
-    return F.expr(resolve_sql(formulas, rubric))
+    able = [f for f in precedence(formulas) if f.rubric in (rubric, Rubric.ANY)]
+    branches = [(applies_sql(f), text_sql(f.formula_id)) for f in able]
+    return F.expr(case_sql(branches, text_sql(DEFAULT_FORMULA.formula_id)))
 
 
 def resolve_by(formulas: list[Formula], rubric_column: str, rubrics, none: str | None = None) -> Column:
-    """Formula id where the rubric itself is a column; ``none`` for any other value of it."""
-    branches = [(f"{rubric_column} = {text_sql(r)}", resolve_sql(formulas, r)) for r in sorted(rubrics)]
-    return F.expr(case_sql(branches, f"cast({text_sql(none)} as string)"))
+    """Formula id where the rubric itself is a column; ``none`` where that is none of the rubrics."""
+    known = ", ".join(text_sql(r) for r in sorted(rubrics))
+    branches = [(f"{rubric_column} is null or {rubric_column} not in ({known})", f"cast({text_sql(none)} as string)")]
+    for formula in precedence(formulas):
+        test = applies_sql(formula)
+        if formula.rubric != Rubric.ANY:
+            test = f"{rubric_column} = {text_sql(formula.rubric)} and {test}"
+        branches.append((test, text_sql(formula.formula_id)))
+    return F.expr(case_sql(branches, text_sql(DEFAULT_FORMULA.formula_id)))
 
 
-def component_sql(code: str) -> str:
+def lookup_sql(values: list[str], number: str) -> str:
+    """The value of a formula in an array with one constant per formula."""
+    return f"get(array({', '.join(values)}), {number} - 1)"
+
+
+def number_sql(formula_column: str, formulas: list[Formula]) -> str:
+    ids = ", ".join(text_sql(f.formula_id) for f in [DEFAULT_FORMULA, *formulas])
+    return f"cast(array_position(array({ids}), {formula_column}) as int)"
+
+
+def term_sql(code: str, coefficient: float) -> str:
     column = BUILT_IN_COMPONENTS.get(code) or f"try_element_at(extra_components, {text_sql(code)})"
-    return f"coalesce({column}, 0)"
+    value = f"coalesce({column}, 0)"
+    # Adding money is quick; a product of decimals is not, so plain sums go without one.
+    if coefficient in (1, -1):
+        return value if coefficient == 1 else f"(- {value})"
+    return f"cast({Decimal(str(coefficient))} as {COEFFICIENT}) * {value}"
 
 
-def terms_sql(formula: Formula) -> str:
-    parts = [f"cast({Decimal(str(k))} as {COEFFICIENT}) * {component_sql(code)}" for code, k in formula.terms]
-    return f"cast({' + '.join(parts) or '0'} as decimal(18,2))"
+def terms_sql(terms) -> str:
+    return f"cast({' + '.join(term_sql(code, k) for code, k in terms) or '0'} as decimal(18,2))"
 
 
-def mode_sql(formula: Formula, first: str | None) -> str:
-    if formula.mode == Mode.NO_IMPACT:
-        return "cast(0 as decimal(18,2))"
-    if first and formula.mode == Mode.EXTRA_LINES:
-        return f"if({first}, cast(0 as decimal(18,2)), {terms_sql(formula)})"
-    if first and formula.mode == Mode.ONE_PER_PERSON:
-        return f"if({first}, {terms_sql(formula)}, cast(0 as decimal(18,2)))"
-    return terms_sql(formula)
+def counts_sql(modes: tuple[str, ...], book: list[Formula], number: str) -> str:
+    return lookup_sql(["true" if f.mode in modes else "false" for f in book], number)
 
 
-def value_of(formula_column: str, formulas: list[Formula], first: str | None = None) -> Column:
-    """Amount of each line under the formula whose id a column holds.
+def with_value(
+    rows: DataFrame, formulas: list[Formula], out: str, formula_column: str = "formula_id", first: str | None = None
+) -> DataFrame:
+    """Add the amount of each line under the formula whose id a column holds.
 
     ``first`` names a boolean: the line is the first of its person. Without it
-    every line has its full amount, whatever the mode.
+    every line has its full amount, whatever the mode. The steps are projections
+    of their own: the number of the formula, the number of its list of terms if
+    the line counts, and one branch per list.
     """
-    branches = [
-        (f"{formula_column} = {text_sql(f.formula_id)}", mode_sql(f, first)) for f in [DEFAULT_FORMULA, *formulas]
-    ]
-    return F.expr(case_sql(branches, "cast(0 as decimal(18,2))"))
+    book = [DEFAULT_FORMULA, *formulas]
+    sums = list(dict.fromkeys(f.terms for f in book))
+    counts = counts_sql((Mode.ALL_LINES, *Mode.RANKED), book, "formula_number")
+    if first:
+        of_first = counts_sql((Mode.ALL_LINES, Mode.ONE_PER_PERSON), book, "formula_number")
+        of_rest = counts_sql((Mode.ALL_LINES, Mode.EXTRA_LINES), book, "formula_number")
+        counts = f"if({first}, {of_first}, {of_rest})"
+    which = lookup_sql([str(sums.index(f.terms)) for f in book], "formula_number")
+    amount = case_sql([(f"terms_number = {i}", terms_sql(t)) for i, t in enumerate(sums) if t], "cast(0 as decimal(18,2))")
+    numbered = rows.select("*", F.expr(number_sql(formula_column, formulas)).alias("formula_number"))
+    chosen = numbered.select("*", F.expr(f"if({counts}, {which}, null)").alias("terms_number"))
+    return chosen.select(*[c for c in rows.columns if c != out], F.expr(amount).alias(out))
 
 
 def mode_of(formula_column: str, formulas: list[Formula]) -> Column:
-    branches = [(f"{formula_column} = {text_sql(NO_FORMULA)}", text_sql(Mode.NO_IMPACT))]
-    branches += [(f"{formula_column} = {text_sql(f.formula_id)}", text_sql(f.mode)) for f in formulas]
-    return F.expr(case_sql(branches, text_sql(Mode.ALL_LINES)))
+    modes = [text_sql(f.mode) for f in [DEFAULT_FORMULA, *formulas]]
+    known = lookup_sql(modes, number_sql(formula_column, formulas))
+    return F.expr(f"coalesce({known}, {text_sql(Mode.NO_IMPACT)})")
 
 
 def any_ranked(formulas: list[Formula], rubrics) -> bool:

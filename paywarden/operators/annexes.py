@@ -100,17 +100,17 @@ def validation(rows: DataFrame) -> DataFrame:
 
 def first_per(rows: DataFrame, key: str, order: list[str] = LINE_ORDER) -> DataFrame:
     """The first line of each key of a scope."""
-    return first_by(rows.where(valid(key)), [*SCOPE, key], order)
+    return first_by(rows.where(valid(key)), [key, *SCOPE], order)
 
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
     """All lines of the keys that occur more than once in a scope."""
-    return repeated(rows.where(valid(key)), [*SCOPE, key])
+    return repeated(rows.where(valid(key)), [key, *SCOPE])
 
 
 def shared_once(rows: DataFrame, key: str, order: list[str] = LINE_ORDER) -> DataFrame:
     """The first line of each key that occurs more than once; one aggregation."""
-    return first_by(rows.where(valid(key)), [*SCOPE, key], order, min_rows=2)
+    return first_by(rows.where(valid(key)), [key, *SCOPE], order, min_rows=2)
 
 
 # --- comparisons ---------------------------------------------------------------------
@@ -122,7 +122,7 @@ def declared_keys(declared: DataFrame, key: str) -> DataFrame:
 
 def present(listing: DataFrame, declared: DataFrame, key: str) -> DataFrame:
     """Paid lines of the listing whose key is declared in the same scope."""
-    return listing.where(valid(key) & paid_something()).join(declared_keys(declared, key), [*SCOPE, key], "left_semi")
+    return listing.where(valid(key) & paid_something()).join(declared_keys(declared, key), [key, *SCOPE], "left_semi")
 
 
 def undeclared(listing: DataFrame, declared: DataFrame, key: str) -> DataFrame:
@@ -130,7 +130,7 @@ def undeclared(listing: DataFrame, declared: DataFrame, key: str) -> DataFrame:
     keys = declared_keys(declared, key).withColumnRenamed(key, "key_join")
     spread = spread_key(F.col(key), valid(key), F.col("line_id"))
     paid = listing.where(paid_something()).withColumn("key_join", spread)
-    return paid.join(keys, [*SCOPE, "key_join"], "left_anti").drop("key_join")
+    return paid.join(keys, ["key_join", *SCOPE], "left_anti").drop("key_join")
 
 
 def elsewhere(lines: DataFrame, declared: DataFrame, rules: list[FilterRule], key: str) -> DataFrame:
@@ -141,10 +141,10 @@ def elsewhere(lines: DataFrame, declared: DataFrame, rules: list[FilterRule], ke
     institution.
     """
     listed = lines.where(retained(rules) & valid(key)).select(*SCOPE, key).distinct()
-    cohort = declared_keys(declared, key).join(listed, [*SCOPE, key], "left_semi")
+    cohort = declared_keys(declared, key).join(listed, [key, *SCOPE], "left_semi")
     cohort = cohort.withColumnRenamed("institution_id", "control_institution")
     outside = lines.where(valid(key)).withColumn("passes_own", own_predicate(rules))
-    found = outside.join(cohort, ["regime", "quarter", "year", key])
+    found = outside.join(cohort, [key, "regime", "quarter", "year"])
     same = F.col("institution_id") == F.col("control_institution")
     kept = found.where(F.when(same, ~F.col("passes_own")).otherwise(True))
     return (
@@ -163,9 +163,9 @@ def with_impact(rows: DataFrame, formulas: list[fx.Formula], annex: Annex) -> Da
         return rows.withColumns({"formula_id": F.lit(fx.NO_FORMULA), "impact": F.lit(0).cast(MONEY)})
     valued = rows.withColumn("formula_id", fx.resolve_id(formulas, annex.rubric))
     if fx.any_ranked(formulas, [annex.rubric]):
-        valued = flag_first(valued, [*SCOPE, annex.rank_key], identity=[*SCOPE, "line_id"])
-        return valued.withColumn("impact", fx.value_of("formula_id", formulas, "first_line")).drop("first_line")
-    return valued.withColumn("impact", fx.value_of("formula_id", formulas))
+        valued = flag_first(valued, [annex.rank_key, *SCOPE], identity=["line_id", *SCOPE])
+        return fx.with_value(valued, formulas, "impact", first="first_line").drop("first_line")
+    return fx.with_value(valued, formulas, "impact")
 
 
 def annex_person(annex: Annex, line_id: str = "line_id") -> Column:
@@ -178,7 +178,7 @@ def annex_people(rows: DataFrame, annex: Annex, order: list[str] = LINE_ORDER) -
     """One representative line per person concerned by an annex."""
     line_id = order[-1]
     keyed = rows.withColumn("concerned", annex_person(annex, line_id))
-    return first_by(keyed, [*SCOPE, "concerned"], order)
+    return first_by(keyed, ["concerned", *SCOPE], order)
 
 
 def annex(name: str, lines: DataFrame, declared: DataFrame, rules: list[FilterRule], formulas: list[fx.Formula]) -> DataFrame:
@@ -227,14 +227,14 @@ def key_figures(listing: DataFrame, declared: DataFrame, key: str, prefix: str)
     """
     order = F.struct(*LINE_ORDER)
     doubtful = ~usable_id(F.col(ID)) | ~has_name(F.col(NAME))
-    figures = listing.groupBy(*SCOPE, key).agg(
+    figures = listing.groupBy(key, *SCOPE).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(order).alias("head"),
         F.min(F.when(paid_something(), order)).alias("head_pos"),
         F.min(F.when(doubtful, order)).alias("head_val"),
     )
     known = declared_keys(declared, key).withColumn("is_declared", F.lit(True))
-    joined = figures.join(known, [*SCOPE, key], "left")
+    joined = figures.join(known, [key, *SCOPE], "left")
     heads = [F.col(f"{h}.line_id").alias(f"{prefix}_{h}") for h in ("head", "head_pos", "head_val")]
     flat = joined.select(
         *SCOPE, key, *heads,
@@ -253,8 +253,8 @@ def annotate(listing: DataFrame, declared: DataFrame) -> DataFrame:
     keyed = listing.withColumns(
         {"id_join": spread_key(staff, usable_id(staff), line), "name_join": spread_key(name, has_name(name), line)}
     )
-    rows = keyed.join(key_figures(listing, declared, ID, "id"), [*SCOPE, "id_join"], "left")
-    rows = rows.join(key_figures(listing, declared, NAME, "name"), [*SCOPE, "name_join"], "left")
+    rows = keyed.join(key_figures(listing, declared, ID, "id"), ["id_join", *SCOPE], "left")
+    rows = rows.join(key_figures(listing, declared, NAME, "name"), ["name_join", *SCOPE], "left")
     flags = {}
     for prefix in ("id", "name"):
         for head in ("head", "head_pos", "head_val"):
@@ -264,94 +264,114 @@ def annotate(listing: DataFrame, declared: DataFrame) -> DataFrame:
     return rows.withColumns(flags).drop("id_join", "name_join")
 
 
-def membership() -> dict[str, tuple[Column, Column]]:
-    """Per annex of the listing: whether a line is in it, and whether it is the first of its rank key there."""
+#: First-line flags of an annotated line. A rank counts inside its annex, so each annex names the flag that holds there.
+ALWAYS, ID_HEAD, NAME_HEAD, NAME_HEAD_VAL, ID_HEAD_POS, NAME_HEAD_POS = range(6)
+
+
+def membership() -> dict[str, tuple[Column, int]]:
+    """Per annex of the listing: whether a line is in it, and its first-line flag there."""
     col, yes = F.col, F.lit(True)
     has_id, named, paid = usable_id(col(ID)), has_name(col(NAME)), paid_something()
     return {
-        "listing": (yes, col("name_head")),
-        "identifiers": (yes, col("name_head")),
-        "missing_id": (~has_id, col("id_head")),
-        "validation": (~has_id | ~named, col("name_head_val")),
-        "first_id": (has_id & col("id_head"), yes),
-        "dup_id": (col("id_lines") > 1, col("id_head")),
-        "shared_id": ((col("id_lines") > 1) & col("id_head"), yes),
-        "first_name": (named & col("name_head"), yes),
-        "dup_name": (col("name_lines") > 1, col("name_head")),
-        "shared_name": ((col("name_lines") > 1) & col("name_head"), yes),
-        "present_id": (paid & col("id_declared"), col("id_head_pos")),
-        "undeclared_id": (paid & ~col("id_declared"), col("id_head_pos")),
-        "present_name": (paid & col("name_declared"), col("name_head_pos")),
-        "undeclared_name": (paid & ~col("name_declared"), col("name_head_pos")),
+        "listing": (yes, NAME_HEAD),
+        "identifiers": (yes, NAME_HEAD),
+        "missing_id": (~has_id, ID_HEAD),
+        "validation": (~has_id | ~named, NAME_HEAD_VAL),
+        "first_id": (has_id & col("id_head"), ALWAYS),
+        "dup_id": (col("id_lines") > 1, ID_HEAD),
+        "shared_id": ((col("id_lines") > 1) & col("id_head"), ALWAYS),
+        "first_name": (named & col("name_head"), ALWAYS),
+        "dup_name": (col("name_lines") > 1, NAME_HEAD),
+        "shared_name": ((col("name_lines") > 1) & col("name_head"), ALWAYS),
+        "present_id": (paid & col("id_declared"), ID_HEAD_POS),
+        "undeclared_id": (paid & ~col("id_declared"), ID_HEAD_POS),
+        "present_name": (paid & col("name_declared"), NAME_HEAD_POS),
+        "undeclared_name": (paid & ~col("name_declared"), NAME_HEAD_POS),
     }
 
 
-def exploded(rows: DataFrame, members: dict[str, tuple[Column, Column]], line_id: str, carried: list[str]) -> DataFrame:
-    """One row per line and annex it belongs to."""
-    entries = [
-        F.when(
-            member,
-            F.struct(
-                F.lit(name).alias("annex"),
-                F.lit(BY_NAME[name].family).alias("family"),
-                F.lit(BY_NAME[name].rubric).cast("string").alias("rubric"),
-                first.alias("first_line"),
-                annex_person(BY_NAME[name], line_id).alias("concerned"),
-            ),
-        )
-        for name, (member, first) in members.items()
-    ]
-    entry = F.explode(F.array_compact(F.array(*entries)))
-    return rows.select(*SCOPE, *carried, entry.alias("entry")).select(*SCOPE, *carried, "entry.*")
+def constant(values: list) -> Column:
+    return F.array(*[F.lit(v).cast("string") if v is None else F.lit(v) for v in values])
+
+
+def exploded(
+    rows: DataFrame, members: dict[str, tuple[Column, int]], flags: list[Column], line_id: str, carried: list[str]
+) -> DataFrame:
+    """One row per line and annex it belongs to, with family, rubric, first-line flag and person.
+
+    Only the number of the annex is exploded; everything about it is looked up by
+    that number, which keeps the generated code small.
+    """
+    names = list(members)
+    numbers = F.array_compact(F.array(*[F.when(member, F.lit(i)) for i, (member, _) in enumerate(members.values())]))
+    people = F.array(person_key(F.col(ID), F.col(NAME), F.col(line_id)), F.col(ID), F.col(NAME))
+    entries = rows.select(
+        *SCOPE, *carried, F.array(F.lit(True), *flags).alias("firsts"), people.alias("people"), F.explode(numbers).alias("no")
+    )
+    about = [BY_NAME[name] for name in names]
+    kinds = {PERSON: 0, ID: 1, NAME: 2}
+    look_up = lambda values: F.get(constant(values), F.col("no"))
+    return entries.select(
+        *SCOPE,
+        *carried,
+        look_up(names).alias("annex"),
+        look_up([a.family for a in about]).alias("family"),
+        look_up([a.rubric for a in about]).alias("rubric"),
+        F.get("firsts", look_up([flag for _, flag in members.values()])).alias("first_line"),
+        F.get("people", look_up([kinds[a.person] for a in about])).alias("concerned"),
+    )
+
+
+#: Flags of a line found elsewhere.
+FIRST, FIRST_POS = 1, 2
 
 
-def elsewhere_members(key: str) -> dict[str, tuple[Column, Column]]:
+def elsewhere_members(key: str) -> dict[str, tuple[Column, int]]:
     kind, paid = ("id" if key == ID else "name"), paid_something()
     return {
-        f"elsewhere_{kind}": (F.lit(True), F.col("first_line")),
-        f"elsewhere_{kind}_pos": (paid, F.col("first_pos")),
-        f"paid_elsewhere_{kind}": (paid, F.col("first_pos")),
+        f"elsewhere_{kind}": (F.lit(True), FIRST),
+        f"elsewhere_{kind}_pos": (paid, FIRST_POS),
+        f"paid_elsewhere_{kind}": (paid, FIRST_POS),
     }
 
 
+def flag_elsewhere(rows: DataFrame, key: str) -> DataFrame:
+    """First lines among all lines found elsewhere and among the paid ones.
+
+    The flags come back by line id, one row per first line, so a large key does
+    not reach the join.
+    """
+    order = F.struct(*LINE_ORDER)
+    firsts = rows.groupBy(key, *SCOPE).agg(
+        F.min(order).alias("a"), F.min(F.when(paid_something(), order)).alias("p")
+    )
+    both = F.col("a.line_id") == F.col("p.line_id")
+    entry = lambda line, first, pos: F.struct(
+        F.col(line).alias("line_id"), F.lit(first).alias("first_line"), pos.alias("first_pos")
+    )
+    entries = F.array(
+        entry("a.line_id", True, F.coalesce(both, F.lit(False))),
+        F.when(~both, entry("p.line_id", False, F.lit(True))),
+    )
+    marks = firsts.select(*SCOPE, F.inline(F.array_compact(entries)))
+    marked = rows.join(marks, ["line_id", *SCOPE], "left")
+    return marked.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("first_line", "first_pos")})
+
+
 def pack_entries(lines: DataFrame, declared: DataFrame, rules: list[FilterRule], formulas: list[fx.Formula]) -> DataFrame:
     """Every (annex, line) of the pack with its person and impact."""
-    money = [c for c in dict.fromkeys([*fx.BUILT_IN_COMPONENTS.values(), "extra_components"]) if c in lines.columns]
-    listing = lines.where(retained(rules))
-    entries = exploded(annotate(listing, declared), membership(), "line_id", money)
+    money = [c for c in [*fx.BUILT_IN_COMPONENTS.values(), "extra_components"] if c in lines.columns]
+    col = F.col
+    flags = [col("id_head"), col("name_head"), col("name_head_val"), col("id_head_pos"), col("name_head_pos")]
+    entries = exploded(annotate(lines.where(retained(rules)), declared), membership(), flags, "line_id", money)
     for key in (ID, NAME):
         rows = elsewhere(lines, declared, rules, key)
+        flags = [F.lit(False), F.lit(False)]
         if fx.any_ranked(formulas, [Rubric.PAID_ELSEWHERE]):
-            identity = [*SCOPE, "line_id"]
-            firsts = rows.groupBy(*SCOPE, key).agg(
-                F.min(F.struct(*LINE_ORDER)).alias("a"), F.min(F.when(paid_something(), F.struct(*LINE_ORDER))).alias("p")
-            )
-            # One row per first line, by line id: a large key does not reach this join.
-            flags = firsts.select(
-                *SCOPE,
-                F.inline(
-                    F.array_compact(
-                        F.array(
-                            F.struct(F.col("a.line_id").alias("line_id"), F.lit(True).alias("first_line"),
-                                     F.coalesce(F.col("a.line_id") == F.col("p.line_id"), F.lit(False)).alias("first_pos")),
-                            F.when(
-                                F.col("p.line_id") != F.col("a.line_id"),
-                                F.struct(F.col("p.line_id").alias("line_id"), F.lit(False).alias("first_line"),
-                                         F.lit(True).alias("first_pos")),
-                            ),
-                        )
-                    )
-                ),
-            )
-            rows = rows.join(flags, identity, "left").withColumns(
-                {c: F.coalesce(c, F.lit(False)) for c in ("first_line", "first_pos")}
-            )
-        else:
-            rows = rows.withColumns({"first_line": F.lit(False), "first_pos": F.lit(False)})
-        entries = entries.unionByName(exploded(rows, elsewhere_members(key), "line_id", money))
-    valued = entries.withColumn("formula_id", fx.resolve_by(formulas, "rubric", Rubric.ALL, fx.NO_FORMULA)).withColumn(
-        "impact", fx.value_of("formula_id", formulas, "first_line")
-    )
+            rows, flags = flag_elsewhere(rows, key), [col("first_line"), col("first_pos")]
+        entries = entries.unionByName(exploded(rows, elsewhere_members(key), flags, "line_id", money))
+    resolved = entries.withColumn("formula_id", fx.resolve_by(formulas, "rubric", Rubric.ALL, fx.NO_FORMULA))
+    valued = fx.with_value(resolved, formulas, "impact", first="first_line")
     return valued.select(*SCOPE, "annex", "family", "concerned", "impact").unionByName(declared_entries(declared))
 
 
@@ -359,7 +379,7 @@ def declared_entries(declared: DataFrame) -> DataFrame:
     line = F.col("declared_id")
     rows = declared
     for key, prefix in ((ID, "id"), (NAME, "name")):
-        figures = declared.where(valid(key)).groupBy(*SCOPE, key).agg(
+        figures = declared.where(valid(key)).groupBy(key, *SCOPE).agg(
             F.count(F.lit(1)).alias(f"{prefix}_lines"), F.min(F.struct(*DECLARED_ORDER)).alias("h")
         )
         figures = figures.select(
@@ -367,16 +387,16 @@ def declared_entries(declared: DataFrame) -> DataFrame:
         )
         rows = rows.withColumn(f"{prefix}_join", spread_key(F.col(key), valid(key), line))
         rows = rows.join(figures, [*SCOPE, f"{prefix}_join"], "left")
-    yes, col = F.lit(True), F.col
-    members = {
-        "declared": (yes, yes),
-        "declared_missing_id": (~usable_id(col(ID)), yes),
-        "declared_first_id": (col("id_head") == line, yes),
-        "declared_dup_id": (col("id_lines") > 1, yes),
-        "declared_first_name": (col("name_head") == line, yes),
-        "declared_dup_name": (col("name_lines") > 1, yes),
+    col = F.col
+    tests = {
+        "declared": F.lit(True),
+        "declared_missing_id": ~usable_id(col(ID)),
+        "declared_first_id": col("id_head") == line,
+        "declared_dup_id": col("id_lines") > 1,
+        "declared_first_name": col("name_head") == line,
+        "declared_dup_name": col("name_lines") > 1,
     }
-    entries = exploded(rows, members, "declared_id", [])
+    entries = exploded(rows, {name: (test, ALWAYS) for name, test in tests.items()}, [], "declared_id", [])
     return entries.select(*SCOPE, "annex", "family", "concerned", F.lit(0).cast(MONEY).alias("impact"))
 
 
@@ -386,7 +406,7 @@ def annex_summary(entries: DataFrame, keys: list[str] = SCOPE) -> DataFrame:
     Persons are reduced to one row each before they are counted, so the two
     shuffles carry persons, not lines, and no annex is one task's work.
     """
-    per_person = entries.groupBy(*SCOPE, "family", "annex", "concerned").agg(
+    per_person = entries.groupBy("concerned", "annex", "family", *SCOPE).agg(
         F.count(F.lit(1)).alias("n"), F.sum("impact").cast(MONEY_SUM).alias("impact")
     )
     return per_person.groupBy(*keys, "family", "annex").agg(

@@ -52,7 +52,7 @@ def ranked_payments(base: DataFrame, key: str, out: str = "payment_rank", **size
     """
     able = usable_id(F.col(key)) if key == "staff_key" else has_name(F.col(key))
     order = ["regime", "institution_id", *LINE_ORDER]
-    return ranked(base.where(able), [*PERIOD, key, "execution_id"], order, out, **sizes)
+    return ranked(base.where(able), [key, "execution_id", *PERIOD], order, out, **sizes)
 
 
 def paying_sources(base: DataFrame, key: str, formulas: list[fx.Formula] = (), detail: list[str] = ()) -> DataFrame:
@@ -65,16 +65,16 @@ def paying_sources(base: DataFrame, key: str, formulas: list[fx.Formula] = (), d
     formulas = list(formulas)
     able = usable_id(F.col(key)) if key == "staff_key" else has_name(F.col(key))
     valued = base.where(able).withColumn("formula_id", fx.resolve_id(formulas, Rubric.PAID_ELSEWHERE))
-    valued = valued.withColumn("value", fx.value_of("formula_id", formulas))
+    valued = fx.with_value(valued, formulas, "value")
     head = F.min(F.struct(*PAYMENT_ORDER, "value")).alias("head")
-    sums = valued.groupBy(*PERIOD, key, *SOURCE, *detail, "formula_id").agg(
+    sums = valued.groupBy(key, *PERIOD, *SOURCE, *detail, "formula_id").agg(
         F.count(F.lit(1)).alias("payments"),
         total(F.col("gross_pay")).alias("mass"),
         total(F.col("value")).alias("value"),
         head,
     )
-    whole_key = Window.partitionBy(*PERIOD, key)
-    first = F.min("head").over(Window.partitionBy(*PERIOD, key, "execution_id"))
+    whole_key = Window.partitionBy(key, *PERIOD)
+    first = F.min("head").over(Window.partitionBy(key, "execution_id", *PERIOD))
     mode = fx.mode_of("formula_id", formulas)
     head_value = F.when(F.col("head") == first, F.col("head.value")).otherwise(F.lit(0).cast(MONEY))
     outside = (
@@ -111,18 +111,18 @@ def without_id_hit(declared: DataFrame, base: DataFrame) -> DataFrame:
     staff = F.col("staff_key")
     keyed = declared.withColumn("id_join", spread_key(staff, usable_id(staff), F.col("declared_id")))
     paid = base.where(usable_id(staff)).select(*PERIOD, F.col("staff_key").alias("id_join")).distinct()
-    return keyed.join(paid, [*PERIOD, "id_join"], "left_anti").drop("id_join")
+    return keyed.join(paid, ["id_join", *PERIOD], "left_anti").drop("id_join")
 
 
 def id_matches(declared: DataFrame, base: DataFrame, formulas: list[fx.Formula] = (), detail: list[str] = ()) -> DataFrame:
     sources = paying_sources(base, "staff_key", formulas, detail)
-    return declared.join(sources, [*PERIOD, "staff_key"]).withColumn("method", F.lit("ID"))
+    return declared.join(sources, ["staff_key", *PERIOD]).withColumn("method", F.lit("ID"))
 
 
 def name_matches(declared: DataFrame, base: DataFrame, formulas: list[fx.Formula] = (), detail: list[str] = ()) -> DataFrame:
     sources = paying_sources(base, "name_key", formulas, detail)
     fallback = without_id_hit(declared, base)
-    return fallback.join(sources, [*PERIOD, "name_key"]).withColumn("method", F.lit("NAME"))
+    return fallback.join(sources, ["name_key", *PERIOD]).withColumn("method", F.lit("NAME"))
 
 
 def unpaid(declared: DataFrame, base: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def unpaid(declared: DataFrame, base: DataFrame) -> DataFrame:
     name = F.col("name_key")
     rest = without_id_hit(declared, base).withColumn("name_join", spread_key(name, has_name(name), F.col("declared_id")))
     paid = base.where(has_name(name)).select(*PERIOD, name.alias("name_join")).distinct()
-    return rest.join(paid, [*PERIOD, "name_join"], "left_anti").drop("name_join")
+    return rest.join(paid, ["name_join", *PERIOD], "left_anti").drop("name_join")
 
 
 def campaign_status() -> Column:
@@ -160,10 +160,10 @@ def campaign(declared: DataFrame, base: DataFrame, formulas: list[fx.Formula] =
     carried = ["declared_id", *SCOPE, "staff_key", "name_key"]
     staff, name, line = F.col("staff_key"), F.col("name_key"), F.col("declared_id")
     keyed = declared.select(*carried, spread_key(staff, usable_id(staff), line).alias("id_join"))
-    found = keyed.join(source_struct(base, "staff_key", formulas, detail, "id_join", "by_id"), [*PERIOD, "id_join"], "left")
+    found = keyed.join(source_struct(base, "staff_key", formulas, detail, "id_join", "by_id"), ["id_join", *PERIOD], "left")
     falls_back = F.col("by_id").isNull() & has_name(name)
     found = found.withColumn("name_join", spread_key(name, falls_back, line)).drop("id_join")
-    found = found.join(source_struct(base, "name_key", formulas, detail, "name_join", "by_name"), [*PERIOD, "name_join"], "left")
+    found = found.join(source_struct(base, "name_key", formulas, detail, "name_join", "by_name"), ["name_join", *PERIOD], "left")
     method = F.when(F.col("by_id").isNotNull(), "ID").when(F.col("by_name").isNotNull(), "NAME").otherwise("NONE")
     source = F.coalesce("by_id", "by_name")
     inside = (F.col("paying_regime") == F.col("regime")) & (F.col("paying_institution") == F.col("institution_id"))
@@ -243,6 +243,6 @@ def payment_lines(declared: DataFrame, base: DataFrame) -> DataFrame:
                F.col("regime").alias("paying_regime"), F.col("execution_id").alias("paying_execution"), "gross_pay"]
     by_id = base.where(usable_id(F.col("staff_key"))).select(*PERIOD, "staff_key", *columns)
     by_name = base.where(has_name(F.col("name_key"))).select(*PERIOD, "name_key", *columns)
-    found = kept.join(by_id, [*PERIOD, "staff_key"]).withColumn("method", F.lit("ID"))
-    fallback = without_id_hit(kept, base).join(by_name, [*PERIOD, "name_key"]).withColumn("method", F.lit("NAME"))
+    found = kept.join(by_id, ["staff_key", *PERIOD]).withColumn("method", F.lit("ID"))
+    fallback = without_id_hit(kept, base).join(by_name, ["name_key", *PERIOD]).withColumn("method", F.lit("NAME"))
     return found.unionByName(fallback)

@@ -86,7 +86,7 @@ def person_profile(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Description, number of payments and amounts per person."""
     return (
         comparable(lines)
-        .groupBy(*keys, "match_key")
+        .groupBy("match_key", *keys)
         .agg(
             *[F.min(value()).alias(name) for name, value in PROFILE.items()],
             F.count(F.lit(1)).alias("payments"),
@@ -125,12 +125,12 @@ def both_sides(lines: DataFrame, a: Side, b: Side, keys: list[str]) -> DataFrame
             total(F.when(here, F.col("gross_pay"))).alias(f"gross_{suffix}"),
             total(F.when(here, F.col("net_pay"))).alias(f"net_{suffix}"),
         ]
-    return sided.groupBy(*keys, "match_key").agg(*columns)
+    return sided.groupBy("match_key", *keys).agg(*columns)
 
 
 def full_outer(profiles_a: DataFrame, profiles_b: DataFrame, keys: list[str]) -> DataFrame:
     """The same by a full outer join of two profiles, for sides that are separate tables."""
-    on = [*keys, "match_key"]
+    on = ["match_key", *keys]
     left = profiles_a.select(*on, *[F.col(c).alias(f"{c}_a") for c in profiles_a.columns if c not in on])
     right = profiles_b.select(*on, *[F.col(c).alias(f"{c}_b") for c in profiles_b.columns if c not in on])
     joined = left.join(right, on, "full_outer")
@@ -209,16 +209,16 @@ def same_name_other_id(results: DataFrame, keys: list[str]) -> DataFrame:
     one-sided, so it never contributes its own name to the other side.
     """
     named = results.withColumn("name", own_name()).where("name <> ''")
-    seen = named.groupBy(*keys, "name").agg(
+    seen = named.groupBy("name", *keys).agg(
         F.max(F.col("payments_a") > 0).alias("seen_a"), F.max(F.col("payments_b") > 0).alias("seen_b")
     )
     one_sided = named.where(F.col("status").isin(Gap.ONLY_A, Gap.ONLY_B))
     other_side = F.when(F.col("status") == Gap.ONLY_A, F.col("seen_b")).otherwise(F.col("seen_a"))
-    return one_sided.join(seen, [*keys, "name"]).where(other_side).drop("name", "seen_a", "seen_b")
+    return one_sided.join(seen, ["name", *keys]).where(other_side).drop("name", "seen_a", "seen_b")
 
 
 def with_same_name_note(results: DataFrame, keys: list[str]) -> DataFrame:
-    on = [*keys, "match_key"]
+    on = ["match_key", *keys]
     noted = same_name_other_id(results, keys).select(*on, F.lit(SAME_NAME_MESSAGE).alias("note"))
     diagnosis = F.concat_ws(" ; ", F.nullif("diagnosis", F.lit("")), "note")
     return results.join(noted, on, "left").withColumn("diagnosis", diagnosis).drop("note")

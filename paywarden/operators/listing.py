@@ -42,14 +42,14 @@ def with_person(lines: DataFrame) -> DataFrame:
 
 def with_rank(lines: DataFrame, **sizes) -> DataFrame:
     """Rank of each line among the lines of its person in the period."""
-    return ranked(with_person(lines), [*PERIOD, "person_key"], PERSON_ORDER, "occurrence_rank", **sizes)
+    return ranked(with_person(lines), ["person_key", *PERIOD], PERSON_ORDER, "occurrence_rank", **sizes)
 
 
 def person_figures(lines: DataFrame) -> DataFrame:
     """Lines, regimes and institutions per person and period."""
     return (
         with_person(lines)
-        .groupBy(*PERIOD, "person_key")
+        .groupBy("person_key", *PERIOD)
         .agg(
             F.count(F.lit(1)).alias("person_lines"),
             distinct_count("regime").alias("regimes"),
@@ -62,15 +62,15 @@ def with_name_count(lines: DataFrame) -> DataFrame:
     """Lines with the same name in the period, 0 without a name."""
     name = F.col("name_key")
     keyed = lines.withColumn("name_join", spread_key(name, has_name(name), F.col("line_id")))
-    counts = count_per(lines.where(has_name(name)), [*PERIOD, "name_key"], "name_lines")
-    counted = keyed.join(counts.withColumnRenamed("name_key", "name_join"), [*PERIOD, "name_join"], "left")
+    counts = count_per(lines.where(has_name(name)), ["name_key", *PERIOD], "name_lines")
+    counted = keyed.join(counts.withColumnRenamed("name_key", "name_join"), ["name_join", *PERIOD], "left")
     return counted.withColumn("name_lines", F.coalesce("name_lines", F.lit(0))).drop("name_join")
 
 
 def occurrence_counts(lines: DataFrame) -> DataFrame:
     """Lines per identifier, lines per name, regimes and institutions per person."""
     keyed = with_person(with_name_count(lines))
-    figures = keyed.join(person_figures(lines), [*PERIOD, "person_key"], "left")
+    figures = keyed.join(person_figures(lines), ["person_key", *PERIOD], "left")
     # A usable identifier is the person key, so its lines are the person's lines.
     id_lines = F.when(usable_id(F.col("staff_key")), F.col("person_lines")).otherwise(F.lit(0))
     return figures.withColumn("id_lines", id_lines).drop("person_lines")
@@ -97,13 +97,9 @@ def listing_group(lines: DataFrame, formulas: list[fx.Formula] = ()) -> DataFram
     formulas = list(formulas)
     counted = occurrence_counts(with_rank(lines).drop("person_key")).withColumn("status", group_status())
     rubric = F.create_map(*[F.lit(x) for pair in STATUS_RUBRICS.items() for x in pair])[F.col("status")]
-    return (
-        counted.withColumn("rubric", rubric)
-        .withColumn("formula_id", fx.resolve_by(formulas, "rubric", set(STATUS_RUBRICS.values()), fx.NO_FORMULA))
-        .withColumn("mass", F.col("gross_pay"))
-        .withColumn("impact", fx.value_of("formula_id", formulas, "occurrence_rank = 1"))
-        .drop("rubric")
-    )
+    formula = fx.resolve_by(formulas, "rubric", set(STATUS_RUBRICS.values()), fx.NO_FORMULA)
+    resolved = counted.withColumn("rubric", rubric).withColumns({"formula_id": formula, "mass": F.col("gross_pay")})
+    return fx.with_value(resolved, formulas, "impact", first="occurrence_rank = 1").drop("rubric")
 
 
 def people_count(line_id: str = "line_id") -> Column:
@@ -131,7 +127,7 @@ def unique_people(results: DataFrame, institutions: DataFrame) -> DataFrame:
     staff = F.col("staff_key")
     key = F.when(usable_id(staff), F.concat(F.lit("M:"), staff)).otherwise(F.concat(F.lit("N:"), "name_key"))
     named = results.join(institutions, "institution_id", "left")
-    return named.groupBy(*PERIOD, key.alias("person")).agg(
+    return named.groupBy(key.alias("person"), *PERIOD).agg(
         F.max("staff_key").alias("staff_key"),
         F.max(full_name(F.col("last_name"), F.col("first_name"))).alias("full_name"),
         F.max("name_key").alias("name_key"),

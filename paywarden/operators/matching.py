@@ -30,7 +30,7 @@ def by_id(declared: DataFrame) -> DataFrame:
     """One declaration per scope and identifier."""
     return (
         declared.where(usable_id(F.col("staff_key")))
-        .groupBy(*SCOPE, "staff_key")
+        .groupBy("staff_key", *SCOPE)
         .agg(F.min("declared_id").alias("id_match"))
     )
 
@@ -39,7 +39,7 @@ def by_name(declared: DataFrame) -> DataFrame:
     """One declaration per scope and name."""
     return (
         declared.where(has_name(F.col("name_key")))
-        .groupBy(*SCOPE, "name_key")
+        .groupBy("name_key", *SCOPE)
         .agg(F.min("declared_id").alias("name_match"))
     )
 
@@ -61,17 +61,17 @@ def link(lines: DataFrame, declared: DataFrame) -> DataFrame:
     lines move twice: once by identifier, once by name.
     """
     keyed = with_spread_keys(lines)
-    firsts = first_line_ids(lines, [*SCOPE, "staff_key"])
-    per_id = firsts.join(by_id(declared), [*SCOPE, "staff_key"], "left")
+    firsts = first_line_ids(lines, ["staff_key", *SCOPE])
+    per_id = firsts.join(by_id(declared), ["staff_key", *SCOPE], "left")
     staff = F.col("staff_key")
     per_id = per_id.select(
         *SCOPE, spread_key(staff, usable_id(staff), F.col("first_line_id")).alias("id_join"), "first_line_id", "id_match"
     )
     per_name = by_name(declared).withColumnRenamed("name_key", "name_join")
     return (
-        keyed.join(per_id, [*SCOPE, "id_join"], "left")
+        keyed.join(per_id, ["id_join", *SCOPE], "left")
         .withColumn("first_line", F.coalesce(F.col("line_id") == F.col("first_line_id"), F.lit(False)))
-        .join(per_name, [*SCOPE, "name_join"], "left")
+        .join(per_name, ["name_join", *SCOPE], "left")
         .drop("id_join", "name_join", "first_line_id")
     )
 
@@ -114,12 +114,11 @@ def value_matches(classified: DataFrame, formulas: list[fx.Formula], forced: fx.
         rubric_formula = fx.resolve_by(formulas, "status", Match.PAY_STATUSES)
     else:
         rubric_formula = F.lit(forced.formula_id)
-    return (
-        classified.withColumn("formula_id", rubric_formula)
-        .withColumn("mass_formula_id", fx.resolve_id(formulas, Rubric.ANY))
-        .withColumn("impact", fx.value_of("formula_id", known, "first_line"))
-        .withColumn("mass", fx.value_of("mass_formula_id", formulas, "first_line"))
+    resolved = classified.withColumns(
+        {"formula_id": rubric_formula, "mass_formula_id": fx.resolve_id(formulas, Rubric.ANY)}
     )
+    valued = fx.with_value(resolved, known, "impact", "formula_id", "first_line")
+    return fx.with_value(valued, formulas, "mass", "mass_formula_id", "first_line").drop("mass_formula_id")
 
 
 RESULT = [

@@ -114,14 +114,11 @@ def simulate_formula(lines: DataFrame, formula: fx.Formula, keys: list[str] = SC
     key = "staff_key" if formula.rubric.endswith("_ID") else "name_key"
     first = None
     if formula.mode in fx.Mode.RANKED:
-        lines, first = flag_first(lines, [*SCOPE, key]), "first_line"
-    valued = lines.withColumn("formula_id", F.lit(formula.formula_id)).withColumn(
-        "impact", fx.value_of("formula_id", [formula], first)
-    )
-    return valued.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("row_count"), total(F.col("impact")).alias("impact"),
-        F.avg(F.col("impact").cast("double")).alias("mean_impact"),
-    )
+        lines, first = flag_first(lines, [key, *SCOPE]), "first_line"
+    valued = fx.with_value(lines.withColumn("formula_id", F.lit(formula.formula_id)), [formula], "impact", first=first)
+    summed = valued.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), total(F.col("impact")).alias("impact"))
+    # The mean of the exact total does not depend on the order of the lines.
+    return summed.withColumn("mean_impact", F.round(F.col("impact").cast("double") / F.col("row_count"), 6))
 
 
 def usage(lines: DataFrame, results: DataFrame, line_id: str, keys: list[str]) -> DataFrame:

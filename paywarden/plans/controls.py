@@ -111,7 +111,7 @@ def impact_by_status(v):
 @query("dup_rank_id", f"""
 SELECT line_id, row_number() OVER (PARTITION BY {S}, staff_key ORDER BY {ORDER}) AS dup_rank FROM pay""")
 def dup_rank_id(v):
-    return rk.ranked(v.pay, [*SCOPE, "staff_key"], LINE_ORDER, "dup_rank").select("line_id", "dup_rank")
+    return rk.ranked(v.pay, ["staff_key", *SCOPE], LINE_ORDER, "dup_rank").select("line_id", "dup_rank")
 
 
 # --- formulas ------------------------------------------------------------------------
@@ -162,16 +162,15 @@ SELECT p.line_id, f.formula_id, {value_sql('p', 'f', 'p.rn')} AS impact
 FROM (SELECT *, row_number() OVER (PARTITION BY {S}, staff_key ORDER BY {ORDER}) AS rn FROM pay) p
 {join_formula('p', 'f', "'DUPLICATE_ID'")}""", (FORMULA_SQL,))
 def formula_impact(v):
-    flagged = rk.flag_first(v.pay, [*SCOPE, "staff_key"])
+    flagged = rk.flag_first(v.pay, ["staff_key", *SCOPE])
     valued = flagged.withColumn("formula_id", fx.resolve_id(FORMULAS, Rubric.DUPLICATE_ID))
-    impact = fx.value_of("formula_id", FORMULAS, "first_line").alias("impact")
-    return valued.select("line_id", "formula_id", impact)
+    return fx.with_value(valued, FORMULAS, "impact", first="first_line").select("line_id", "formula_id", "impact")
 
 
 @query("default_impact", "SELECT line_id, cast(base_pay + transport + bonus AS decimal(18,2)) AS impact FROM pay")
 def default_impact(v):
     valued = v.pay.withColumn("formula_id", F.lit(fx.DEFAULT_FORMULA.formula_id))
-    return valued.select("line_id", fx.value_of("formula_id", []).alias("impact"))
+    return fx.with_value(valued, [], "impact").select("line_id", "impact")
 
 
 TEXTS = " ".join(f"WHEN formula_id = '{f.formula_id}' THEN '{fx.describe(f)}'" for f in [fx.DEFAULT_FORMULA, *FORMULAS])
@@ -191,7 +190,7 @@ def formula_text(v):
 
 
 @query("formula_simulation", f"""
-SELECT {S}, count(*) AS row_count, {money('sum(impact)')} AS impact, avg(cast(impact AS double)) AS mean_impact
+SELECT {S}, count(*) AS row_count, {money('sum(impact)')} AS impact, round(cast(sum(impact) AS double) / count(*), 6) AS mean_impact
 FROM (SELECT {S}, CASE WHEN row_number() OVER (PARTITION BY {S}, staff_key ORDER BY {ORDER}) > 1
     THEN cast(gross_pay * 0.5 - deductions AS decimal(18,2)) ELSE 0 END AS impact FROM pay)
 GROUP BY {S}""")
@@ -252,7 +251,7 @@ def occurrence_counts(v):
 @query("distinct_over_person", "SELECT line_id, person_key, regimes, institutions FROM occurrences", GROUPED)
 def distinct_over_person(v):
     figures = ls.person_figures(v.pay)
-    joined = ls.with_person(v.pay).join(figures, [*PERIOD, "person_key"])
+    joined = ls.with_person(v.pay).join(figures, ["person_key", *PERIOD])
     return joined.select("line_id", "person_key", "regimes", "institutions")
 
 

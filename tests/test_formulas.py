@@ -37,7 +37,7 @@ def test_extra_component_and_deductions(spark):
     lines = pay(spark, [("A1", "Alpha", 100, 10, 25)], columns=("Matricule", "NomPostnom", "Base", "Retenue", "PrimeTech"),
                 mapping={"PrimeTech": "component_PRIME_TECHNIQUE"})
     formula = fx.Formula("x", regime="PNC", terms=(("BASE_PAY", 1), ("PRIME_TECHNIQUE", 1), ("DEDUCTIONS", -1)))
-    valued = lines.withColumn("formula_id", F.lit("x")).select(fx.value_of("formula_id", [formula]).alias("v"))
+    valued = fx.with_value(lines.withColumn("formula_id", F.lit("x")), [formula], "v")
     assert float(valued.first().v) == 115
 
 
