@@ -49,16 +49,26 @@ def letter_rules() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), several
 
 
+def char_class(chars) -> str:
+    """A character class as ranges; a class of single characters is tested one by one."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in ranges) + "]"
+
+
 def normalise(value: Column) -> Column:
     """Upper-case letters and digits only, accents and compatibility forms resolved."""
     source, target, several = letter_rules()
     text = F.coalesce(value.cast("string"), F.lit(""))
-    several_set = "[" + "".join(several) + "]"
     lookup = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
     spelled_out = F.array_join(
         F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(lookup, ch), ch)), ""
     )
-    folded = F.translate(F.when(text.rlike(several_set), spelled_out).otherwise(text), source, target)
+    folded = F.translate(F.when(text.rlike(char_class(several)), spelled_out).otherwise(text), source, target)
     ascii_only = F.when(text.rlike(NON_ASCII), folded).otherwise(text)
     return F.regexp_replace(F.upper(ascii_only), "[^A-Z0-9]+", "")
 

@@ -6,9 +6,10 @@ expression that an oracle starts from.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from paywarden.functions.filters import FilterRule, retained
 from paywarden.functions.formulas import Formula
@@ -102,8 +103,8 @@ def with_views(body: str, *more: str) -> str:
     return "WITH " + ",\n".join([PAY_SQL.strip(), *[m.strip() for m in more]]) + "\n" + body
 
 
-#: Tables written in this session: (application, folder, name) to path.
-WRITTEN: dict[tuple[str, str, str], str] = {}
+#: Tables written in this session: (application, folder, name) to path and layout.
+WRITTEN: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
 
 
 class Views:
@@ -121,23 +122,24 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def written(self, name: str, rows: DataFrame) -> DataFrame:
+    def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in WRITTEN:
-            path = scratch_path(self.spark, name)
+            rows, path = build(), scratch_path(self.spark, name)
             rows.hint("rebalance", *PERIOD).write.partitionBy(*PERIOD).parquet(path)
-            WRITTEN[key] = path
-        return self.spark.read.schema(rows.schema).parquet(WRITTEN[key]).select(*rows.columns)
+            WRITTEN[key] = (path, rows.schema)
+        path, schema = WRITTEN[key]
+        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
 
     @cached_property
     def pay(self) -> DataFrame:
         """Standard pay lines."""
-        return self.written("pay_line", self.standard_pay)
+        return self.written("pay_line", lambda: self.standard_pay)
 
     @cached_property
     def declared(self) -> DataFrame:
         """Standard declared lines."""
-        return self.written("declared_line", self.standard_declared)
+        return self.written("declared_line", lambda: self.standard_declared)
 
     @cached_property
     def raw_pay(self) -> DataFrame:
