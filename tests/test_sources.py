@@ -252,7 +252,9 @@ def test_diagnosis_of_sources(spark):
 def test_console_guard(spark):
     for good in ("SELECT 1", " with a as (select 1) select * from a; ", "-- c\nSHOW TABLES", "select replace('a','a','b')", "DESCRIBE t"):
         assert xp.check_read_only(good)
-    for bad in ("", "-- only a comment", "DROP TABLE x", "SELECT 1; SELECT 2", "INSERT INTO t VALUES (1)", "SET a=1"):
+    for bad in ("", "-- only a comment", "DROP TABLE x", "SELECT 1; SELECT 2", "INSERT INTO t VALUES (1)", "SET a=1",
+                "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT TRANSFORM(a) USING 'cat' FROM t",
+                "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT * FROM parquet.`/tmp/x`"):
         with pytest.raises(ValueError):
             xp.check_read_only(bad)
     with pytest.raises(ValueError):
