@@ -13,6 +13,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as contract  # noqa: E402
+from paywarden.plans import QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = """region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels
@@ -45,7 +46,7 @@ def table(rows):
     return sorted(tuple(plain(v) for v in row) for row in rows)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, oracle, name):
     rows = contract.queries()[name](spark, FOLDER)
     columns = sorted(rows.columns)
@@ -68,4 +69,4 @@ def test_entry(spark):
 
 
 def test_only_exports_have_no_oracle():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"export_csv", "annex_export"}
+    assert set(QUERIES) - set(contract.oracle_sql()) == {"export_csv", "annex_export"}
