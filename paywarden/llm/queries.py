@@ -7,18 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from paywarden.llm import chat, mixing, rules, warc
-from paywarden.llm.common import table
+from paywarden.llm import chat, chosen_path, chunks, mixing, rules, sentencepiece, toxicity, warc
+from paywarden.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece.encoded(table(spark, folder, "documents"), corpus_pipeline.TOKENIZER)
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id"), 5))
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    return toxicity.scored(docs, model).select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted")
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, folder, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.fingerprints(table(spark, folder, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     entries = rules.verdicts(rules.ledger(table(spark, folder, "documents")))
     base = rules.mask(*rules.BASE)
@@ -38,7 +57,11 @@ def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op2_toxicity": op2_toxicity,
         "op3_warc": op3_warc,
+        "op5_near_duplicates": op5_near_duplicates,
+        "op6_fingerprints": op6_fingerprints,
         "op7_quality_rules": op7_quality_rules,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_source_mixing": op9_source_mixing,
@@ -82,6 +105,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT doc_id, cast(coalesce(n, 0) AS bigint) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+  doc_id <= coalesce(low, doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id)
+"""
+
 CHAT_SQL = f"""
 WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, {chat.NO_TURN}) AS turn, coalesce(role, 'unknown') AS role,
     coalesce(text, '') AS text FROM conversations),
@@ -128,7 +166,7 @@ LEFT JOIN taken ON taken.source IS NOT DISTINCT FROM d.source AND taken.h = d.h
 
 def oracle_sql() -> dict[str, str]:
     sql = {
-        "op3_warc": WARC_SQL, "op7_quality_rules": RULES_SQL, "op8_chat_formatting": CHAT_SQL,
+        "op3_warc": WARC_SQL, "op5_near_duplicates": NEAR_SQL, "op7_quality_rules": RULES_SQL, "op8_chat_formatting": CHAT_SQL,
         "op9_source_mixing": MIX_SQL, "pipeline": corpus_pipeline.ORACLE_SQL,
     }
     return {name: text for name, text in sql.items() if text}
