@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from paywarden.llm import mixing, rules
+from paywarden.llm import mixing, rules, sentencepiece
 from paywarden.llm.common import table, written
 
+#: The tokenizer's model file.
+TOKENIZER = os.environ.get("CORPUS_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that pass the current policy of the rule ledger."""
@@ -18,9 +23,15 @@ def source_mixing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return mixing.mixed(docs)
 
 
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents as piece ids."""
+    return sentencepiece.encoded(docs, TOKENIZER, keep=("doc_id", "lang", "source"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece_ids),
 ]
 
 #: The classifier's model and the tokenizer cannot be expressed in SQL.
