@@ -252,3 +252,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """One document of every component, with all its columns; its repeated rows are dropped too."""
+    gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_own"))
+    return rows.join(gone, F.col("_own") == F.col("_gone"), "left_anti").select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from paywarden.llm import chat, chosen_path, chunks, mixing, rules, sentencepiece, toxicity, warc
+from paywarden.llm import chat, chosen_path, chunks, ctw, kneser_ney, mixing, rules, sentencepiece, toxicity, warc
 from paywarden.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, folder, "documents"))
 
@@ -55,16 +59,22 @@ def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return ctw.scored(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_toxicity": op2_toxicity,
         "op3_warc": op3_warc,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_near_duplicates": op5_near_duplicates,
         "op6_fingerprints": op6_fingerprints,
         "op7_quality_rules": op7_quality_rules,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_source_mixing": op9_source_mixing,
+        "op10_lm_scoring": op10_lm_scoring,
         "pipeline": corpus_pipeline.run,
     }
 
