@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paywarden.llm import mixing, rules, sentencepiece
+from paywarden.llm import chosen_path, kneser_ney, mixing, rules, sentencepiece
 from paywarden.llm.common import table, written
 
 #: The tokenizer's model file.
@@ -18,6 +18,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return rules.keep(docs)
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents whose perplexity under trusted text is usual for their language."""
+    return kneser_ney.keep(docs, table(spark, folder, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of every group of near-duplicates."""
+    return chosen_path.keep(docs)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
     return mixing.mixed(docs)
@@ -30,6 +40,8 @@ def sentencepiece_ids(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
     ("source_mixing", source_mixing),
     ("sentencepiece", sentencepiece_ids),
 ]
