@@ -9,9 +9,18 @@ from pyspark.sql import Column, functions as F
 from paywarden.schema import GROSS_PARTS, MONEY, MONEY_SUM
 
 
+def parse_wide(value: Column) -> Column:
+    """Text to an amount of up to 36 integer digits; null if it is no such number."""
+    return F.trim(value.cast("string")).try_cast(MONEY_SUM)
+
+
 def parse_money(value: Column) -> Column:
-    """Text to money; what is not a number counts as nothing."""
-    return F.coalesce(F.trim(value.cast("string")).try_cast(MONEY), F.lit(0).cast(MONEY))
+    """Text to money. What is not a number counts as nothing; a number that money cannot hold is an error."""
+    text = F.trim(value.cast("string"))
+    number = text.try_cast("double")
+    too_large = number.isNotNull() & ~F.isnan(number) & text.try_cast(MONEY).isNull()
+    refused = F.raise_error(F.concat(F.lit("Amount out of range: "), text)).cast(MONEY)
+    return F.when(too_large, refused).otherwise(F.coalesce(text.try_cast(MONEY), F.lit(0).cast(MONEY)))
 
 
 def gross(parts: list[str] = GROSS_PARTS) -> Column:

@@ -13,9 +13,8 @@ from paywarden.schema import UNUSABLE_KEYS
 
 NON_ASCII = "[^\\x00-\\x7F]"
 
-# Characters a sheet cell may not hold, and its longest text.
+# Characters a sheet cell may not hold.
 CELL_ILLEGAL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]+"
-CELL_MAX = 32767
 
 
 def plain_identifier(value: object) -> str:
@@ -104,6 +103,7 @@ def full_name(last: Column, first: Column) -> Column:
     return F.trim(F.concat_ws(" ", F.coalesce(last, F.lit("")), F.coalesce(first, F.lit(""))))
 
 
-def sanitise(value: Column) -> Column:
-    """Text that any sheet cell accepts."""
-    return F.substring(F.regexp_replace(value, CELL_ILLEGAL, " "), 1, CELL_MAX)
+def sanitise(value: Column, longest: int | None = None) -> Column:
+    """Text without the characters that sheets refuse; cut only where a length is asked for."""
+    clean = F.regexp_replace(value, CELL_ILLEGAL, " ")
+    return clean if longest is None else F.substring(clean, 1, longest)

@@ -270,4 +270,4 @@ def result_order() -> list[Column]:
 def top_gaps(results: DataFrame, limit: int = 2000, status: str = "") -> DataFrame:
     """The first results in their order, 10 000 at most."""
     ties = [F.col(c).asc_nulls_last() for c in ("institution_id", *PERIOD) if c in results.columns]
-    return filter_results(results, status).orderBy(*result_order(), *ties).limit(max(1, min(int(limit), 10_000)))
+    return filter_results(results, status).orderBy(*result_order(), *ties).limit(int(limit))

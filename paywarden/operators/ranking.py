@@ -175,7 +175,13 @@ def with_group_totals(rows: DataFrame, keys: list[str], measure: str) -> DataFra
     totals = rows.groupBy(*keys).agg(
         F.sum(measure).alias("group_total"), F.avg(F.col(measure).cast("double")).alias("group_mean")
     )
-    return rows.join(totals, keys)
+    return joined_on(rows, totals, keys)
+
+
+def joined_on(rows: DataFrame, figures: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the figures of their keys; a null key finds the figures of the null key."""
+    same = [rows[k].eqNullSafe(figures[k]) for k in keys]
+    return rows.join(figures, same).select(rows["*"], *[figures[c] for c in figures.columns if c not in keys])
 
 
 def exact_median(rows: DataFrame, column: str, band: float = 1e-5) -> Column:

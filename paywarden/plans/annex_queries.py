@@ -142,7 +142,7 @@ def annex_people(v):
     return ax.annex_people(rows, ax.BY_NAME["validation"]).select(*SCOPE, "line_id", "concerned")
 
 
-@query("annex_export")
+@query("annex_export", "SELECT annex, count(*) AS row_count FROM entries GROUP BY annex", PACK)
 def annex_export(v):
     """The pack written as one folder per annex in a single pass; what the folders hold."""
     folder = scratch_path(v.spark, "annexes")

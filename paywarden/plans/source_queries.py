@@ -33,7 +33,7 @@ def scan_declared_raw(v):
     """Declarations as Parquet files, read back as text columns."""
     folder = scratch_path(v.spark, "declared")
     v.declared.select("declared_id", "staff_key", "name_key", "service").write.parquet(folder)
-    return rd.read_parquet(v.spark, folder).drop("source_row")
+    return rd.read_parquet(v.spark, folder).drop(*rd.OWN_COLUMNS)
 
 
 @query("source_row_number", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1 AS source_row FROM orders", raw=True)
@@ -110,7 +110,8 @@ def import_journal(v):
     return entries.select("operation", "status", "rows_loaded")
 
 
-TABLES = ["customer", "documents", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+TABLES = """benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region
+supplier""".split()
 
 
 @query("table_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES), raw=True)
@@ -125,13 +126,30 @@ def sample_source(v):
     return xp.sample_source(v.pay, "E3", RULES)
 
 
-@query("export_csv")
+@query("export_csv", """
+SELECT lang, count(*) AS row_count, min(md5(text)) AS least, max(md5(text)) AS most, cast(sum(length(text)) AS bigint) AS characters
+FROM documents GROUP BY lang""", raw=True)
 def export_csv(v):
-    """Sanitised documents exported as CSV; rows written."""
+    """Documents exported as CSV and read back: whole texts, line breaks included."""
     folder = scratch_path(v.spark, "documents_csv")
-    rows = wr.sanitised(v.table("documents")).withColumn("text", F.translate("text", "\r\n", "  "))
-    wr.export_csv(rows, folder)
-    return rd.read_csv(v.spark, folder).groupBy("lang").agg(F.count(F.lit(1)).alias("row_count"))
+    wr.export_csv(v.table("documents"), folder, bom=True)
+    digest = F.md5("text")
+    return rd.read_csv(v.spark, folder, multi_line=True).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("row_count"), F.min(digest).alias("least"), F.max(digest).alias("most"),
+        F.sum(F.length("text")).alias("characters"),
+    )
+
+
+@query("import_folder", """
+SELECT count(*) AS lines, count(DISTINCT line_id) AS ids, count(DISTINCT staff_key) AS people FROM pay""")
+def import_folder(v):
+    """A listing that consists of many files, imported as one: every line keeps an id of its own."""
+    folder = scratch_path(v.spark, "pay_files")
+    wr.export_csv(v.raw_pay.select(F.col("raw_id").alias("Matricule"), F.col("last_name").alias("Noms")).repartition(5), folder)
+    lines = mp.standardise_pay(rd.read_csv(v.spark, folder), {"execution_id": "E", "source_file": "pay_files"})
+    return lines.agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("line_id").alias("ids"), F.count_distinct("staff_key").alias("people")
+    )
 
 
 # --- standardising -------------------------------------------------------------------
@@ -154,12 +172,14 @@ def full_name(v):
 
 @query("parse_money", """
 SELECT event_id, coalesce(try_cast(cast(value AS varchar) AS decimal(18,2)), 0) AS amount,
-  coalesce(try_cast(props AS decimal(18,2)), 0) AS not_a_number, coalesce(try_cast(event_type AS decimal(18,2)), 0) AS word
+  coalesce(try_cast(props AS decimal(18,2)), 0) AS not_a_number, coalesce(try_cast(event_type AS decimal(18,2)), 0) AS word,
+  cast(try_cast('12345678901234567890' || cast(event_id AS varchar) || '.5' AS decimal(38,2)) AS varchar) AS wide
 FROM events""", raw=True)
 def parse_money(v):
     return v.table("events").select(
         "event_id", mn.parse_money(F.col("value").cast("string")).alias("amount"),
         mn.parse_money(F.col("props")).alias("not_a_number"), mn.parse_money(F.col("event_type")).alias("word"),
+        mn.parse_wide(F.concat(F.lit("12345678901234567890"), F.col("event_id").cast("string"), F.lit(".5"))).cast("string").alias("wide"),
     )
 
 
@@ -220,7 +240,7 @@ def declared_quality(v):
     return mp.declared_quality(v.declared, SCOPE)
 
 
-CLEAN_SQL = r"substr(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]+', ' ', 'g'), 1, 32767)"
+CLEAN_SQL = r"regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]+', ' ', 'g')"
 
 
 @query("sanitize_text", f"SELECT doc_id, length({CLEAN_SQL}) AS n, md5({CLEAN_SQL}) AS digest FROM documents", raw=True)

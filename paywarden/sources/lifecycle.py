@@ -67,12 +67,13 @@ def import_pay(
         raise ValueError("Required columns missing: " + ", ".join(absent))
     execution_id = uuid.uuid4().hex
     values = {**scope, "execution_id": execution_id, "source_table": scope.get("source_table", source_file)}
-    lines, observed = writers.counted(mp.standardise_pay(raw, values, mapping), "pay_lines")
-    writers.write_raw(writers.with_lineage(raw, execution_id, scope["quarter"], scope["year"]), store.raw(scope["regime"]))
+    lines = mp.standardise_pay(raw, values, mapping)
     if mode == "replace":
         writers.replace_scopes(lines, store.pay, [scope])
     else:
         writers.append_lines(lines, store.pay)
+    kept_raw, observed = writers.counted(writers.with_lineage(raw, execution_id, scope["quarter"], scope["year"]), "raw_lines")
+    writers.write_raw(kept_raw, store.raw(scope["regime"]))
     rows = observed.get["rows"]
     log(spark, store, execution_id=execution_id, operation=IMPORT_PAY, source_file=source_file, mode=mode,
         rows_read=rows, rows_loaded=rows, status="DONE", **{c: scope[c] for c in SCOPE})
@@ -86,7 +87,7 @@ def import_declared(
 ) -> str:
     """Load a declaration after checking its structure, its content and, before replacing one, its use."""
     spark = raw.sparkSession
-    structure = mp.describe_structure([c for c in raw.columns if c != "source_row"], mapping, list(required))
+    structure = mp.describe_structure(mp.source_columns(raw), mapping, list(required))
     if not structure.ready:
         raise ValueError("The declaration does not fit: " + "; ".join(structure.issues))
     execution_id = uuid.uuid4().hex
@@ -179,16 +180,15 @@ def deletion_counts(tables: dict[str, DataFrame], delete: Column) -> DataFrame:
 def delete_rows(spark: SparkSession, path: str, schema, delete: Column) -> int:
     """Rewrite the scopes that hold rows to delete. Returns the number of deleted rows."""
     rows = writers.read_lines(spark, path, schema)
-    touched = rows.where(delete).groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"))
+    gone = F.coalesce(delete, F.lit(False))
+    touched = rows.groupBy(*SCOPE).agg(F.count_if(gone).alias("n"), F.count_if(~gone).alias("left")).where("n > 0")
     scopes = [row.asDict() for row in touched.collect()]  # one row per scope
     if not scopes:
         return 0
-    left = rows.join(touched.select(*SCOPE), SCOPE, "left_semi")
-    remaining = kept(left, delete)
-    filled = {tuple(row) for row in remaining.select(*SCOPE).distinct().collect()}
-    writers.replace_scopes(remaining, path)
+    some = spark.createDataFrame([[s[c] for c in SCOPE] for s in scopes if s["left"]], rows.select(*SCOPE).schema)
+    writers.replace_scopes(kept(rows, delete).join(F.broadcast(some), SCOPE, "left_semi"), path)
     for scope in scopes:
-        if tuple(scope[c] for c in SCOPE) not in filled:
+        if not scope["left"]:
             writers.drop_partition(spark, path, scope)
     return sum(scope["n"] for scope in scopes)
 
@@ -223,6 +223,8 @@ def delete_pay_scope(spark: SparkSession, store: Store, scope: dict[str, object]
     raw = store.raw(scope["regime"])
     if writers.exists(spark, raw):
         delete_raw(spark, raw, executions)
+    if writers.exists(spark, store.schemas):
+        delete_schemas(spark, store.schemas, executions)
     for execution_id in executions:
         log(spark, store, execution_id=execution_id, operation=IMPORT_PAY, status="DELETED",
             message="Pay lines withdrawn", **scope_only(scope))
@@ -245,6 +247,17 @@ def delete_raw(spark: SparkSession, path: str, executions: list[str]) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def delete_schemas(spark: SparkSession, path: str, executions: list[str]) -> None:
+    """Drop the captured columns of withdrawn imports; the new table is written before the old one goes."""
+    rows = spark.read.parquet(path)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    aside = f"{path}-{uuid.uuid4().hex}"
+    kept(rows, F.col("execution_id").isin(executions)).write.parquet(aside)
+    files = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(path_of(path), True)
+    files.rename(path_of(aside), path_of(path))
+
+
 def delete_scope(spark: SparkSession, store: Store, scope: dict[str, object]) -> dict[str, int]:
     """Empty a scope in the pay, declaration and result tables, without a guard. Returns the three counts."""
     here, counts = in_scope(**scope_only(scope)), {}

@@ -64,7 +64,7 @@ def with_lineage(raw: DataFrame, execution_id: str | Column, quarter, year) -> D
 
 def write_raw(raw: DataFrame, path: str) -> None:
     """Source columns as they came, one folder per period. New columns may come with later imports."""
-    raw.write.partitionBy("year", "quarter").mode("append").parquet(path)
+    raw.hint("rebalance", "year", "quarter").write.partitionBy("year", "quarter").mode("append").parquet(path)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -74,13 +74,16 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 def replace_scopes(lines: DataFrame, path: str, scopes: list[dict[str, object]] = ()) -> None:
     """Put lines in place of what their scopes hold.
 
-    Overwriting partitions only touches scopes that have new lines, so scopes
-    named in ``scopes`` are emptied first.
+    Spark moves the new files in place of the old ones when all of them are
+    written, so a failure leaves the table as it was. That only touches scopes
+    with new lines; scopes named in ``scopes`` that got none are emptied after it.
     """
     spark = lines.sparkSession
-    for scope in scopes:
-        drop_partition(spark, path, scope)
+    filled = {tuple(map(str, row)) for row in lines.select(*SCOPE).distinct().collect()} if scopes else set()
     by_scope(lines).write.partitionBy(*SCOPE).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    for scope in scopes:
+        if tuple(str(scope[c]) for c in SCOPE) not in filled:
+            drop_partition(spark, path, scope)
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -113,12 +116,20 @@ def sanitised(rows: DataFrame) -> DataFrame:
     )
 
 
-def export_csv(rows: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with a header. One file only if asked for: it makes one task write everything."""
+def export_csv(rows: DataFrame, path: str, single_file: bool = False, bom: bool = False) -> None:
+    """CSV with a header and the text as it is; null is an empty field, empty text a quoted one.
+
+    One file only if asked for: it makes one task write everything. ``bom`` puts the mark that
+    spreadsheets look for before the header of every file.
+    """
     out = rows.coalesce(1) if single_file else rows
-    out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    if bom:
+        out = out.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+    options = {"header": True, "encoding": "UTF-8", "escape": '"', "emptyValue": '""', "nullValue": "",
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    out.write.mode("overwrite").options(**options).csv(path)
 
 
 def export_parts(rows: DataFrame, path: str, by: str, fmt: str = "parquet") -> None:
     """One folder per annex, status or other value, in a single pass."""
-    rows.write.partitionBy(by).mode("overwrite").format(fmt).save(path)
+    rows.hint("rebalance", by).write.partitionBy(by).mode("overwrite").format(fmt).save(path)

@@ -223,6 +223,42 @@ def test_scratch_folder_follows_the_session():
 # --- figures and console -------------------------------------------------------------
 
 
+def test_a_failed_replace_keeps_the_old_scope(spark, store):
+    lc.import_pay(listing(spark, [("A", "Alpha", 1), ("B", "Beta", 2)]), store, SCOPE, source_file="a.csv")
+    with pytest.raises(Exception, match="out of range"):
+        lc.import_pay(listing(spark, [("C", "Gamma", "12345678901234567890")]), store, SCOPE, mode="replace", source_file="b.csv")
+    assert {r.raw_id for r in wr.read_lines(spark, store.pay, PAY_LINE).collect()} == {"A", "B"}
+
+
+def test_lines_of_several_files_have_ids_of_their_own(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("Matricule,Noms\nX1,One\nX2,Two\n", encoding="utf-8")
+    lines = mp.standardise_pay(rd.read_csv(spark, str(tmp_path)), {**SCOPE, "execution_id": "E"})
+    assert (lines.count(), lines.select("line_id").distinct().count()) == (4, 4)
+
+
+def test_records_that_span_lines(spark, tmp_path):
+    text = [("1", "two\nlines, \"quoted\" "), ("2", "  \r\n"), ("3", ""), ("4", None), ("5", "plain")]
+    wr.export_csv(spark.createDataFrame(text, "id string, text string"), str(tmp_path / "c"), bom=True)
+    with pytest.raises(Exception, match="spans lines"):
+        rd.read_csv(spark, str(tmp_path / "c")).collect()
+    rows = rd.read_csv(spark, str(tmp_path / "c"), multi_line=True)
+    assert sorted((r.id, r.text) for r in rows.collect()) == sorted(text)
+    assert rows.select("source_path", "source_row").distinct().count() == 5
+
+
+def test_amounts_beyond_money_are_refused(spark):
+    with pytest.raises(Exception, match="out of range"):
+        pay(spark, [("A", "a", "12345678901234567.5")]).collect()
+
+
+def test_pages_by_key(spark):
+    rows = spark.range(10).selectExpr("id % 3 AS a", "id AS b")
+    first = xp.page_after(rows, ["a", "b"], None, 4).collect()
+    second = xp.page_after(rows, ["a", "b"], tuple(first[-1]), 4).collect()
+    assert first + second == rows.orderBy("a", "b").limit(8).collect()
+
+
 def test_repeated_journal_entries_multiply_nothing(spark):
     lines = pay(spark, [("A", "a", 1), ("B", "b", 1)])
     journal = spark.createDataFrame([("E1", "f1", "DONE"), ("E1", "f0", "DONE")], "execution_id string, source_file string, status string")
@@ -250,13 +286,23 @@ def test_diagnosis_of_sources(spark):
 
 
 def test_console_guard(spark):
-    for good in ("SELECT 1", " with a as (select 1) select * from a; ", "-- c\nSHOW TABLES", "select replace('a','a','b')", "DESCRIBE t"):
-        assert xp.check_read_only(good)
+    for good in ("SELECT 1", " with a as (select 1) select * from a; ", "-- c\nSHOW TABLES", "select replace('a','a','b')", "DESCRIBE t",
+                 "SELECT '--x;y' AS a, 1 AS b", "SELECT 'reflect(' /* ; DROP */ AS a", "EXPLAIN SELECT 1"):
+        xp.check_read_only(spark, good)
     for bad in ("", "-- only a comment", "DROP TABLE x", "SELECT 1; SELECT 2", "INSERT INTO t VALUES (1)", "SET a=1",
                 "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT TRANSFORM(a) USING 'cat' FROM t",
-                "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT * FROM parquet.`/tmp/x`"):
+                "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT * FROM parquet.`/tmp/x`",
+                "FROM t INSERT INTO a SELECT 1 INSERT INTO b SELECT 2", "CREATE TABLE a AS SELECT 1", "EXPLAIN DROP TABLE x",
+                "SELECT (SELECT max(x) FROM other.t)"):
+        with pytest.raises(ValueError):
+            xp.check_read_only(spark, bad)
+    spark.range(7).createOrReplaceTempView("secret")
+    for bad in ("SELECT * FROM secret", "SELECT (SELECT count(*) FROM secret)", "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret"):
         with pytest.raises(ValueError):
-            xp.check_read_only(bad)
+            xp.safe_sql(spark, bad, {"t": spark.range(5)})
+    assert xp.safe_sql(spark, "WITH a AS (SELECT * FROM secret) SELECT '--x;y' AS m, count(*) AS n FROM a", {"secret": spark.range(2)}).first().n == 2
+    assert spark.table("secret").count() == 7
+    spark.catalog.dropTempView("secret")
     with pytest.raises(ValueError):
         xp.safe_sql(spark, "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", {})
     shown = xp.display(xp.safe_sql(spark, "SELECT * FROM t ORDER BY id", {"t": spark.range(5)}), 3)

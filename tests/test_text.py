@@ -24,7 +24,7 @@ def test_normalise_agrees_with_decomposition_for_every_character(spark):
 def test_sanitise(spark):
     values = ["L\x1eYLY", "a\x00\x01b", "x" * 32772, "tab\tline\n", "￾!"]
     result = column(spark, values, tx.sanitise)
-    assert result[0] == "L YLY" and result[1] == "a b" and len(result[2]) == 32767
+    assert result[0] == "L YLY" and result[1] == "a b" and len(result[2]) == 32772
     assert result[3] == "tab\tline\n" and result[4] == " !"
 
 
