@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paywarden.functions import formulas as fx
 from paywarden.functions.money import total
 from paywarden.functions.text import full_name, has_name, person_key, spread_key, usable_id
-from paywarden.operators.ranking import count_per, distinct_count, ranked
+from paywarden.operators.ranking import count_per, distinct_count, flag_first, ranked
 from paywarden.schema import LINE_ORDER, MONEY, PERIOD, Rubric
 
 PERSON_ORDER = ["regime", "institution_id", *LINE_ORDER]
@@ -88,14 +88,22 @@ def group_status() -> Column:
     )
 
 
-def listing_group(lines: DataFrame, formulas: list[fx.Formula] = ()) -> DataFrame:
+def with_first(lines: DataFrame) -> DataFrame:
+    """The rank as far as sums need it: 1 for a person's first line in the period, 2 for every further one."""
+    flagged = flag_first(with_person(lines), ["person_key", *PERIOD], PERSON_ORDER)
+    return flagged.withColumn("occurrence_rank", F.when(F.col("first_line"), 1).otherwise(2).cast("long")).drop("first_line")
+
+
+def listing_group(lines: DataFrame, formulas: list[fx.Formula] = (), rank: bool = True) -> DataFrame:
     """Every line with its counts, rank, single status, mass and impact.
 
     The rank comes first: its window is partitioned by person and slice, and a
-    join by person before it would bring a large person back into one task.
+    join by person before it would bring a large person back into one task. Without
+    ``rank`` no window runs: further lines of a person all count as second.
     """
     formulas = list(formulas)
-    counted = occurrence_counts(with_rank(lines).drop("person_key")).withColumn("status", group_status())
+    placed = with_rank(lines) if rank else with_first(lines)
+    counted = occurrence_counts(placed.drop("person_key")).withColumn("status", group_status())
     rubric = F.create_map(*[F.lit(x) for pair in STATUS_RUBRICS.items() for x in pair])[F.col("status")]
     formula = fx.resolve_by(formulas, "rubric", set(STATUS_RUBRICS.values()), fx.NO_FORMULA)
     resolved = counted.withColumn("rubric", rubric).withColumns({"formula_id": formula, "mass": F.col("gross_pay")})

@@ -101,9 +101,16 @@ def classify(lines: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def declared_not_paid(lines: DataFrame, declared: DataFrame) -> DataFrame:
-    """Declarations that no pay line refers to. Referred ids are made distinct before they move."""
-    linked = link(lines, declared)
-    used = linked.select(F.coalesce("id_match", "name_match").alias("declared_id")).where("declared_id is not null")
+    """Declarations that no pay line refers to.
+
+    What lines refer to follows from their distinct identifiers and names; the lines themselves do not move for it.
+    """
+    people = lines.select(*SCOPE, "staff_key", "name_key").distinct()
+    named = usable_id(F.col("staff_key"))
+    known = people.where(named).select(*SCOPE, "staff_key").distinct().join(by_id(declared), ["staff_key", *SCOPE])
+    others = people.where(named).join(known, ["staff_key", *SCOPE], "left_anti").unionByName(people.where(~named))
+    by_names = others.select(*SCOPE, "name_key").distinct().join(by_name(declared), ["name_key", *SCOPE])
+    used = known.select(F.col("id_match").alias("declared_id")).unionByName(by_names.select(F.col("name_match").alias("declared_id")))
     return declared.join(used.distinct(), "declared_id", "left_anti")
 
 

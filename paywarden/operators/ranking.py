@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paywarden.schema import LINE_ORDER
+from paywarden.session import scratch_path
 
 #: A key is large when it holds more than 1/LARGE_KEYS of all lines. By the
 #: pigeonhole principle there are fewer than LARGE_KEYS such keys, whatever the
@@ -17,8 +18,6 @@ from paywarden.schema import LINE_ORDER
 LARGE_KEYS = 50_000
 #: Keys with fewer lines than this are never cut.
 LARGE_FLOOR = 500_000
-#: Source rows per slice of a large group.
-SLICE_ROWS = 1_000_000
 
 
 def first_by(lines: DataFrame, keys: list[str], order: list[str] = LINE_ORDER, min_rows: int = 1) -> DataFrame:
@@ -59,13 +58,24 @@ def large_keys(lines: DataFrame, keys: list[str], limit: int = LARGE_KEYS, floor
 
 
 def cut_large(
-    lines: DataFrame, keys: list[str], slices: dict[str, Column], limit: int = LARGE_KEYS, floor: int = LARGE_FLOOR
+    lines: DataFrame, keys: list[str], order: list[Column], limit: int = LARGE_KEYS, floor: int = LARGE_FLOOR
 ) -> DataFrame:
-    """Add the slice columns: filled for lines of large keys, null for all others, which form one slice per key."""
+    """Lines with ``is_large`` and ``cut``: the place of the slice of a large key's lines, null for all other keys.
+
+    The lines of large keys are dealt out by ranges of key and whole order, whose bounds Spark draws from the lines
+    themselves; so a slice has a partition's share of them, however the order is spread. They are written, so that
+    every later step sees the same slices.
+    """
     large = large_keys(lines, keys, limit, floor).withColumn("is_large", F.lit(True))
+    if large.isEmpty():
+        return lines.withColumns({"is_large": F.lit(None).cast("boolean"), "cut": F.lit(None).cast("int")})
     on_keys = [lines[k].eqNullSafe(large[k]) for k in keys]
     marked = lines.join(F.broadcast(large), on_keys, "left").select(lines["*"], "is_large")
-    return marked.select("*", *[F.when(F.col("is_large"), c).alias(name) for name, c in slices.items()])
+    path = scratch_path(lines.sparkSession, "slices")
+    cut = marked.where("is_large").repartitionByRange(*map(F.col, keys), *order).withColumn("cut", F.spark_partition_id())
+    cut.write.parquet(path)
+    rest = marked.where("is_large is null").withColumn("cut", F.lit(None).cast("int"))
+    return rest.unionByName(lines.sparkSession.read.schema(cut.schema).parquet(path))
 
 
 def add_slice_figures(sliced: DataFrame, figures: DataFrame, keys: list[str], cuts: list[str]) -> DataFrame:
@@ -80,57 +90,41 @@ def slices_before(keys: list[str], cuts: list[str]) -> Window:
 
 
 def ranked(
-    lines: DataFrame,
-    keys: list[str],
-    order: list[str],
-    out: str,
-    slice_of: str = "source_row",
-    slice_rows: int = SLICE_ROWS,
-    limit: int = LARGE_KEYS,
-    floor: int = LARGE_FLOOR,
+    lines: DataFrame, keys: list[str], order: list[str], out: str, limit: int = LARGE_KEYS, floor: int = LARGE_FLOOR
 ) -> DataFrame:
-    """Exact row number per key in ``order``, with large groups ranked slice by slice.
-
-    Small groups form a single slice. A large group is cut along its order: by
-    the columns before ``slice_of`` and by ranges of ``slice_of``. Its rank is the
-    rank inside the slice plus the number of lines in earlier slices.
-    """
-    lead = order[: order.index(slice_of)]
-    slices = {f"cut_{c}": F.col(c) for c in lead}
-    slices[f"cut_{slice_of}"] = F.floor(F.col(slice_of) / slice_rows)
-    cuts = list(slices)
-    sliced = cut_large(lines, keys, slices, limit, floor)
-    counts = sliced.where("is_large").groupBy(*keys, *cuts).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(*keys, *cuts, F.sum("n").over(slices_before(keys, cuts)).alias("lines_before"))
-    inside = Window.partitionBy(*keys, *cuts).orderBy(*order)
+    """Exact row number per key in ``order``. The rank in a slice of a large key is the rank inside it plus the number
+    of lines in earlier slices."""
+    sliced = cut_large(lines, keys, [F.col(c) for c in order], limit, floor)
+    counts = sliced.where("is_large").groupBy(*keys, "cut").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(*keys, "cut", F.sum("n").over(slices_before(keys, ["cut"])).alias("lines_before"))
+    inside = Window.partitionBy(*keys, "cut").orderBy(*order)
     numbered = sliced.withColumn("rank_inside", F.row_number().over(inside).cast("long"))
     rank = F.col("rank_inside") + F.coalesce("lines_before", F.lit(0))
-    return add_slice_figures(numbered, before, keys, cuts).select(*lines.columns, rank.alias(out))
+    return add_slice_figures(numbered, before, keys, ["cut"]).select(*lines.columns, rank.alias(out))
 
 
 def ranked_values(
-    rows: DataFrame, keys: list[str], measure: str, width: float, limit: int = LARGE_KEYS, floor: int = LARGE_FLOOR
+    rows: DataFrame, keys: list[str], measure: str, limit: int = LARGE_KEYS, floor: int = LARGE_FLOOR
 ) -> DataFrame:
-    """RANK and DENSE_RANK of each value of a measure per key, largest first.
+    """RANK and DENSE_RANK of each value of a measure per key, largest first, nulls last.
 
-    Equal values are counted before they are ranked. A key with very many values
-    is cut into ranges of ``width``.
+    Equal values are counted before they are ranked, so a slice of a large key is a range of distinct values.
     """
     values = rows.groupBy(*keys, measure).agg(F.count(F.lit(1)).alias("n"))
-    cuts = ["cut_range"]
-    sliced = cut_large(values, keys, {"cut_range": -F.floor(F.col(measure) / width)}, limit, floor)
-    sums = sliced.where("is_large").groupBy(*keys, *cuts).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
-    earlier = slices_before(keys, cuts)
+    falling = F.col(measure).desc_nulls_last()
+    sliced = cut_large(values, keys, [falling], limit, floor)
+    sums = sliced.where("is_large").groupBy(*keys, "cut").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
+    earlier = slices_before(keys, ["cut"])
     before = sums.select(
-        *keys, *cuts, F.sum("n").over(earlier).alias("rows_before"), F.sum("v").over(earlier).alias("values_before")
+        *keys, "cut", F.sum("n").over(earlier).alias("rows_before"), F.sum("v").over(earlier).alias("values_before")
     )
-    inside = Window.partitionBy(*keys, *cuts).orderBy(F.col(measure).desc_nulls_last())
+    inside = Window.partitionBy(*keys, "cut").orderBy(falling)
     larger = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     numbered = sliced.withColumns(
         {"larger_rows": F.coalesce(larger, F.lit(0)), "place": F.row_number().over(inside).cast("long")}
     )
     none = F.lit(0)
-    return add_slice_figures(numbered, before, keys, cuts).select(
+    return add_slice_figures(numbered, before, keys, ["cut"]).select(
         *keys,
         measure,
         (F.col("larger_rows") + F.coalesce("rows_before", none) + 1).alias("rank"),
@@ -139,22 +133,20 @@ def ranked_values(
 
 
 def neighbours(
-    rows: DataFrame, keys: list[str], order: list[str], value: str, slice_of: Column,
-    limit: int = LARGE_KEYS, floor: int = LARGE_FLOOR,
+    rows: DataFrame, keys: list[str], order: list[str], value: str, limit: int = LARGE_KEYS, floor: int = LARGE_FLOOR
 ) -> DataFrame:
     """Previous and next value per key in ``order``. At the edge of a slice they come from the next slice."""
-    cuts = ["cut_range"]
-    sliced = cut_large(rows, keys, {"cut_range": slice_of}, limit, floor)
+    sliced = cut_large(rows, keys, [F.col(c) for c in order], limit, floor)
     at = F.struct(*order)
-    edges = sliced.where("is_large").groupBy(*keys, *cuts).agg(
+    edges = sliced.where("is_large").groupBy(*keys, "cut").agg(
         F.min_by(F.struct(value), at).alias("head"), F.max_by(F.struct(value), at).alias("tail")
     )
-    along = Window.partitionBy(*keys).orderBy(*cuts)
+    along = Window.partitionBy(*keys).orderBy("cut")
     edges = edges.select(
-        *keys, *cuts, F.lag(f"tail.{value}").over(along).alias("edge_before"),
+        *keys, "cut", F.lag(f"tail.{value}").over(along).alias("edge_before"),
         F.lead(f"head.{value}").over(along).alias("edge_after"),
     )
-    inside = Window.partitionBy(*keys, *cuts).orderBy(*order)
+    inside = Window.partitionBy(*keys, "cut").orderBy(*order)
     marked = sliced.withColumns(
         {
             "previous": F.lag(value).over(inside),
@@ -163,7 +155,7 @@ def neighbours(
             "is_tail": F.lead(F.lit(1)).over(inside).isNull(),
         }
     )
-    return add_slice_figures(marked, edges, keys, cuts).select(
+    return add_slice_figures(marked, edges, keys, ["cut"]).select(
         *rows.columns,
         F.when(F.col("is_head"), F.col("edge_before")).otherwise(F.col("previous")).alias("previous"),
         F.when(F.col("is_tail"), F.col("edge_after")).otherwise(F.col("next")).alias("next"),
@@ -184,29 +176,43 @@ def joined_on(rows: DataFrame, figures: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(figures, same).select(rows["*"], *[figures[c] for c in figures.columns if c not in keys])
 
 
-def exact_median(rows: DataFrame, column: str, band: float = 1e-5) -> Column:
-    """The exact median of a column as a scalar.
+#: Parts that a round of the search cuts its range into, and distinct values that are few enough to look at.
+PARTS, FEW = 1024, 4096
 
-    A quantile sketch bounds the middle from both sides. Only the values between
-    the two bounds, about 2 * band of all rows and fewer after equal values are
-    merged, are put in order; those below are just counted.
+
+def value_at(values: DataFrame, place: int):
+    """The value at a place (from 0) of the order of column ``v``, which holds no nulls.
+
+    A round counts the values in equal parts of the range that still holds the place, and goes on with one part,
+    until few distinct values are left. All it moves is one count per part.
     """
-    accuracy = int(5 / band)
-    known = rows.select(F.col(column).alias("v")).where("v is not null")
-    bounds = known.agg(
-        F.percentile_approx("v", [0.5 - band, 0.5 + band], accuracy).alias("b"), F.count(F.lit(1)).alias("n")
-    )
-    low, high = bounds.select(F.col("b")[0]).scalar(), bounds.select(F.col("b")[1]).scalar()
-    merged = known.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    below = known.where(F.col("v") < low).agg(F.count(F.lit(1))).scalar()
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + below
-    n = bounds.select("n").scalar()
-    placed = merged.select("v", upto.alias("upto"))
-    middle = placed.agg(
-        F.min(F.when(F.col("upto") > F.floor((n - 1) / 2), F.col("v"))).alias("lower"),
-        F.min(F.when(F.col("upto") > F.floor(n / 2), F.col("v"))).alias("upper"),
-    )
-    return middle.select((F.col("lower") + F.col("upper")) / 2).scalar()
+    v, rest = F.col("v").cast("double"), values
+    while True:
+        low, high, distinct = rest.agg(F.min(v), F.max(v), F.approx_count_distinct("v")).first()
+        width = (high - low) / PARTS
+        if distinct <= FEW // 2 or not 0 < width < float("inf"):
+            break
+        part = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(PARTS - 1))
+        for number, n in sorted(rest.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+            if place < n:
+                break
+            place -= n
+        rest = rest.where(part == number)
+    upto = 0
+    for row in rest.groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").toLocalIterator():
+        upto += row.n
+        if place < upto:
+            return row.v
+
+
+def exact_median(rows: DataFrame, column: str) -> Column:
+    """The exact median of a column as a literal: the middle value, or the mean of the two."""
+    values = rows.select(F.col(column).alias("v")).where("v is not null")
+    n = values.count()
+    if not n:
+        return F.lit(None)
+    lower, upper = value_at(values, (n - 1) // 2), value_at(values, n // 2)
+    return (F.lit(lower) + F.lit(upper)) / 2
 
 
 def count_per(lines: DataFrame, keys: list[str], out: str) -> DataFrame:

@@ -234,8 +234,8 @@ GROUP_COLUMNS = [*SCOPE, "line_id", "staff_key", "name_key", "status", "id_lines
                  "occurrence_rank", "mass", "impact", "formula_id"]
 
 
-def grouped(v: Views):
-    return ls.listing_group(v.pay, FORMULAS)
+def grouped(v: Views, rank: bool = True):
+    return ls.listing_group(v.pay, FORMULAS, rank)
 
 
 @query("listing_group", f"SELECT {', '.join(GROUP_COLUMNS)} FROM grouped", GROUPED)
@@ -267,12 +267,12 @@ SUMMARY = f"""count(*) AS row_count, {PEOPLE.format('line_id')} AS people, {mone
 
 @query("status_summary", f"SELECT status, {SUMMARY} FROM grouped GROUP BY status", GROUPED)
 def status_summary(v):
-    return ls.status_summary(grouped(v))
+    return ls.status_summary(grouped(v, rank=False))
 
 
 @query("regime_status_summary", f"SELECT regime, status, {SUMMARY} FROM grouped GROUP BY regime, status", GROUPED)
 def regime_status_summary(v):
-    return ls.status_summary(grouped(v), ["regime"])
+    return ls.status_summary(grouped(v, rank=False), ["regime"])
 
 
 NAMES_SQL = "names(institution_id, official_name) AS (VALUES ('IF', 'Institution F'), ('IO', 'Institution O'))"
@@ -287,7 +287,7 @@ SELECT g.quarter, g.year, CASE WHEN {USABLE} THEN 'M:' || staff_key ELSE 'N:' ||
   count(*) AS row_count, {money('sum(mass)')} AS mass, {money('sum(impact)')} AS impact
 FROM grouped g LEFT JOIN names n ON n.institution_id = g.institution_id GROUP BY 1, 2, 3""", (*GROUPED, NAMES_SQL))
 def unique_people_listing(v):
-    return ls.unique_people(grouped(v), v.institutions)
+    return ls.unique_people(grouped(v, rank=False), v.institutions)
 
 
 @query("results_by_status", f"""

@@ -393,7 +393,7 @@ def t_gap_pct(v):
 SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders""", raw=True)
 def t_row_number(v):
     rows = orders(v).select("o_orderkey", "o_custkey")
-    return rk.ranked(rows, ["o_custkey"], ["o_orderkey"], "place", slice_of="o_orderkey")
+    return rk.ranked(rows, ["o_custkey"], ["o_orderkey"], "place")
 
 
 @query("t_rank", """
@@ -401,7 +401,7 @@ SELECT event_id, event_type, value, rank() OVER (PARTITION BY event_type ORDER B
   dense_rank() OVER (PARTITION BY event_type ORDER BY value DESC) AS dense_rank FROM events""", raw=True)
 def t_rank(v):
     rows = v.table("events").select("event_id", "event_type", "value")
-    return rk.joined_on(rows, rk.ranked_values(rows, ["event_type"], "value", width=0.5), ["event_type", "value"])
+    return rk.joined_on(rows, rk.ranked_values(rows, ["event_type"], "value"), ["event_type", "value"])
 
 
 @query("t_sum_over", """
@@ -420,8 +420,7 @@ SELECT event_id, user_id, value, lag(value) OVER w AS previous, lead(value) OVER
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""", raw=True)
 def t_lag_lead(v):
     rows = v.table("events").select("event_id", "user_id", "value", "ts")
-    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
-    return rk.neighbours(rows, ["user_id"], ["ts", "event_id"], "value", day).drop("ts")
+    return rk.neighbours(rows, ["user_id"], ["ts", "event_id"], "value").drop("ts")
 
 
 # --- controls ------------------------------------------------------------------------
