@@ -7,9 +7,9 @@ largest sum of scores. A BPE model has no sums: its merge order decides. There
 a step is open only between two pieces that the merges would leave apart;
 every position then has exactly one way in, the one the merges lead to.
 
-Text is split before runs of the space mark, which no piece crosses (a model
-with a crossing piece is read unsplit), and ways of short splits are kept for
-reuse by a worker. Characters outside the pieces become byte pieces or, without
+Text is split where no piece crosses: before runs of the space mark, and between
+characters that stand next to each other in no piece. Ways of short splits are
+kept for reuse by a worker. Characters outside the pieces become byte pieces or, without
 those, the unknown piece.
 
 Defined cases: a null or empty text has no tokens and decodes to an empty text;
@@ -36,25 +36,48 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Ways that a worker keeps, the longest split it keeps, and pairs of pieces it remembers.
-KEPT, LONGEST, PAIRS = 200_000, 48, 500_000
+KEPT, LONGEST, PAIRS = 300_000, 48, 500_000
+#: What stands before the first piece of a split.
+START = (1 << 31) - 1
 
 
 class Ways(dict):
-    """Piece ids by split; emptied when full."""
+    """Piece ids by split, as bytes. When full, it becomes the old generation, from which what is used again returns."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
-    def __missing__(self, split: str) -> tuple[int, ...]:
-        ids = tuple(self.encode(split))
+    def __missing__(self, split: str) -> bytes:
+        ids = self.old.get(split) or np.array(self.encode(split), np.int32).tobytes()
         if len(split) <= LONGEST:
             if len(self) >= KEPT:
+                self.old = dict(self)
                 self.clear()
             self[split] = ids
         return ids
 
 
+def split_pattern(pieces) -> str:
+    """A pattern of the parts of a text that no piece crosses.
+
+    Characters that stand next to each other in some piece belong together; a
+    part is a run of such characters with the marks before it.
+    """
+    if any(re.search(f"[^{MARK}]{MARK}", piece) for piece in pieces):
+        return "(?s).+"
+    group: dict[str, set[str]] = {}
+    for piece in pieces:
+        own = set(piece) - {MARK}
+        if len(piece.lstrip(MARK)) < 2:
+            continue
+        merged = own.union(*(group[c] for c in own if c in group))
+        group.update(dict.fromkeys(merged, merged))
+    runs = {id(chars): chars for chars in group.values()}.values()
+    classes = ["[" + "".join(map(re.escape, sorted(chars))) + "]+" for chars in sorted(runs, key=len, reverse=True)]
+    return f"(?s){MARK}*(?:{'|'.join([*classes, f'[^{MARK}]'])})|{MARK}+"
+
+
 class Tokenizer:
     """One model: its pieces, the automaton over them, and both directions."""
 
@@ -69,6 +92,8 @@ class Tokenizer:
         self.prefix = MARK if norm.add_dummy_prefix else ""
         self.score = {p.piece: p.score for p in spec.pieces if p.type == NORMAL}
         self.pieces = [p.piece for p in spec.pieces]
+        self.worth = [p.score for p in spec.pieces]
+        self.characters = {p.piece for p in spec.pieces if p.type == NORMAL and len(p.piece) == 1}
         self.unknown = next(i for i, p in enumerate(spec.pieces) if p.type == UNKNOWN)
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(spec.pieces) if p.type == BYTE}
         self.unknown_score = min(self.score.values()) - UNKNOWN_PENALTY
@@ -80,11 +105,10 @@ class Tokenizer:
         self.automaton = ahocorasick.Automaton()
         for i, p in enumerate(spec.pieces):
             if p.type == NORMAL:
-                self.automaton.add_word(p.piece, (i, len(p.piece), p.score))
+                self.automaton.add_word(p.piece, (i, len(p.piece)))
         self.automaton.make_automaton()
-        crossing = any(re.search(f"[^{MARK}]{MARK}", piece) for piece in self.score)
-        self.splits = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.splits = re.compile(split_pattern(self.score)).findall
+        self.apart: dict[int, bool] = {}
         self.ways = Ways(self.best_way)
 
     def merged(self, text: str) -> list[str]:
@@ -99,43 +123,60 @@ class Tokenizer:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stay_apart(self, left: str, right: str) -> bool:
-        """Whether the merges of the two pieces' text end in just these two pieces."""
-        known = self.apart.get((left, right))
-        if known is None:
-            if len(self.apart) >= PAIRS:
-                self.apart.clear()
-            known = self.merged(left + right) == ([left, right] if left else [right])
-            self.apart[left, right] = known
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether the merges of two pieces' text end in just these two; left is START at the beginning."""
+        after = self.pieces[right]
+        before = "" if left == START else self.pieces[left]
+        known = left == self.unknown or self.merged(before + after) == ([before, after] if before else [after])
+        if len(self.apart) >= PAIRS:
+            self.apart.clear()
+        self.apart[left << 32 | right] = known
         return known
 
+    def relaxed_by_merges(self, split: str, start: list[int], piece: list[int]) -> None:
+        """A position's way in is the longest piece that stays apart from the piece before it."""
+        apart, stay_apart, strange = self.apart.get, self.stay_apart, self.strange(split)
+        for end, (i, length) in self.automaton.iter(split):
+            if strange and strange[0] < end:
+                self.stand_alone(strange, end, start, piece)
+            begin = end + 1 - length
+            left = piece[begin]
+            if left >= 0 > piece[end + 1]:
+                known = apart(left << 32 | i)
+                if stay_apart(left, i) if known is None else known:
+                    piece[end + 1], start[end + 1] = i, begin
+        self.stand_alone(strange, len(split), start, piece)
+
+    def relaxed_by_scores(self, split: str, start: list[int], piece: list[int]) -> None:
+        """A position's way in is the piece with the best sum of scores up to it."""
+        best, strange = [0.0] + [-np.inf] * len(split), self.strange(split)
+        for end, (i, length) in chain(self.automaton.iter(split), [(len(split), (0, 0))]):
+            for at in self.stand_alone(strange, end, start, piece):
+                best[at + 1] = best[at] + self.unknown_score
+            begin, to = end + 1 - length, end + 1
+            if length and best[begin] + self.worth[i] > best[to]:
+                best[to], piece[to], start[to] = best[begin] + self.worth[i], i, begin
+
+    def strange(self, split: str) -> list[int]:
+        """Places of characters outside the pieces."""
+        return [] if self.characters.issuperset(split) else [at for at, c in enumerate(split) if c not in self.characters]
+
+    def stand_alone(self, strange: list[int], end: int, start: list[int], piece: list[int]) -> list[int]:
+        """Characters outside the pieces before ``end`` that no piece covers stand alone; returns their places."""
+        alone = []
+        while strange and strange[0] < end:
+            at = strange.pop(0)
+            if piece[at + 1] < 0 <= piece[at]:
+                piece[at + 1], start[at + 1] = self.unknown, at
+                alone.append(at)
+        return alone
+
     def best_way(self, split: str) -> list[int]:
-        """Viterbi over one split: relax every position by the pieces that end there."""
-        size, nothing = len(split), -np.inf
-        score, start, piece = [nothing] * (size + 1), [0] * (size + 1), [self.unknown] * (size + 1)
-        last = [""] * (size + 1)
-        score[0] = 0.0
-        found = self.automaton.iter(split)
-        end, out = next(found, (size, None))
-        for at in range(size):
-            single = False
-            while end == at:
-                i, length, worth = out
-                begin = at + 1 - length
-                single = single or length == 1
-                if self.merges:
-                    here = split[begin:at + 1]
-                    if score[begin] > nothing and self.stay_apart(last[begin], here):
-                        score[at + 1], start[at + 1], piece[at + 1], last[at + 1] = 0.0, begin, i, here
-                elif score[begin] + worth > score[at + 1]:
-                    score[at + 1], start[at + 1], piece[at + 1] = score[begin] + worth, begin, i
-                end, out = next(found, (size, None))
-            if not single:  # a character outside the pieces stands alone
-                way = 0.0 if self.merges else score[at] + self.unknown_score
-                if way > score[at + 1]:
-                    score[at + 1], start[at + 1], piece[at + 1], last[at + 1] = way, at, self.unknown, split[at]
+        """Viterbi over one split: at every position the pieces that end there relax the best way in, longest first."""
+        start, piece = [0] * (len(split) + 1), [START] + [-1] * len(split)
+        (self.relaxed_by_merges if self.merges else self.relaxed_by_scores)(split, start, piece)
         ids: list[int] = []
-        at = size
+        at = len(split)
         while at:
             begin, i = start[at], piece[at]
             if i == self.unknown and self.bytes:
@@ -149,7 +190,7 @@ class Tokenizer:
         if not text:
             return np.empty(0, np.int32)
         splits = self.splits(self.prefix + text.replace(" ", MARK))
-        return np.fromiter(chain.from_iterable(map(self.ways.__getitem__, splits)), np.int32)
+        return np.frombuffer(b"".join(map(self.ways.__getitem__, splits)), np.int32)
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
