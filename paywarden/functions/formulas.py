@@ -224,9 +224,15 @@ def forced(formulas: list[Formula], formula_id: str, institution: str, regime: s
     raise ValueError("The chosen formula is not in force for this institution, regime and period.")
 
 
+def decimal_text(number: object) -> str:
+    """All digits of a coefficient, without trailing zeros."""
+    text = f"{Decimal(str(number)):f}"
+    return text.rstrip("0").rstrip(".") if "." in text else text
+
+
 def describe(formula: Formula) -> str:
     """The formula as text."""
-    parts = [f"{coefficient:g} × {code}" for code, coefficient in formula.terms]
+    parts = [f"{decimal_text(coefficient)} × {code}" for code, coefficient in formula.terms]
     return " + ".join(parts) or "0"
 
 

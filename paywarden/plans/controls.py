@@ -102,6 +102,25 @@ def matching_scopes(v):
     return mt.matching_summary(matched(v), SCOPE)
 
 
+#: The same tables over the lines that the business filters keep.
+FILTERED = (FORMULA_SQL, MATCH_SQL.replace("FROM pay p", "FROM listing p"))
+
+
+@query("matching_filtered", "SELECT * FROM matched", FILTERED)
+def matching_filtered(v):
+    """Matching of the lines that the business filters keep."""
+    return mt.matching(v.listing, v.declared, FORMULAS)
+
+
+@query("matching_forced", """
+SELECT line_id, status, 'f3' AS formula_id, cast(base_pay + 0.5 * bonus AS decimal(18,2)) AS impact FROM classified""", MATCHED)
+def matching_forced(v):
+    """Matching valued by one formula for the whole run, whatever the scopes have in force."""
+    forced = next(f for f in FORMULAS if f.formula_id == "f3")
+    rows = mt.matching(v.pay, v.declared, FORMULAS, forced).where("line_id is not null")
+    return rows.select("line_id", "status", "formula_id", "impact")
+
+
 @query("impact_by_status", "SELECT line_id, status, formula_id, impact FROM matched WHERE line_id IS NOT NULL", MATCHED)
 def impact_by_status(v):
     classified = mt.classify(v.pay, v.declared)
@@ -173,7 +192,13 @@ def default_impact(v):
     return fx.with_value(valued, [], "impact").select("line_id", "impact")
 
 
-TEXTS = " ".join(f"WHEN formula_id = '{f.formula_id}' THEN '{fx.describe(f)}'" for f in [fx.DEFAULT_FORMULA, *FORMULAS])
+#: The formulas as a reader would write them.
+TEXTS = """
+WHEN formula_id = 'DEFAULT' THEN '1 × BASE_PAY + 1 × TRANSPORT + 1 × BONUS + 1 × HOUSING + 1 × PENSION + 1 × OTHER_PAY'
+WHEN formula_id IN ('f1', 'f6') THEN '1 × BASE_PAY' WHEN formula_id = 'f2' THEN '1 × BASE_PAY + -1 × DEDUCTIONS'
+WHEN formula_id = 'f3' THEN '1 × BASE_PAY + 0.5 × BONUS' WHEN formula_id = 'f4' THEN '2 × BASE_PAY'
+WHEN formula_id IN ('f5', 'f9') THEN '1 × GROSS_PAY' WHEN formula_id = 'f7' THEN '0'
+WHEN formula_id = 'f8' THEN '5 × BASE_PAY' WHEN formula_id = 'f10' THEN '1 × NET_PAY'"""
 
 
 @query("formula_text", f"""
@@ -243,6 +268,13 @@ def listing_group(v):
     return grouped(v).select(*GROUP_COLUMNS)
 
 
+@query("listing_filtered", f"SELECT {', '.join(GROUP_COLUMNS)} FROM grouped",
+       (FORMULA_SQL, GROUP_SQL.replace("FROM pay)", "FROM listing)")))
+def listing_filtered(v):
+    """The listing group of the lines that the business filters keep."""
+    return ls.listing_group(v.listing, FORMULAS).select(*GROUP_COLUMNS)
+
+
 @query("occurrence_counts", "SELECT line_id, id_lines, name_lines FROM occurrences", GROUPED)
 def occurrence_counts(v):
     return ls.occurrence_counts(v.pay).select("line_id", "id_lines", "name_lines")

@@ -103,8 +103,8 @@ def with_views(body: str, *more: str) -> str:
     return "WITH " + ",\n".join([PAY_SQL.strip(), *[m.strip() for m in more]]) + "\n" + body
 
 
-#: Tables written in this session: (application, folder, name) to path and layout.
-WRITTEN: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+#: Tables written in this session: (application, state of the source files, name) to path and layout.
+WRITTEN: dict[tuple, tuple[str, T.StructType]] = {}
 
 
 class Views:
@@ -123,7 +123,7 @@ class Views:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = (self.spark.sparkContext.applicationId, self.source_state(), name)
         if key not in WRITTEN:
             rows, path = build(), scratch_path(self.spark, name)
             rows.hint("rebalance", *PERIOD).write.partitionBy(*PERIOD).parquet(path)
@@ -131,6 +131,13 @@ class Views:
         path, schema = WRITTEN[key]
         return self.spark.read.schema(schema).parquet(path).select(*schema.names)
 
+    def source_state(self) -> tuple:
+        """Path, size and time of the files that pay and declared lines are derived from: changed files are read anew."""
+        path_of, conf = self.spark._jvm.org.apache.hadoop.fs.Path, self.spark._jsc.hadoopConfiguration()
+        paths = [path_of(f"{self.folder}/{name}.parquet") for name in ("orders", "customer", "nation")]
+        found = [status for path in paths for status in path.getFileSystem(conf).listStatus(path)]
+        return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found))
+
     @cached_property
     def pay(self) -> DataFrame:
         """Standard pay lines."""
