@@ -6,9 +6,11 @@ tree branches on it: a node picks two signature places, and documents that
 agree in one go on together. Two sets of similarity s share a branch with
 probability s, so from s = 0.75 on a tree keeps a pair together down to any
 depth with a probability of 8/9 at least; independent trees raise that to the
-target recall (1 - 9**-TREES). Small nodes are compared exhaustively. A large
-node compares all its documents with its least one; if confirmed links do not
-join it into one component already, it branches on.
+target recall (1 - 9**-TREES). At the root's branches every document is first
+compared with one document of its node; most nodes are then one component and
+done. The others go on with what the components leave open: small nodes, and
+dense ones that branching does not thin out, are compared exhaustively across
+components, the rest branches.
 
 Candidates that pass the sizes' bound and a wide margin of the signatures'
 agreement are confirmed on their full shingle sets. Links inside a component
@@ -24,41 +26,41 @@ no rows; ties cannot occur, ids decide.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paywarden.llm.common import utf8, written
+from paywarden.llm.common import SPACE, utf8, written
 from paywarden.llm.components import components
 
 #: Words of a shingle, and the link condition: PART * intersection >= WHOLE * union.
 WORDS, PART, WHOLE = 5, 100, 75
 #: Signature places, independent trees, documents of a node that is compared exhaustively.
-PLACES, TREES, LEAF = 64, 8, 20
-#: Candidates agree in this many places at least; a linked pair does not with a probability below 1e-7.
-AGREEING = 28
-#: Tree levels of one round, and rounds before the rest is compared exhaustively.
-LEVELS, ROUNDS = 2, 8
+PLACES, TREES, LEAF = 64, 8, 40
+#: Candidates agree in this many places at least; a linked pair does not with a probability below 1e-4.
+AGREEING = 34
+#: Documents of a dense cluster that a task compares with as many others.
+BLOCK_DOCS = 1024
+#: Levels of a tree, how many of them one job goes down, and the share of a node that goes down with dense ones.
+DEPTH, LEVELS, DENSE = 8, 2, 0.35
 
 RANDOM = np.random.default_rng(20240601)
 MIX = RANDOM.integers(0, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 FLIP = RANDOM.integers(0, 1 << 32, PLACES, np.uint32)
 ODD = RANDOM.integers(0, 1 << 31, PLACES, np.uint32) * np.uint32(2) + np.uint32(1)
-#: Word hashes that a worker keeps, and shingles whose signature is taken at a time.
-KEPT, BLOCK = 200_000, 4096
-
-
-class WordHashes(dict):
-    """64-bit hash by word; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: Shingles whose signature is taken at a time, and bytes whose words are hashed at a time.
+BLOCK, PIECE = 512, 1 << 18
+#: A word's hash is a polynomial of its bytes' numbers; POWERS and INVERSES hold the powers of its odd base.
+LETTERS = RANDOM.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+BASE = int(RANDOM.integers(0, 1 << 62)) * 4 + 3
+POWERS = np.cumprod(np.full(2 * PIECE, BASE, np.uint64))
+INVERSES = np.cumprod(np.full(2 * PIECE, pow(BASE, -1, 1 << 64), np.uint64))
+IS_SPACE = np.isin(np.arange(256), list(SPACE))
+NEXT_SPACE = re.compile(rb"[\x20\x09-\x0D]|\Z")
 
 
 def scrambled(values: np.ndarray) -> np.ndarray:
@@ -68,14 +70,40 @@ def scrambled(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
+def piece_words(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a piece of text, in order."""
+    data = np.frombuffer(raw, np.uint8)
+    outside = np.ones(len(data) + 2, np.int8)
+    outside[1:-1] = IS_SPACE[data]
+    edges = np.diff(outside)
+    start, end = np.flatnonzero(edges < 0), np.flatnonzero(edges > 0)
+    if len(data) <= len(POWERS):
+        powers, inverses = POWERS, INVERSES
+    else:  # one word longer than a piece
+        powers = np.cumprod(np.full(len(data), BASE, np.uint64))
+        inverses = np.cumprod(np.full(len(data), INVERSES[0], np.uint64))
+    upto = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(LETTERS[data] * powers[:len(data)], out=upto[1:])
+    return scrambled((upto[end] - upto[start]) * inverses[start] + (end - start).astype(np.uint64))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of all words; long texts are cut between words."""
+    parts, begin = [], 0
+    while begin < len(raw):
+        end = NEXT_SPACE.search(raw, min(begin + PIECE, len(raw))).start()
+        parts.append(piece_words(raw[begin:end]))
+        begin = end + 1
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
     """The distinct shingles of a whole text, as sorted 64-bit hashes."""
-    words = utf8(text).lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    coded = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(WORDS, len(words))
-    count = len(words) - width + 1
+    coded = word_hashes(utf8(text).lower())
+    if not len(coded):
+        return coded
+    width = min(WORDS, len(coded))
+    count = len(coded) - width + 1
     summed = np.full(count, np.uint64(width)) * MIX[WORDS]
     for place in range(width):
         summed += coded[place:place + count] * MIX[place]
@@ -94,11 +122,10 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, size and digest of the shingle set, signature."""
-    hashes = WordHashes()
     for batch in batches:
         sizes, first, second, places = [], [], [], []
         for text in batch.column("text"):
-            found = shingles(text.as_py(), hashes)
+            found = shingles(text.as_py())
             sizes.append(len(found))
             first.append(int(found.sum().view(np.int64)) if len(found) else 0)
             second.append(int(np.bitwise_xor.reduce(scrambled(found + MIX[0])).view(np.int64)) if len(found) else 0)
@@ -113,11 +140,10 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id and its whole shingle set."""
-    hashes = WordHashes()
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)
-            sets = [shingles(text.as_py(), hashes).view(np.int64) for text in part.column("text")]
+            sets = [shingles(text.as_py()).view(np.int64) for text in part.column("text")]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "found"])
 
 
@@ -126,70 +152,133 @@ def linked(common: Column, size_a: Column, size_b: Column) -> Column:
 
 
 def first_nodes(classes: DataFrame) -> DataFrame:
-    """(node, rep): two branches at the root of every tree."""
+    """(node, rep, root, was): two branches at the root of every tree; ``was`` is the size of the node above."""
     keys = [F.xxhash64(F.lit(place), F.col("sig")[place]) for place in range(2 * TREES)]
-    return classes.select(F.explode(F.array(*keys)).alias("node"), "rep")
+    return classes.select(
+        F.explode(F.array(*keys)).alias("node"), "rep", F.col("rep").alias("root"), F.lit(None).cast("bigint").alias("was")
+    )
 
 
 def next_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows' documents in the two child nodes, LEVELS levels down; a node's places follow from its key."""
-    rows = rows.join(classes.select("rep", "sig"), "rep")
+    rows = rows.join(classes.select("rep", "sig"), "rep").select("node", "rep", "root", F.col("n").alias("was"), "sig")
     for _ in range(LEVELS):
         first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PLACES)).cast("int")
         step = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(PLACES - 1)).cast("int") + 1
         children = [
             F.xxhash64("node", place, F.element_at("sig", place + 1)) for place in (first, (first + step) % PLACES)
         ]
-        rows = rows.select(F.explode(F.array(*children)).alias("node"), "rep", "sig", "root")
-    return rows.select("node", "rep", "root")
+        rows = rows.select(F.explode(F.array(*children)).alias("node"), "rep", "root", "was", "sig")
+    return rows.drop("sig")
 
 
 def with_nodes(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold more than one component, with the node's size and least document."""
-    nodes = rows.groupBy("node").agg(
-        F.count("*").alias("n"), F.min("rep").alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high")
-    ).where(F.col("low") != F.col("high")).select(F.col("node").alias("key"), "n", "pivot")
-    return rows.join(nodes, F.col("node") == F.col("key")).select("node", "rep", "root", "n", "pivot")
-
-
-def small_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of different components in nodes of at most LEAF documents."""
-    inside = rows.where(F.col("n") <= LEAF).groupBy("node").agg(
-        F.array_sort(F.collect_set(F.struct("rep", "root"))).alias("all")
+    """Rows of nodes that hold more than one component: the node's size and least document, a document drawn
+    from it, and its largest component as ``major``."""
+    parts = rows.groupBy("node", "root").agg(
+        F.count("*").alias("n"), F.min("rep").alias("least"), F.max("was").alias("was"),
+        F.min(F.struct(F.xxhash64("node", "rep").alias("draw"), "rep")).alias("drawn"),
     )
-    ones = inside.select("all", F.posexplode("all").alias("at", "one"))
-    twos = ones.select("one", F.explode(F.slice("all", F.col("at") + 2, LEAF)).alias("two"))
-    return twos.where(F.col("one.root") != F.col("two.root")).select(
-        F.col("one.rep").alias("a"), F.col("two.rep").alias("b")
+    nodes = parts.groupBy(F.col("node").alias("key")).agg(
+        F.sum("n").alias("n"), F.min("least").alias("least"), F.min("drawn").alias("drawn"), F.max("was").alias("above"),
+        F.max(F.struct("n", "root")).alias("major"), F.count("*").alias("parts"),
+    ).where(F.col("parts") > 1)
+    return rows.join(nodes, F.col("node") == F.col("key")).select(
+        "node", "rep", "root", "n", "least", F.col("drawn.rep").alias("drawn"), F.col("major.root").alias("major"),
+        (F.col("n") >= DENSE * F.col("above")).alias("dense"),
     )
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
-    """Every document of a larger node with the node's least document."""
-    return rows.where((F.col("n") > LEAF) & (F.col("rep") != F.col("pivot"))).select(
-        F.col("pivot").alias("a"), F.col("rep").alias("b")
-    )
+def star_pairs(rows: DataFrame, centre: str) -> DataFrame:
+    """Every document of a node with one of them."""
+    return rows.where(F.col("rep") != F.col(centre)).select(F.col(centre).alias("a"), F.col("rep").alias("b"))
 
 
-def rest_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of different components in the nodes that are still large after the last round.
+def likely(n_a: str, n_b: str, sig_a: str, sig_b: str) -> Column:
+    """Whether the sizes allow a link and the signatures agree in enough places."""
+    agreeing = F.size(F.filter(F.zip_with(sig_a, sig_b, lambda x, y: x == y), lambda same: same))
+    return (PART * F.least(n_a, n_b) >= WHOLE * F.greatest(n_a, n_b)) & (agreeing >= AGREEING)
 
-    Their documents agree in more places than unlike sets do, so hardly any node comes here.
-    """
-    one = rows.where(F.col("n") > LEAF).select("node", F.col("rep").alias("a"), F.col("root").alias("root_a"))
-    two = one.withColumnsRenamed({"a": "b", "root_a": "root_b"})
-    return one.join(two, "node").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b")
+
+def side(classes: DataFrame, name: str) -> DataFrame:
+    return classes.select(F.col("rep").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n_shingles").alias(f"n_{name}"))
 
 
 def candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs whose sizes allow a link and whose signatures agree in enough places."""
-    side = lambda x: classes.select(
-        F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}")
+    """Distinct likely pairs."""
+    joined = pairs.distinct().join(side(classes, "a"), "a").join(side(classes, "b"), "b")
+    return joined.where(likely("n_a", "n_b", "sig_a", "sig_b")).select("a", "b").distinct()
+
+
+def cross_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The likely pairs of different components in small nodes.
+
+    The documents outside the largest component meet all others; what is unlikely leaves inside the join.
+    """
+    ones = rows.where(F.col("root") != F.col("major")).select(
+        F.col("node").alias("key"), F.col("rep").alias("a"), F.col("root").alias("root_a")
+    ).join(side(classes, "a"), "a")
+    twos = rows.select("node", F.col("rep").alias("b"), "root", "major").join(side(classes, "b"), "b")
+    other = (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("major")) | (F.col("a") < F.col("b")))
+    near = likely("n_a", "n_b", "sig_a", "sig_b")
+    return ones.join(twos, (F.col("node") == F.col("key")) & other & near).select("a", "b").distinct()
+
+
+def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """A list column as one array per row."""
+    lists = column.combine_chunks()
+    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [values[begin:end] for begin, end in zip(ends, ends[1:])]
+
+
+def compared(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(a, b): the links between documents of different components, from their full sets."""
+    found: list[tuple[int, int]] = []
+    if left.num_rows and right.num_rows:
+        ids, roots, sizes = (right[c].to_numpy() for c in ("rep", "root", "n_shingles"))
+        main, sets = roots == right["major"][0].as_py(), arrays(right["found"])
+        places = np.stack(arrays(right["sig"]))
+        ones = zip(left["rep"].to_pylist(), left["root"].to_pylist(), arrays(left["found"]), arrays(left["sig"]))
+        for rep, root, own, sig in ones:
+            size = len(own)
+            open_ = (roots != root) & (main | (ids > rep)) & (PART * np.minimum(sizes, size) >= WHOLE * np.maximum(sizes, size))
+            open_ &= (places == sig).sum(axis=1) >= AGREEING
+            for at in np.flatnonzero(open_):
+                common = size + len(sets[at]) - len(np.union1d(own, sets[at]))
+                if PART * common >= WHOLE * (size + len(sets[at]) - common):
+                    found.append((rep, int(ids[at])))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def dense_links(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links that dense nodes leave open, by exact comparison.
+
+    Documents that share such nodes form a cluster, in which each stands once. The documents outside the cluster's
+    largest component are compared with all of it, in blocks of a bounded number of documents.
+    """
+    together = rows.select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    clusters = components(together).select(F.col("node").alias("own"), F.col("root").alias("cluster"))
+    members = written(rows.select("rep", "root").distinct().join(clusters, F.col("rep") == F.col("own")).drop("own"), "members")
+    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy(F.col("cluster").alias("of")).agg(
+        F.ceil(F.sum("n") / BLOCK_DOCS).cast("int").alias("blocks"), F.max(F.struct("n", "root"))["root"].alias("major")
+    )
+    wanted = members.select(F.col("rep").alias("doc_id"))
+    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(full_sets, "doc_id bigint, found array<bigint>")
+    known = sets.select(F.col("doc_id").alias("own"), "found")
+    placed = written(
+        members.join(sizes, F.col("cluster") == F.col("of")).join(classes.select("rep", "n_shingles", "sig"), "rep")
+        .join(known, F.col("rep") == F.col("own"))
+        .select("cluster", "rep", "root", "major", "n_shingles", "sig", "found", "blocks",
+                F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")),
+        "placed",
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["rep", "root", "major", "n_shingles", "sig", "found"]
+    left = placed.where(F.col("root") != F.col("major")).select("cluster", F.col("block").alias("i"), every.alias("j"), *columns)
+    right = placed.select("cluster", every.alias("i"), F.col("block").alias("j"), *columns)
+    return left.groupBy("cluster", "i", "j").cogroup(right.groupBy("cluster", "i", "j")).applyInArrow(
+        compared, "a bigint, b bigint"
     )
-    joined = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    agreeing = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-    return joined.where((PART * F.least(n_a, n_b) >= WHOLE * F.greatest(n_a, n_b)) & (agreeing >= AGREEING)).select("a", "b").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -203,6 +292,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(linked(common, F.size("set_a"), F.size("set_b"))).select("a", "b").distinct()
 
 
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of nodes with the component of every document."""
+    known = roots.withColumnRenamed("node", "own")
+    return rows.select("node", "rep").join(known, F.col("rep") == F.col("own"), "left").select(
+        "node", "rep", F.coalesce("root", "rep").alias("root"), F.lit(None).cast("bigint").alias("was")
+    )
+
+
 def shared_ids(members: DataFrame) -> DataFrame:
     """Links between the classes of rows that share an id."""
     several = members.where(F.col("rep").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(
@@ -224,29 +321,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")),
         "classes",
     )
-    alone = lambda rows: rows.withColumn("root", F.col("rep"))
-    rows = written(with_nodes(alone(first_nodes(classes))), "nodes")
+    rows = written(with_nodes(first_nodes(classes)), "nodes")
     members = written(
         signed.select("doc_id", *identity).join(classes.select(*identity, "rep"), identity, "left")
         .select("doc_id", "n_shingles", "rep"), "members",
     )
-    links, roots = written(shared_ids(members), "links"), None
-    for turn in range(1, ROUNDS + 1):
-        last = turn == ROUNDS
-        pairs = small_pairs(rows).unionByName(rest_pairs(rows) if last else star_pairs(rows))
-        found = written(candidates(pairs, classes), "candidates")
-        if not found.isEmpty():
-            links = written(links.unionByName(confirmed(found, docs)), "links")
+    links = written(shared_ids(members), "links")
+    for centre in ("least", "drawn"):
+        stars = written(candidates(star_pairs(rows, centre), classes), "stars")
+        links = written(links.unionByName(confirmed(stars, docs)), "links")
         roots = components(links)
-        large = rows.where(F.col("n") > LEAF)
-        if last or large.isEmpty():
-            break
-        known = large.select("node", "rep").join(
-            roots.withColumnRenamed("node", "own"), F.col("rep") == F.col("own"), "left"
-        ).select("node", "rep", F.coalesce("root", "rep").alias("root"))
-        rows = written(with_nodes(next_nodes(with_nodes(known).select("node", "rep", "root"), classes)), "nodes")
+        rows = written(with_nodes(with_roots(rows, roots)), "nodes")
+    found, dense = [], []
+    for _ in range(0, DEPTH, LEVELS):
+        small, thick = F.col("n") <= LEAF, F.coalesce("dense", F.lit(False))
+        found.append(written(cross_pairs(rows.where(small), classes), "candidates"))
+        dense.append(rows.where(~small & thick))
+        rows = written(with_nodes(next_nodes(rows.where(~small & ~thick), classes)), "nodes")
         if rows.isEmpty():
             break
+    more = written(reduce(DataFrame.unionByName, found).distinct(), "candidates")
+    thick = written(reduce(DataFrame.unionByName, [*dense, rows]), "dense")
+    extra = [confirmed(more, docs)] * (not more.isEmpty()) + [dense_links(thick, classes, docs)] * (not thick.isEmpty())
+    if extra:
+        roots = components(written(reduce(DataFrame.unionByName, [links, *extra]), "links"))
     placed = members.join(roots, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
@@ -255,7 +353,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One document of every component, with all its columns; its repeated rows are dropped too."""
+    """One document of every component, with all its columns; rows that share an id stay or go together."""
     gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_own"))
     return rows.join(gone, F.col("_own") == F.col("_gone"), "left_anti").select("row.*")
