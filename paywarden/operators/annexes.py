@@ -8,6 +8,7 @@ every line tell in which annexes it is.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -358,24 +359,37 @@ def flag_elsewhere(rows: DataFrame, key: str) -> DataFrame:
     return marked.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("first_line", "first_pos")})
 
 
-def pack_entries(lines: DataFrame, declared: DataFrame, rules: list[FilterRule], formulas: list[fx.Formula]) -> DataFrame:
-    """Every (annex, line) of the pack with its person and impact."""
+def pack_entries(
+    lines: DataFrame, declared: DataFrame, rules: list[FilterRule], formulas: list[fx.Formula], names: list[str] = ()
+) -> DataFrame:
+    """Every (annex, line) of the pack, or of the named annexes, with its person and impact."""
+    wanted = lambda members: {n: m for n, m in members.items() if not names or n in names}
     money = [c for c in [*fx.BUILT_IN_COMPONENTS.values(), "extra_components"] if c in lines.columns]
     col = F.col
     flags = [col("id_head"), col("name_head"), col("name_head_val"), col("id_head_pos"), col("name_head_pos")]
-    entries = exploded(annotate(lines.where(retained(rules)), declared), membership(), flags, "line_id", money)
+    parts = []
+    if local := wanted(membership()):
+        parts.append(exploded(annotate(lines.where(retained(rules)), declared), local, flags, "line_id", money))
     for key in (ID, NAME):
+        if not (outside := wanted(elsewhere_members(key))):
+            continue
         rows = elsewhere(lines, declared, rules, key)
         flags = [F.lit(False), F.lit(False)]
         if fx.any_ranked(formulas, [Rubric.PAID_ELSEWHERE]):
             rows, flags = flag_elsewhere(rows, key), [col("first_line"), col("first_pos")]
-        entries = entries.unionByName(exploded(rows, elsewhere_members(key), flags, "line_id", money))
+        parts.append(exploded(rows, outside, flags, "line_id", money))
+    of_declared = declared_entries(declared, wanted)
+    if not parts:
+        return of_declared
+    entries = reduce(DataFrame.unionByName, parts)
     resolved = entries.withColumn("formula_id", fx.resolve_by(formulas, "rubric", Rubric.ALL, fx.NO_FORMULA))
     valued = fx.with_value(resolved, formulas, "impact", first="first_line")
-    return valued.select(*SCOPE, "annex", "family", "concerned", "impact").unionByName(declared_entries(declared))
+    valued = valued.select(*SCOPE, "annex", "family", "concerned", "impact")
+    return valued if of_declared is None else valued.unionByName(of_declared)
 
 
-def declared_entries(declared: DataFrame) -> DataFrame:
+def declared_entries(declared: DataFrame, wanted) -> DataFrame | None:
+    """Entries of the declared annexes that are wanted, if any."""
     line = F.col("declared_id")
     rows = declared
     for key, prefix in ((ID, "id"), (NAME, "name")):
@@ -396,7 +410,10 @@ def declared_entries(declared: DataFrame) -> DataFrame:
         "declared_first_name": col("name_head") == line,
         "declared_dup_name": col("name_lines") > 1,
     }
-    entries = exploded(rows, {name: (test, ALWAYS) for name, test in tests.items()}, [], "declared_id", [])
+    members = wanted({name: (test, ALWAYS) for name, test in tests.items()})
+    if not members:
+        return None
+    entries = exploded(rows, members, [], "declared_id", [])
     return entries.select(*SCOPE, "annex", "family", "concerned", F.lit(0).cast(MONEY).alias("impact"))
 
 

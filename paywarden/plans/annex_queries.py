@@ -103,8 +103,8 @@ FIGURES = f"count(*) AS row_count, count(DISTINCT concerned) AS people, {money('
 SUMMARY_SQL = f"summary AS (SELECT {S}, family, annex, {FIGURES} FROM entries GROUP BY {S}, family, annex)"
 
 
-def summary(v: Views):
-    return ax.annex_summary(ax.pack_entries(v.pay, v.declared, RULES, FORMULAS))
+def summary(v: Views, names: list[str] = ()):
+    return ax.annex_summary(ax.pack_entries(v.pay, v.declared, RULES, FORMULAS, names))
 
 
 @query("annex_summary", f"SELECT {S}, family, annex, {FIGURES} FROM entries GROUP BY {S}, family, annex", PACK)
@@ -129,7 +129,7 @@ SELECT {S}, CASE annex {FINDING} END AS finding, {TOTALS}
 FROM summary WHERE annex IN ({', '.join(f"'{n}'" for n in ax.FINDINGS.values())}) GROUP BY {S}, annex""",
        (*PACK, SUMMARY_SQL))
 def findings(v):
-    return ax.findings(summary(v), SCOPE)
+    return ax.findings(summary(v, list(ax.FINDINGS.values())), SCOPE)
 
 
 @query("annex_people", f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -10,7 +12,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf) -> SparkSession:
-    """Local session for tests and the bench. A cluster brings its own session."""
+    """Local session for tests and the bench; ``conf`` takes ``spark.checkpoint.dir`` too. A cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("paywarden")
@@ -31,7 +33,14 @@ def build_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf) -> S
 
 @lru_cache(maxsize=1)
 def local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="paywarden-")
+    """A folder of a local session, removed when Python ends."""
+    folder = tempfile.mkdtemp(prefix="paywarden-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+#: Folders that this process has asked for; ``drop_scratch`` removes them.
+SCRATCH: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -45,4 +54,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder that every executor can reach.")
         shared = local_scratch()
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    SCRATCH.append(f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this process. Frames that read them cannot be computed any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    while SCRATCH:
+        target = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        target.getFileSystem(conf).delete(target, True)
