@@ -8,9 +8,9 @@ probability s, so from s = 0.75 on a tree keeps a pair together down to any
 depth with a probability of 8/9 at least; independent trees raise that to the
 target recall (1 - 9**-TREES). At the root's branches every document is first
 compared with one document of its node; most nodes are then one component and
-done. The others go on with what the components leave open: small nodes, and
-dense ones that branching does not thin out, are compared exhaustively across
-components, the rest branches.
+done. The others go on with what the components leave open: small nodes are
+compared exhaustively across components, and so are dense ones, half of which
+is one component or which branching does not thin out; the rest branches.
 
 Candidates that pass the sizes' bound and a wide margin of the signatures'
 agreement are confirmed on their full shingle sets. Links inside a component
@@ -177,21 +177,29 @@ def with_nodes(rows: DataFrame) -> DataFrame:
     from it, and its largest component as ``major``."""
     parts = rows.groupBy("node", "root").agg(
         F.count("*").alias("n"), F.min("rep").alias("least"), F.max("was").alias("was"),
-        F.min(F.struct(F.xxhash64("node", "rep").alias("draw"), "rep")).alias("drawn"),
+        F.min(F.struct(F.xxhash64("node", "rep").alias("draw"), "rep", "root")).alias("drawn"),
     )
     nodes = parts.groupBy(F.col("node").alias("key")).agg(
         F.sum("n").alias("n"), F.min("least").alias("least"), F.min("drawn").alias("drawn"), F.max("was").alias("above"),
         F.max(F.struct("n", "root")).alias("major"), F.count("*").alias("parts"),
     ).where(F.col("parts") > 1)
     return rows.join(nodes, F.col("node") == F.col("key")).select(
-        "node", "rep", "root", "n", "least", F.col("drawn.rep").alias("drawn"), F.col("major.root").alias("major"),
-        (F.col("n") >= DENSE * F.col("above")).alias("dense"),
+        "node", "rep", "root", "n", "least", F.col("drawn.rep").alias("drawn"), F.col("drawn.root").alias("drawn_root"),
+        F.col("major.root").alias("major"),
+        (F.coalesce(F.col("n") >= DENSE * F.col("above"), F.lit(False)) | (2 * F.col("major.n") >= F.col("n"))).alias("dense"),
     )
 
 
 def star_pairs(rows: DataFrame, centre: str) -> DataFrame:
-    """Every document of a node with one of them."""
-    return rows.where(F.col("rep") != F.col(centre)).select(F.col(centre).alias("a"), F.col("rep").alias("b"))
+    """Every document of a node with one of them, unless both are in one component already."""
+    rows = rows.where(F.col("root") != F.col("drawn_root")) if centre == "drawn" else rows.where(F.col("rep") != F.col(centre))
+    return rows.select(F.col(centre).alias("a"), F.col("rep").alias("b"))
+
+
+def still_open(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The classes that the nodes still hold: what the next joins move."""
+    held = rows.select(F.col("rep").alias("held")).distinct()
+    return written(classes.join(held, F.col("rep") == F.col("held"), "left_semi").select("rep", "n_shingles", "sig"), "open")
 
 
 def likely(n_a: str, n_b: str, sig_a: str, sig_b: str) -> Column:
@@ -327,19 +335,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("doc_id", "n_shingles", "rep"), "members",
     )
     links = written(shared_ids(members), "links")
+    classes = still_open(classes, rows)
     for centre in ("least", "drawn"):
         stars = written(candidates(star_pairs(rows, centre), classes), "stars")
         links = written(links.unionByName(confirmed(stars, docs)), "links")
         roots = components(links)
         rows = written(with_nodes(with_roots(rows, roots)), "nodes")
+    classes = in_nodes = still_open(classes, rows)
     found, dense = [], []
     for _ in range(0, DEPTH, LEVELS):
-        small, thick = F.col("n") <= LEAF, F.coalesce("dense", F.lit(False))
-        found.append(written(cross_pairs(rows.where(small), classes), "candidates"))
+        small, thick = F.col("n") <= LEAF, F.col("dense")
+        found.append(written(cross_pairs(rows.where(small), in_nodes), "candidates"))
         dense.append(rows.where(~small & thick))
-        rows = written(with_nodes(next_nodes(rows.where(~small & ~thick), classes)), "nodes")
+        rows = written(with_nodes(next_nodes(rows.where(~small & ~thick), in_nodes)), "nodes")
         if rows.isEmpty():
             break
+        in_nodes = still_open(in_nodes, rows)
     more = written(reduce(DataFrame.unionByName, found).distinct(), "candidates")
     thick = written(reduce(DataFrame.unionByName, [*dense, rows]), "dense")
     extra = [confirmed(more, docs)] * (not more.isEmpty()) + [dense_links(thick, classes, docs)] * (not thick.isEmpty())

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from paywarden.llm.common import shuffle_partitions, utf8, written
+from paywarden.llm.shards import chunk_count
 
 #: Chunk sizes in bytes: least, normal, most; zero bits asked for before and after the normal size.
 LEAST, NORMAL, MOST = 16, 64, 256
@@ -154,10 +155,10 @@ def of_range(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ranges(docs: DataFrame) -> tuple[list[int], DataFrame]:
     """Bounds that cut the ids into ranges of like counts, and the largest id of every range with the range above it.
 
-    Both are as many as there are partitions, whatever the number of documents.
+    There are as many ranges as shuffle partitions, and more if texts are so many that a range would exceed a chunk.
     """
     ids = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), "ids")
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = max(shuffle_partitions(docs.sparkSession), chunk_count(docs))
     cuts = ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, max(parts, 2))], 20 * parts).alias("c")).first()["c"]
     bounds = sorted(set(cuts or []))
     heads = ids.groupBy(ranger(bounds)("doc_id").alias("range")).agg(F.max("doc_id").alias("head")).collect()

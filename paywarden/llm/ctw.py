@@ -10,9 +10,10 @@ estimates along its path with these weights; the path ends at the deepest node
 that training has reached. Code length per byte follows.
 
 A text is read as its lower-cased words, one space between them, and an end
-mark, so that its probability is that of the sequence of its tokens. Counts of
-all training texts, nodes and weights are sharded tables; texts ask for the
-n-grams and words that occur in them, once per chunk.
+mark, so that its probability is that of the sequence of its tokens. Chunks of
+texts ask once for every n-gram and word that occurs in them. The trees are cut
+into shards below a few bytes of context; a shard builds its part from the
+counts of all training texts and answers the questions of all chunks.
 
 Defined cases: a null or empty text, or one without words, is the end token
 alone; a null id is never held out; repeated rows count and score alike; an
@@ -22,16 +23,20 @@ empty table gives no rows; without training texts every choice is even.
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paywarden.llm.common import held_out, utf8, written
-from paywarden.llm.shards import bordered, chunk_count, distinct_grams, in_chunks, summed_by_text
+from paywarden.llm.shards import bordered, chunk_count, distinct_grams, in_chunks, summed_by_text, unpacked
 
-#: Depth of the trees in bytes, folds of which one is held out, and the base model's added count.
-DEPTH, FOLDS, ADDED = 5, 10, 0.1
+#: Depth of the trees in bytes, depth at which they are cut into shards, folds of which one is held out, and the
+#: base model's added count.
+DEPTH, SHARD, FOLDS, ADDED = 5, 3, 10, 0.1
 GRAM = DEPTH + 1
 #: Bits of the place within a byte: 1, then the choices made so far.
 PLACE_BITS = 8
@@ -49,11 +54,12 @@ def features(chunks: DataFrame) -> DataFrame:
     """(chunk, gram, word, n): each n-gram and each word of a chunk with its count in training texts."""
 
     def extract(group: pa.Table) -> pa.Table:
-        training = np.array([not held for held in group["held_out"].to_pylist()])
+        rows = unpacked(group)
+        training = [not held for held in rows["held_out"].to_pylist()]
         words: Counter[bytes] = Counter()
         others: set[bytes] = set()
         streams = []
-        for text, learn in zip(group["text"], training):
+        for text, learn in zip(rows["text"], training):
             own = words_of(text.as_py())
             words.update(own) if learn else others.update(own)
             streams.append(bordered(stream(own), GRAM))
@@ -74,96 +80,172 @@ def features(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk").applyInArrow(extract, "chunk int, gram bigint, word binary, n bigint")
 
 
-def log_gamma(x: Column) -> Column:
+# The formulas below take NumPy arrays and columns alike; ``log`` is the logarithm of either kind.
+
+
+def log_gamma(x, log):
     """Natural logarithm of the gamma function by Stirling's series, eight steps up."""
     high = x + 8
-    series = (high - 0.5) * F.log(high) - high + 0.9189385332046727 + 1 / (12 * high) - 1 / (360 * F.pow(high, 3)) + 1 / (1260 * F.pow(high, 5))
+    series = (high - 0.5) * log(high) - high + 0.9189385332046727 + 1 / (12 * high) - 1 / (360 * high**3) + 1 / (1260 * high**5)
     product = x
     for step in range(1, 8):
         product = product * (x + step)
-    return series - F.log(product)
+    return series - log(product)
 
 
-def block(zeros: Column, ones: Column) -> Column:
+def block(zeros, ones, log):
     """Logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - float(np.log(np.pi))
+    return log_gamma(zeros + 0.5, log) + log_gamma(ones + 0.5, log) - log_gamma(zeros + ones + 1, log) - float(np.log(np.pi))
 
 
-def estimate(zeros: Column, ones: Column) -> Column:
+def estimate(zeros, ones):
     """Probability of a one."""
     return (ones + 0.5) / (zeros + ones + 1)
 
 
-def log_sum(a: Column, b: Column) -> Column:
-    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
-
-
-def choices(gram: Column) -> Column:
-    """The eight binary choices of an n-gram's last byte: context with place, and the bit."""
-    context, byte = F.shiftright(gram, 8), gram.bitwiseAND(0xFF)
-    return F.array(*[
-        F.struct(
-            F.shiftleft(context, PLACE_BITS).bitwiseOR(F.lit(1 << bit).bitwiseOR(F.shiftright(byte, 8 - bit))).alias("node"),
-            F.shiftright(byte, 7 - bit).bitwiseAND(1).alias("bit"),
-        )
-        for bit in range(8)
-    ])
-
-
-def at_depth(node: Column, depth: int) -> Column:
+def at_depth(node, depth: int):
     """The node of the same choice with only the last ``depth`` bytes of context."""
-    return node.bitwiseAND(F.lit((1 << 8 * depth + PLACE_BITS) - 1))
-
-
-def trees(counts: DataFrame) -> list[DataFrame]:
-    """Per depth from 0: (node, q), the mixed probability of a one if the path ends there.
-
-    Counts and weighted block probabilities are summed upwards, the mixture is
-    carried downwards; each step is one aggregate or one join of sharded tables.
+    mask = (1 << 8 * depth + PLACE_BITS) - 1
+    return node.bitwiseAND(F.lit(mask)) if isinstance(node, Column) else node & mask
+
+
+def choices(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, bit) of the eight binary choices of each n-gram's last byte, choice by choice."""
+    context, byte = grams >> 8 << PLACE_BITS, grams & 0xFF
+    nodes = [context | 1 << bit | byte >> 8 - bit for bit in range(8)]
+    return np.concatenate(nodes), np.concatenate([byte >> 7 - bit & 1 for bit in range(8)])
+
+
+@dataclass
+class Level:
+    """Nodes of one depth in order: counts, logarithm of the weighted block probability, weight of stopping."""
+
+    node: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray
+    stop: np.ndarray
+
+
+def shard_levels(grams: np.ndarray, counts: np.ndarray) -> dict[int, Level]:
+    """The nodes from SHARD to DEPTH of n-grams that hold every n-gram after the same SHARD bytes."""
+    nodes, bits = choices(grams)
+    node, at = np.unique(nodes, return_inverse=True)
+    weights = np.tile(counts, 8).astype(np.float64)
+    zeros, ones = (np.bincount(at, weights * (bits == b), len(node)) for b in (0, 1))
+    levels = {DEPTH: Level(node, zeros, ones, block(zeros, ones, np.log), np.ones(len(node)))}
+    for depth in range(DEPTH - 1, SHARD - 1, -1):
+        below = levels[depth + 1]
+        node, at = np.unique(at_depth(below.node, depth), return_inverse=True)
+        zeros, ones, under = (np.bincount(at, x, len(node)) for x in (below.zeros, below.ones, below.weighted))
+        own = block(zeros, ones, np.log)
+        weighted = np.logaddexp(own, under) - np.log(2)
+        levels[depth] = Level(node, zeros, ones, weighted, np.minimum(np.exp(own - weighted) / 2, 1.0))
+    return levels
+
+
+def shard_tops(group: pa.Table) -> pa.Table:
+    """A shard's nodes at depth SHARD: node, zeros, ones, weighted, stop."""
+    grams, at = np.unique(group["gram"].to_numpy(), return_inverse=True)
+    counts = np.bincount(at, group["n"].to_numpy(), len(grams))
+    top = shard_levels(grams[counts > 0], counts[counts > 0])[SHARD]
+    return pa.table({"node": top.node, "zeros": top.zeros, "ones": top.ones, "weighted": top.weighted, "stop": top.stop})
+
+
+def shard_answers(group: pa.Table, above: pa.Table) -> pa.Table:
+    """(chunk, gram, value) for every row of a shard: log10 of the probability of the n-gram's last byte."""
+    grams, at = np.unique(group["gram"].to_numpy(), return_inverse=True)
+    counts = np.bincount(at, group["n"].to_numpy(), len(grams))
+    mixed: dict[int, tuple[np.ndarray, ...]] = {}
+    for depth in range(SHARD):
+        rows = above.filter(pc.equal(above["depth"], depth)).sort_by("node")
+        mixed[depth] = tuple(rows[c].to_numpy() for c in ("node", "acc", "rest", "q"))
+    for depth, level in sorted(shard_levels(grams[counts > 0], counts[counts > 0]).items()):
+        up, acc, rest, _ = mixed[depth - 1]
+        parent = np.searchsorted(up, at_depth(level.node, depth - 1))
+        one, acc, rest = estimate(level.zeros, level.ones), acc[parent], rest[parent]
+        mixed[depth] = level.node, acc + rest * level.stop * one, rest * (1 - level.stop), acc + rest * one
+    nodes, bits = choices(grams)
+    q = np.full(len(nodes), np.nan)
+    for depth in range(DEPTH, -1, -1):  # the deepest node that training has reached
+        known, _, _, value = mixed[depth]
+        open_ = np.flatnonzero(np.isnan(q))
+        if len(known) and len(open_):
+            wanted = at_depth(nodes[open_], depth)
+            place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            hit = known[place] == wanted
+            q[open_[hit]] = value[place[hit]]
+    q = np.where(np.isnan(q), 0.5, q)
+    values = np.log10(np.where(bits == 1, q, 1 - q)).reshape(8, -1).sum(axis=0)
+    return pa.table({"chunk": group["chunk"], "gram": group["gram"], "value": values[at]})
+
+
+def top_levels(tops: DataFrame) -> DataFrame:
+    """(depth, node, acc, rest, q) of the nodes above the shards: summed upwards, then mixed downwards.
+
+    ``q`` is the mixed probability of a one if the path ends at the node,
+    ``acc`` and ``rest`` are what the nodes down to it give and leave over.
     """
-    bits = counts.where(F.col("n") > 0).select("n", F.explode(choices(F.col("gram"))).alias("c"))
-    sums = bits.groupBy("c.node").agg(
-        F.sum(F.when(F.col("c.bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("zeros"),
-        F.sum(F.when(F.col("c.bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("ones"),
-    )
-    alone = block(F.col("zeros"), F.col("ones"))
-    levels = [written(sums.select("node", "zeros", "ones", alone.alias("weighted"), F.lit(1.0).alias("stop")), "level")]
-    for depth in range(DEPTH - 1, -1, -1):
-        up = levels[-1].groupBy(at_depth(F.col("node"), depth).alias("node")).agg(
-            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below")
+    level, levels = tops, {}
+    for depth in range(SHARD - 1, -1, -1):
+        up = level.groupBy(at_depth(F.col("node"), depth).alias("node")).agg(
+            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("under")
         )
-        up = up.withColumn("own", alone).withColumn("weighted", log_sum(F.col("own"), F.col("below")) - float(np.log(2)))
+        up = up.withColumn("own", block(F.col("zeros"), F.col("ones"), F.log))
+        both = F.greatest("own", "under") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("under"))))
+        up = up.withColumn("weighted", both - float(np.log(2)))
         stop = F.least(F.exp(F.col("own") - F.col("weighted")) / 2, F.lit(1.0))
-        levels.append(written(up.select("node", "zeros", "ones", "weighted", stop.alias("stop")), "level"))
-    levels.reverse()
+        level = levels[depth] = written(up.select("node", "zeros", "ones", "weighted", stop.alias("stop")), "level")
     mixed, above = [], None
-    for depth, level in enumerate(levels):
+    for depth in range(SHARD):
         one = estimate(F.col("zeros"), F.col("ones"))
         if above is None:
-            rows = level.withColumns({"acc": F.lit(0.0), "rest": F.lit(1.0)})
+            rows = levels[depth].withColumns({"acc": F.lit(0.0), "rest": F.lit(1.0)})
         else:
-            rows = level.join(
+            rows = levels[depth].join(
                 above.select(F.col("node").alias("up"), "acc", "rest"), at_depth(F.col("node"), depth - 1) == F.col("up")
             )
-        above = written(rows.select(
-            "node", (F.col("acc") + F.col("rest") * F.col("stop") * one).alias("acc"),
+        above = rows.select(
+            F.lit(depth).alias("depth"), "node", (F.col("acc") + F.col("rest") * F.col("stop") * one).alias("acc"),
             (F.col("rest") * (1 - F.col("stop"))).alias("rest"), (F.col("acc") + F.col("rest") * one).alias("q"),
-        ), "mixed")
-        mixed.append(above.select("node", "q"))
-    return mixed
+        )
+        mixed.append(above)
+    return written(reduce(DataFrame.unionByName, mixed), "tops")
 
 
-def log_probabilities(grams: DataFrame, mixed: list[DataFrame]) -> DataFrame:
-    """(gram, value): log10 of the probability of each distinct n-gram's last byte after the bytes before it."""
-    bits = grams.select("gram", F.explode(choices(F.col("gram"))).alias("c")).select("gram", "c.*")
-    found = bits.select("node").distinct()
-    for depth in range(DEPTH, -1, -1):
-        level = mixed[depth].select(F.col("node").alias(f"n{depth}"), F.col("q").alias(f"q{depth}"))
-        found = found.join(level, at_depth(F.col("node"), depth) == F.col(f"n{depth}"), "left").drop(f"n{depth}")
-    q = F.coalesce(*[f"q{depth}" for depth in range(DEPTH, -1, -1)], F.lit(0.5))
-    known = found.select(F.col("node").alias("own"), q.alias("q"))
-    right = F.when(F.col("bit") == 1, F.col("q")).otherwise(1 - F.col("q"))
-    return bits.join(known, F.col("node") == F.col("own")).groupBy("gram").agg(F.sum(F.log10(right)).alias("value"))
+def gram_answers(seen: DataFrame, count: int) -> DataFrame:
+    """(chunk, gram, value) for every n-gram that a chunk asks for.
+
+    N-grams are dealt by the last SHARD bytes of their context, so a shard holds
+    whole subtrees, and no more than 256 ** (GRAM - SHARD) n-grams under one key.
+    """
+    context = F.shiftright("gram", 8)
+    suffix = context.bitwiseAND(F.lit((1 << 8 * SHARD) - 1))
+    shard = F.pmod(F.xxhash64(suffix), F.lit(count)).cast("int")
+    rows = seen.where(F.col("gram").isNotNull()).select("chunk", "gram", "n", shard.alias("shard")).repartition(count, "shard")
+    layout = "node bigint, zeros double, ones double, weighted double, stop double"
+    tops = top_levels(written(rows.groupBy("shard").applyInArrow(shard_tops, layout), "level"))
+    paths = rows.select(F.col("shard").alias("home"), suffix.alias("suffix")).distinct().select(
+        "home", F.explode(F.array(*[
+            F.struct(F.lit(d).alias("depth"), F.col("suffix").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("context"))
+            for d in range(SHARD)
+        ])).alias("p")
+    ).select("home", "p.*").distinct()
+    above = tops.withColumnRenamed("depth", "of").join(
+        paths, (F.col("of") == F.col("depth")) & (F.shiftright("node", PLACE_BITS) == F.col("context"))
+    ).select("home", "depth", "node", "acc", "rest", "q")
+    return rows.groupBy("shard").cogroup(above.groupBy("home")).applyInArrow(
+        shard_answers, "chunk int, gram bigint, value double"
+    )
+
+
+def word_counts(seen: DataFrame) -> DataFrame:
+    """(chunk, word, c, first): the count of every word in all training texts, and one row of each word marked."""
+    alike = Window.partitionBy("word")
+    place = F.row_number().over(alike.orderBy("chunk"))
+    return written(seen.where(F.col("word").isNotNull()).select(
+        "chunk", "word", F.sum("n").over(alike).alias("c"), (place == 1).alias("first")
+    ), "words")
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -176,42 +258,37 @@ def scored(docs: DataFrame) -> DataFrame:
     seen = written(features(chunks), "features")
     ends = marked.agg(F.count_if(~F.col("held_out"))).first()[0]
 
-    words = written(seen.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("c")), "words")
-    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    words = word_counts(seen)
+    total, kinds = words.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     total, kinds = int(total) + int(ends), int(kinds) + (1 if ends else 0)
     scale = np.log10(total + ADDED * (kinds + 1))
 
-    grams = written(seen.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    values = log_probabilities(grams.select("gram"), trees(grams))
-    asked = seen.select("chunk", "gram", "word")
-    answers = asked.where(F.col("gram").isNotNull()).join(values.withColumnRenamed("gram", "own"), F.col("gram") == F.col("own")).select(
-        "chunk", "gram", F.lit(None).cast("binary").alias("word"), "value"
-    ).unionByName(
-        asked.where(F.col("word").isNotNull()).join(words.withColumnRenamed("word", "own"), F.col("word") == F.col("own")).select(
-            "chunk", F.lit(None).cast("bigint").alias("gram"), "word", F.col("c").cast("double").alias("value")
-        )
+    answers = gram_answers(seen, count).select("chunk", "gram", F.lit(None).cast("binary").alias("word"), "value").unionByName(
+        words.select("chunk", F.lit(None).cast("bigint").alias("gram"), "word", F.col("c").cast("double").alias("value"))
     )
 
-    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+    def score(blobs: pa.Table, found: pa.Table) -> pa.Table:
+        texts = unpacked(blobs)
         is_gram = found["gram"].is_valid()
         known = found.filter(is_gram)
         own = found.filter(found["word"].is_valid())
         count_of = dict(zip(own["word"].to_pylist(), own["value"].to_pylist()))
-        rows = [words_of(text.as_py()) for text in texts["text"]]
-        streams = [stream(row) for row in rows]
-        sums = summed_by_text(
-            [bordered(s, GRAM) for s in streams], GRAM, known["gram"].to_numpy(), known["value"].to_numpy()
-        )
         out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": []}
-        for row in rows:
+        streams = []
+        for text in texts["text"]:
+            row = words_of(text.as_py())
             c = np.fromiter(map(count_of.__getitem__, row), np.float64, len(row))
             out["n_tokens"].append(len(row) + 1)
             out["n_known"].append(int(np.count_nonzero(c)) + (1 if ends else 0))
             out["base_score"].append(float(np.log10(c + ADDED).sum() + np.log10(ends + ADDED) - (len(row) + 1) * scale))
+            streams.append(stream(row))
+        sums = summed_by_text(
+            [bordered(s, GRAM) for s in streams], GRAM, known["gram"].to_numpy(), known["value"].to_numpy()
+        )
         size = np.array([len(s) + 1 for s in streams], np.int64)
         return pa.table({
             "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": out["n_tokens"], "n_known": out["n_known"],
-            "train_tokens": pa.array(np.full(len(rows), total, np.int64)), "base_score": out["base_score"], "score": pa.array(sums),
+            "train_tokens": pa.array(np.full(len(streams), total, np.int64)), "base_score": out["base_score"], "score": pa.array(sums),
             "n_bytes": pa.array(size), "bits_per_byte": pa.array(-sums / np.log10(2) / size),
         })
 

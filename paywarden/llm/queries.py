@@ -20,7 +20,7 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id"), 5))
-    model = toxicity.fit(docs.join(labels, "doc_id"))
+    model = toxicity.fit(docs, labels)
     return toxicity.scored(docs, model).select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from paywarden.llm.grams import Lookup, blocks
 
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 20 << 20
 #: A byte that UTF-8 never has: it stands before and after every text.
 EDGE = b"\xff"
 
@@ -29,9 +29,39 @@ def chunk_count(docs: DataFrame) -> int:
 
 
 def in_chunks(docs: DataFrame, count: int, *columns: str) -> DataFrame:
-    """doc_id, text and further columns with their chunk, which the hash of id and length gives."""
+    """(chunk, blob): doc_id, text and further columns of the documents that the hash of id and length puts together.
+
+    Every task packs its rows for a chunk into compressed blobs, which move in place of the rows.
+    """
     chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(count)).cast("int")
-    return docs.select("doc_id", "text", *columns, chunk.alias("chunk")).repartition(count, "chunk")
+    rows = docs.select("doc_id", "text", *columns, chunk.alias("chunk"))
+    return rows.mapInArrow(packed_by_chunk, "chunk int, blob binary").repartition(count, "chunk")
+
+
+def packed_by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        chunks = batch.column("chunk").to_numpy()
+        order = np.argsort(chunks, kind="stable")
+        bounds = np.flatnonzero(np.diff(chunks[order])) + 1
+        ordered = batch.drop_columns(["chunk"]).take(pa.array(order))
+        for begin, end in zip([0, *bounds], [*bounds, batch.num_rows]):
+            if end > begin:
+                blob = packed(ordered.slice(begin, end - begin))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunks[order[begin]]], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "blob"]
+                )
+
+
+def packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(group: pa.Table) -> pa.Table:
+    """The rows of a chunk's blobs."""
+    return pa.concat_tables([pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in group["blob"]])
 
 
 def bordered(stream: bytes, order: int) -> bytes:
@@ -74,7 +104,7 @@ def asked(chunks: DataFrame, stream: Callable[[str | None], bytes], order: int)
     """(chunk, gram): what every chunk needs to know."""
 
     def ask(group: pa.Table) -> pa.Table:
-        streams = [bordered(stream(text.as_py()), order) for text in group["text"]]
+        streams = [bordered(stream(text.as_py()), order) for text in unpacked(group)["text"]]
         keys, _ = distinct_grams(streams, order)
         chunk = group["chunk"][0].as_py()
         return pa.table({"chunk": pa.array(np.full(len(keys), chunk, np.int32)), "gram": pa.array(keys)})

@@ -36,6 +36,8 @@ SAMPLE, FEATURES, CHANCE = 30_000, 20_000, 20.0
 #: Smoothing of the counts, and the ridge penalty of the regression.
 SMOOTHING, RIDGE = 1.0, 0.002
 FILTER_BITS = 22
+#: N-grams that a counting task holds before it sums them.
+HELD = 1 << 20
 
 
 def stream(text: str | None) -> bytes:
@@ -51,34 +53,36 @@ def features(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield keys | np.int64(order << 56), owner
 
 
-def presence(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each n-gram once per text."""
-    for at, one in enumerate(streams):
-        keys = np.unique(np.concatenate([k for k, _ in features([one])] or [np.empty(0, np.int64)]))
-        yield keys, np.full(len(keys), at)
+def presence(text: str | None) -> np.ndarray:
+    """The distinct n-grams of a text, in order."""
+    found = [np.unique(keys) for keys, _ in features([stream(text)])]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
 def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each class by n-gram, summed over what a task reads."""
-    held: list[np.ndarray] = []
+    """Texts of each class by n-gram, summed over some thousand texts at a time."""
+    held: tuple[list[np.ndarray], list[np.ndarray]] = [], []
     size = 0
 
-    def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([p[c] for p in parts]), len(keys)).astype(np.int64) for c in (1, 2)]
-        return pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, sums)], ["gram", "toxic", "clean"])
+    def summed() -> pa.RecordBatch:
+        counts = [np.unique(np.concatenate(one or [np.empty(0, np.int64)]), return_counts=True) for one in held]
+        keys = np.union1d(counts[0][0], counts[1][0])
+        columns = []
+        for known, n in counts:
+            column = np.zeros(len(keys), np.int64)
+            column[np.searchsorted(keys, known)] = n
+            columns.append(pa.array(column))
+        return pa.RecordBatch.from_arrays([pa.array(keys), *columns], ["gram", "clean", "toxic"])
 
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("toxic")):
-            for keys, _ in presence([stream(text.as_py())]):
-                bad = np.full(len(keys), label.as_py(), np.int64)
-                held.append(np.stack([keys, bad, 1 - bad]))
-                size += len(keys)
-        if size > 1 << 22:
-            yield summed(held)
-            held, size = [], 0
-    if held:
-        yield summed(held)
+            keys = presence(text.as_py())
+            held[label.as_py()].append(keys)
+            size += len(keys)
+            if size > HELD:
+                yield summed()
+                held, size = ([], []), 0
+    yield summed()
 
 
 class Model:
@@ -112,21 +116,24 @@ def slots(keys: np.ndarray) -> np.ndarray:
     return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).view(np.int64)
 
 
-def sample(labelled: DataFrame) -> DataFrame:
-    """At most about SAMPLE rows, by the hash of their id: the same ones in every run."""
-    total = max(labelled.count(), 1)
-    buckets = 1 << 30
-    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)) < int(buckets * min(1.0, SAMPLE / total)))
+def sample(labels: DataFrame) -> DataFrame:
+    """(id, toxic) of at most SAMPLE labels, by the hash of their id: the same ones in every run."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    share = min(1.0, 1.1 * SAMPLE / max(known.count(), 1))
+    chosen = known.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    return written(chosen.where(draw < int(share * (1 << 30))).orderBy(draw, "id", "toxic").limit(SAMPLE), "labels")
 
 
-def fit(labelled: DataFrame) -> Model:
-    """A model from rows of (doc_id, text, toxic 0 or 1)."""
-    rows = written(sample(labelled.where(F.col("toxic").isin(0, 1)).select("doc_id", "text", F.col("toxic").cast("int"))), "labelled")
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from texts (doc_id, text) and labels (doc_id, toxic 0 or 1). Only the bounded sample of labels is broadcast."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample(labels)), F.col("doc_id") == F.col("id"))
+    rows = written(rows.select("doc_id", "text", "toxic"), "labelled")
     n_toxic, n_clean = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     nothing = np.empty(0, np.int64), np.empty(0)
     if not n_toxic or not n_clean:
         return Model(*nothing, 500.0 if n_toxic else -500.0)
-    counts = rows.select("text", "toxic").mapInArrow(class_counts, "gram bigint, toxic bigint, clean bigint")
+    counts = rows.select("text", "toxic").mapInArrow(class_counts, "gram bigint, clean bigint, toxic bigint")
     counts = counts.groupBy("gram").agg(F.sum("toxic").cast("double").alias("p"), F.sum("clean").cast("double").alias("q"))
     ratio = F.log(((F.col("p") + SMOOTHING) / (n_toxic + 2 * SMOOTHING)) / ((F.col("q") + SMOOTHING) / (n_clean + 2 * SMOOTHING)))
     absent = F.lit(float(n_toxic)) - F.col("p"), F.lit(float(n_clean)) - F.col("q")
@@ -144,9 +151,8 @@ def fit(labelled: DataFrame) -> Model:
     size = len(grams)
 
     @F.udf(VectorUDT())
-    def scaled(text: str | None):
-        keys = np.concatenate([k for k, _ in presence([stream(text)])])
-        at = np.flatnonzero(np.isin(grams, keys, assume_unique=True))
+    def scaled(text):
+        at = np.flatnonzero(np.isin(grams, presence(text), assume_unique=True))
         return Vectors.sparse(size, at.tolist(), ratios[at].tolist())
 
     vectors = written(rows.select(F.col("toxic").cast("double").alias("label"), scaled("text").alias("features")), "vectors")
