@@ -58,16 +58,18 @@ def features(chunks: DataFrame) -> DataFrame:
         training = [not held for held in rows["held_out"].to_pylist()]
         words: Counter[bytes] = Counter()
         others: set[bytes] = set()
-        streams = []
+        streams: tuple[list[bytes], list[bytes]] = [], []
         for text, learn in zip(rows["text"], training):
             own = words_of(text.as_py())
             words.update(own) if learn else others.update(own)
-            streams.append(bordered(stream(own), GRAM))
+            streams[learn].append(bordered(stream(own), GRAM))
+        del rows
         for word in others:
             words.setdefault(word, 0)
-        grams, _ = distinct_grams(streams, GRAM)
+        scored, _ = distinct_grams(streams[False], GRAM)
+        learned, n = distinct_grams(streams[True], GRAM)
+        grams = np.union1d(scored, learned)
         counts = np.zeros(len(grams), np.int64)
-        learned, n = distinct_grams([s for s, learn in zip(streams, training) if learn], GRAM)
         counts[np.searchsorted(grams, learned)] = n
         size = len(grams) + len(words)
         return pa.table({

@@ -32,10 +32,16 @@ def blocks(streams: Sequence[bytes], order: int) -> Iterator[tuple[np.ndarray, n
     data, starts = joined(streams)
     for begin in range(0, max(len(data) - order + 1, 0), BLOCK):
         keys = packed(data[begin:begin + BLOCK + order - 1], order)
-        place = np.arange(begin, begin + len(keys))
-        owner = np.searchsorted(starts, place, side="right") - 1
-        inside = place + order <= starts[owner + 1]
-        yield keys[inside], owner[inside]
+        end = begin + len(keys)
+        first, last = np.searchsorted(starts, [begin, end - 1], side="right") - 1
+        texts = np.arange(first, last + 1)
+        # The block's n-grams of a text: from its start, or the block's, to the last one that ends in the text.
+        since = np.maximum(starts[texts], begin)
+        until = np.maximum(np.minimum(starts[texts + 1] - order + 1, end), since)
+        inside, counts = np.zeros(len(keys), bool), until - since
+        for here, there in zip((since - begin).tolist(), (until - begin).tolist()):
+            inside[here:there] = True
+        yield keys[inside], np.repeat(texts, counts)
 
 
 class Lookup:

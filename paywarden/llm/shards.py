@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from paywarden.llm.grams import Lookup, blocks
 
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 20 << 20
+CHUNK_BYTES = 14 << 20
 #: A byte that UTF-8 never has: it stands before and after every text.
 EDGE = b"\xff"
 
