@@ -164,6 +164,26 @@ def test_classifier_keeps_good_and_rejects_junk(spark):
     assert junk and sum(verdicts[i] for i in junk) <= 0.02 * len(junk)
 
 
+def test_the_quantile_of_its_language_decides(spark):
+    """Every label of quality 0, texts that repeat words among them, against a quantile taken here."""
+    given = "/root/testdata/sf0.1"
+    rows, labels = spark.read.parquet(f"{given}/documents.parquet"), spark.read.parquet(f"{given}/labels.parquet")
+    scores = kneser_ney.perplexities(rows, kneser_ney.trusted_sample(labels)).collect()
+    values = defaultdict(list)
+    for r in scores:
+        if r["calibrates"] and r["log_ppl"] is not None:
+            values[r["lang"]].append(r["log_ppl"])
+    most = {lang: sorted(v)[math.ceil(kneser_ney.QUANTILE * len(v)) - 1] for lang, v in values.items()}
+    assert all(len(v) >= kneser_ney.ENOUGH for v in values.values())
+    got = {r["doc_id"]: r for r in kneser_ney.judged(rows, labels).collect()}
+    for r in scores:
+        expected = r["log_ppl"] is not None and r["log_ppl"] <= most[r["lang"]]
+        assert got[r["doc_id"]]["kept"] == expected
+    bad = {r["doc_id"] for r in labels.where("quality = 0").collect()}
+    above = [r["doc_id"] for r in scores if r["doc_id"] in bad and r["log_ppl"] is not None and r["log_ppl"] > most[r["lang"]]]
+    assert above and not any(got[i]["kept"] for i in above)
+
+
 # Context-tree weighting -----------------------------------------------------
 
 
