@@ -184,6 +184,23 @@ def test_the_quantile_of_its_language_decides(spark):
     assert above and not any(got[i]["kept"] for i in above)
 
 
+def test_all_trusted_rows_calibrate(spark, monkeypatch):
+    """A rare language has a limit of its own, however few documents are counted."""
+    monkeypatch.setattr(kneser_ney, "TRUSTED", 50)
+    rng = random.Random(8)
+    rows = []
+    for i in range(640):
+        rare = i % 16 == 0
+        letters = "abcdef" if not rare else "uvwxyzßäö"
+        rows.append((i, " ".join("".join(rng.choices(letters, k=4)) for _ in range(20)), "rare" if rare else "en"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    trusted = kneser_ney.trusted_sample(labels)
+    assert trusted.count() == 640 and 0 < trusted.where("not calibrates").count() <= 50
+    limits = {(r["lang"], r["every"]) for r in kneser_ney.thresholds(kneser_ney.perplexities(docs, trusted)).collect()}
+    assert limits == {("en", False), ("rare", False), (None, True)}
+
+
 # Context-tree weighting -----------------------------------------------------
 
 
