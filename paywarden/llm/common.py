@@ -30,6 +30,11 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def text_mark() -> dict[str, Column]:
+    """128 bits that stand for the text of a row."""
+    return {"mark_a": F.xxhash64(F.lit(1), F.col("text")), "mark_b": F.xxhash64(F.lit(2), F.col("text"))}
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -201,6 +201,23 @@ def test_all_trusted_rows_calibrate(spark, monkeypatch):
     assert limits == {("en", False), ("rare", False), (None, True)}
 
 
+def test_rows_go_by_their_own_score(spark):
+    rng = random.Random(9)
+    good = lambda: " ".join("".join(rng.choices("abcdef", k=4)) for _ in range(20))
+    rows = [(i, good(), "en", "s") for i in range(300)]
+    rows += [(None, rows[i][1], "en", "s") for i in range(50)] + [(None, "", "en", "s"), (None, None, "en", "s")]
+    rows += [(None, "#$%&*" * 30, "en", "s"), (900, rows[7][1], "en", "one"), (900, "#$%&*" * 30, "en", "two")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id bigint, quality int")
+    got = Counter(tuple(r) for r in kneser_ney.keep(docs, labels).collect())
+    own = Counter((r["doc_id"], r["n_bytes"], r["kept"]) for r in kneser_ney.judged(docs, labels).collect())
+    assert Counter((i, len(t)) for i, t, _, _ in got.elements()) == Counter(
+        {(i, n): c for (i, n, kept), c in own.items() if kept}
+    )
+    assert sum(c for (i, *_), c in got.items() if i is None) >= 48
+    assert (900, rows[7][1], "en", "one") in got and not any(t and "#" in t for _, t, _, _ in got)
+
+
 # Context-tree weighting -----------------------------------------------------
 
 
