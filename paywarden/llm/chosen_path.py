@@ -21,7 +21,9 @@ Defined cases: a null or empty text, or one without words, has no shingles, is
 linked with nothing and kept; with fewer than five words the whole sequence is
 the one shingle; rows that share an id are one document, linked by any of their
 texts; a row without id is linked with nothing and kept; an empty table gives
-no rows; ties cannot occur, ids decide.
+no rows; ties cannot occur, ids decide. ``keep`` goes further: rows without id
+take part by their texts, after all rows with an id, and of the rows of a kept
+document one stays per class; rows without shingles all stay.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paywarden.llm.common import SPACE, utf8, written
+from paywarden.llm.common import SPACE, numbered, text_mark, utf8, written
 from paywarden.llm.components import components
 
 #: Words of a shingle, and the link condition: PART * intersection >= WHOLE * union.
@@ -121,7 +123,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, size and digest of the shingle set, signature."""
+    """doc_id, size and digest of the shingle set, signature, further columns as they are."""
     for batch in batches:
         sizes, first, second, places = [], [], [], []
         for text in batch.column("text"):
@@ -133,8 +135,9 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(places) if places else np.empty(0, np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1) * PLACES, pa.int32()), pa.array(flat))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists],
-            ["doc_id", "n_shingles", "sum", "mark", "sig"],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists,
+             *(batch.column(c) for c in batch.schema.names[2:])],
+            ["doc_id", "n_shingles", "sum", "mark", "sig", *batch.schema.names[2:]],
         )
 
 
@@ -318,12 +321,13 @@ def shared_ids(members: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept; the least id of a component is kept."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    layout = "doc_id bigint, n_shingles bigint, sum bigint, mark bigint, sig array<int>"
-    signed = written(docs.mapInArrow(signatures, layout), "signatures")
+def placed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Per row: doc_id, n_shingles, rep of its class, component_id, kept; with further bigint columns also sum and mark."""
+    layout = ", ".join(["doc_id bigint, n_shingles bigint, sum bigint, mark bigint, sig array<int>", *(f"{c} bigint" for c in columns)])
+    signed = written(docs.select("doc_id", "text", *columns).mapInArrow(signatures, layout), "signatures")
+    docs = docs.select("doc_id", "text")
     identity = ["n_shingles", "sum", "mark"]
+    carried = [*identity[1:], *columns] if columns else []
     classes = written(
         signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*identity)
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")),
@@ -331,8 +335,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     rows = written(with_nodes(first_nodes(classes)), "nodes")
     members = written(
-        signed.select("doc_id", *identity).join(classes.select(*identity, "rep"), identity, "left")
-        .select("doc_id", "n_shingles", "rep"), "members",
+        signed.select("doc_id", *identity, *columns).join(classes.select(*identity, "rep"), identity, "left")
+        .select("doc_id", "n_shingles", "rep", *carried), "members",
     )
     links = written(shared_ids(members), "links")
     classes = still_open(classes, rows)
@@ -356,15 +360,63 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     extra = [confirmed(more, docs)] * (not more.isEmpty()) + [dense_links(thick, classes, docs)] * (not thick.isEmpty())
     if extra:
         roots = components(written(reduce(DataFrame.unionByName, [links, *extra]), "links"))
-    placed = members.join(roots, F.col("rep") == F.col("node"), "left")
+    rooted = members.join(roots, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return rooted.select("doc_id", "n_shingles", "rep", component.alias("component_id"), *carried).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept; the least id of a component is kept."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return placed(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def text_numbers(rows: DataFrame) -> DataFrame:
+    """(mark_a, mark_b, number): ids for the texts of rows without one, above all ids or, without room there, below."""
+    ends = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    texts = written(rows.where(F.col("doc_id").isNull()).select("mark_a", "mark_b").distinct(), "unnamed")
+    count = texts.count()
+    if ends["high"] is None or ends["high"] + count < 1 << 63:
+        start = 0 if ends["high"] is None else ends["high"] + 1
+    elif ends["low"] - count >= -(1 << 63):
+        start = ends["low"] - count
+    else:
+        raise ValueError("The ids leave no room for numbers of the rows without id.")
+    ordered = numbered(texts, [F.col("mark_a"), F.col("mark_b")], "place")
+    return written(ordered.select("mark_a", "mark_b", (F.col("place") + F.lit(start)).alias("number")), "numbers")
+
+
 def keep(docs: DataFrame) -> DataFrame:
-    """One document of every component, with all its columns; rows that share an id stay or go together."""
-    gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_own"))
-    return rows.join(gone, F.col("_own") == F.col("_gone"), "left_anti").select("row.*")
+    """One row of every component's kept id and class, with all its columns.
+
+    Rows without id get numbers by their texts, so they join their class and its near-duplicates. Of a kept id one text
+    per class stays, and of rows with this id and text one.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *(c.alias(name) for name, c in text_mark().items()))
+    numbers = text_numbers(rows)
+    unnamed = rows.where(F.col("doc_id").isNull()).drop("doc_id").join(numbers, ["mark_a", "mark_b"])
+    unnamed = written(unnamed.select(F.col("number").alias("doc_id"), "text", "mark_a", "mark_b"), "unnamed_rows")
+    whole = rows.where(F.col("doc_id").isNotNull()).unionByName(unnamed)
+    # One id may stand for several classes, so a class is known by its set.
+    kind = ["doc_id", "n_shingles", "sum", "mark"]
+    texts = placed(whole, "mark_a", "mark_b").where(F.col("rep").isNotNull())
+    texts = written(texts.groupBy(*kind, "kept", "mark_a", "mark_b").agg(F.count("*").alias("n")), "texts")
+    chosen = texts.where("kept").groupBy(*kind).agg(F.min(F.struct("mark_a", "mark_b")).alias("chosen"))
+    fates = texts.join(chosen, kind, "left").withColumn(
+        "stays", F.coalesce(F.col("kept") & (F.struct("mark_a", "mark_b") == F.col("chosen")), F.lit(False))
+    ).where(~F.col("stays") | (F.col("n") > 1))
+    known = numbers.select(F.col("number"), F.lit(True).alias("by_text"))
+    fates = written(
+        fates.join(known, F.col("doc_id") == F.col("number"), "left").select(
+            F.when(F.col("by_text").isNull(), F.col("doc_id")).alias("_id"), F.col("mark_a").alias("_a"), F.col("mark_b").alias("_b"), "stays"
+        ), "fates",
+    )
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_own"), *text_mark().values())
+    own = own.toDF("row", "_own", "mark_a", "mark_b")
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("mark_a") == F.col("_a")) & (F.col("mark_b") == F.col("_b"))
+    once = own.join(fates, same, "left_anti").select("row")
+    # Every task keeps one row per id and text before rows move.
+    several = own.join(fates.where("stays"), same).groupBy("_own", "mark_a", "mark_b").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(several).select("row.*")

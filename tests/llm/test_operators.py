@@ -342,6 +342,21 @@ def test_rows_that_share_an_id(spark):
     ]
 
 
+def test_one_row_of_a_group_stays(spark):
+    """Rows repeated under one id, copies without id and near copies without id."""
+    text = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(3, text("a"), "s")] * 50 + [(3, text("a").upper(), "s"), (8, text("a"), "s"), (3, text("b"), "s")]
+    rows += [(None, text("a"), "s")] * 20 + [(None, text("c"), "t")] * 30 + [(None, text("c", 39), "t")]
+    rows += [(None, text("d"), "u"), (11, text("d", 39), "u"), (12, text("e"), "u"), (None, "", "v"), (None, "", "v"), (13, None, "v")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    got = chosen_path.keep(docs)
+    assert got.dtypes == docs.dtypes
+    named = Counter((r["doc_id"], (r["text"] or "").lower()) for r in got.collect() if r["doc_id"] is not None)
+    unnamed = Counter(r["text"][:1] for r in got.collect() if r["doc_id"] is None)
+    assert named == {(3, text("a")): 1, (3, text("b")): 1, (11, text("d", 39)): 1, (12, text("e")): 1, (13, ""): 1}
+    assert unnamed == {"c": 1, "": 2}
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 480)]
