@@ -7,9 +7,9 @@ another one is a snapshot and goes; of equal conversations the smallest id
 stays. Only DataFrame functions are used.
 
 A conversation's rolling hash is the exclusive or of two 64-bit hashes per
-turn, so it can be cut into slices of turn numbers: each slice is one window,
-the slices before it add one value. Conversations of any length thus spread
-over many tasks.
+turn. It is reduced to one row per turn number and cut into ranges of rows that
+Spark draws: a range of a conversation is one window, the ranges before it add
+one value. Conversations of any length thus spread over many tasks.
 
 Defined cases: a conversation is its set of (turn, role, text), so repeated
 rows count once and order within one turn is by role and text; a null text is
@@ -24,8 +24,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paywarden.llm.common import written
 
-#: Turn numbers per slice: bounds the rows of one window and of one rendered part.
+#: Turn numbers of a rendered part, and its most rows and bytes: a part that has more of them is cut by rows.
 SLICE = 512
+MOST_ROWS, MOST_BYTES = 4096, 64 << 20
+#: Characters of a text by which rows are dealt into ranges.
+HEAD = 256
 NO_TURN = (1 << 62) - 1
 
 #: How one turn is rendered.
@@ -49,31 +52,47 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     return turns.withColumn("slice", F.floor(F.col("turn") / SLICE).cast("bigint")).withColumn("mark", mark)
 
 
+def alike(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Inner join on null-safe keys that stand once in the result."""
+    right = right.withColumnsRenamed({key: f"_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
+    return left.join(right, same).drop(*(f"_{key}" for key in keys))
+
+
+def running(rows: DataFrame, group: list[str], order: list[Column], dealt: list[Column], total, join, **values: str) -> DataFrame:
+    """Rows with the totals of their group up to and including them, and whether they are the group's last row.
+
+    Rows are dealt out by ranges of ``dealt``, which must not contradict ``order``, so no task sees a large group whole.
+    """
+    ranged = written(rows.repartitionByRange(*group, *dealt).withColumn("_range", F.spark_partition_id()), "ranges")
+    by_range = Window.partitionBy(*group).orderBy("_range")
+    before = by_range.rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*group, "_range").agg(*(total(value).alias(f"_{name}") for name, value in values.items())).select(
+        *group, "_range", F.lead("_range").over(by_range).isNull().alias("final"),
+        *(F.coalesce(total(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in values),
+    )
+    upto = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    end = F.lead(F.lit(1)).over(Window.partitionBy(*group, "_range").orderBy(*order)).isNull()
+    inside = ranged.withColumns({name: total(value).over(upto) for name, value in values.items()} | {"last": end})
+    found = alike(inside, starts, *group, "_range")
+    return found.withColumns({name: join(F.col(name), F.col(f"_{name}")) for name in values}).withColumn(
+        "last", F.col("last") & F.col("final")
+    ).drop("_range", "final", *(f"_{name}" for name in values))
+
+
 def collapse(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_snapshots) of the maximal conversations."""
-    short = written(turns.select("conv_id", "turn", "slice", "mark.a", "mark.b"), "marks")
-    of_slice = short.groupBy("conv_id", "slice").agg(
-        F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.max("turn").alias("last"), F.count("*").alias("n")
-    )
-    order = Window.partitionBy("conv_id").orderBy("slice")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    base = of_slice.select(
-        "conv_id", "slice",
-        F.coalesce(F.bit_xor("a").over(before), F.lit(0)).alias("base_a"),
-        F.coalesce(F.bit_xor("b").over(before), F.lit(0)).alias("base_b"),
-        "last", F.lead("slice").over(order).isNull().alias("final"),
-    ).withColumnsRenamed({"conv_id": "own", "slice": "own_slice"})
-    # All turns up to and including this number; rows of one turn number share the hash.
-    upto = Window.partitionBy("conv_id", "slice").orderBy("turn").rangeBetween(Window.unboundedPreceding, 0)
-    rolling = short.withColumns({"in_a": F.bit_xor("a").over(upto), "in_b": F.bit_xor("b").over(upto)})
-    inner = (
-        rolling.join(base, F.col("conv_id").eqNullSafe(F.col("own")) & (F.col("slice") == F.col("own_slice")))
-        .where(~F.col("final") | (F.col("turn") < F.col("last")))
-        .select(F.col("in_a").bitwiseXOR(F.col("base_a")).alias("a"), F.col("in_b").bitwiseXOR(F.col("base_b")).alias("b"))
-        .distinct()
+    # Rows of one turn number share the hash of all turns up to and including it.
+    short = written(
+        turns.groupBy("conv_id", "turn").agg(
+            F.bit_xor("mark.a").alias("a"), F.bit_xor("mark.b").alias("b"), F.count("*").alias("n")
+        ), "marks",
     )
+    turn = [F.col("turn")]
+    rolling = running(short, ["conv_id"], turn, turn, F.bit_xor, Column.bitwiseXOR, in_a="a", in_b="b")
+    inner = rolling.where(~F.col("last")).select(F.col("in_a").alias("a"), F.col("in_b").alias("b")).distinct()
     whole = short.groupBy("conv_id").agg(
-        F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.count("*").alias("n_turns")
+        F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.sum("n").alias("n_turns")
     )
     unlike = whole.groupBy("a", "b").agg(
         F.min("conv_id").alias("conv_id"), F.max("n_turns").alias("n_turns"), F.count("*").alias("n_copies")
@@ -88,16 +107,38 @@ def rendered(role: Column, text: Column) -> Column:
 def chats(conversations: DataFrame) -> DataFrame:
     """Maximal conversations as text: conv_id, part, n_turns, n_copies, rendered.
 
-    A part is one slice of turn numbers, counted from 0; nearly every
-    conversation has one part, and parts in order make up the whole text.
+    A part is one slice of turn numbers, counted from 0, or a range of its rows if it has very many of them; nearly
+    every conversation has one part, and parts in order make up the whole text.
     """
     turns = written(turns_of(conversations), "turns")
-    kept = collapse(turns).withColumnRenamed("conv_id", "own")
-    line = F.struct("turn", "role", "text", rendered(F.col("role"), F.col("text")).alias("line"))
-    parts = (
-        turns.join(kept, F.col("conv_id").eqNullSafe(F.col("own")))
-        .groupBy("conv_id", "slice", "n_turns", "n_copies")
+    kept = written(collapse(turns), "kept")
+    line = rendered(F.col("role"), F.col("text"))
+    turns = turns.select("conv_id", "slice", "turn", "role", "text", line.alias("line"), F.octet_length(line).cast("bigint").alias("size"))
+    slices = written(alike(turns.groupBy("conv_id", "slice").agg(F.count("*").alias("n"), F.sum("size").alias("size")), kept, "conv_id"), "slices")
+    large = (F.col("n") > MOST_ROWS) | (F.col("size") > MOST_BYTES)
+    cut = [F.lit(0).cast("bigint").alias(c) for c in ("by_rows", "by_size")]
+    keys = slices.where(~large).select("conv_id", "slice", *cut, "n_turns", "n_copies")
+    key = ["conv_id", "slice", "by_rows", "by_size"]
+    lines = turns.select("conv_id", "slice", *cut, "turn", "role", "text", "line")
+    heavy = slices.where(large).select("conv_id", "slice", "n_turns", "n_copies")
+    if not heavy.isEmpty():
+        order = [F.col("turn"), F.col("role"), F.col("text")]
+        dealt = [F.col("turn"), F.col("role"), F.substring("text", 1, HEAD)]
+        rows = alike(turns, heavy, "conv_id", "slice").withColumn("one", F.lit(1).cast("bigint"))
+        rows = running(rows, ["conv_id", "slice"], order, dealt, F.sum, Column.__add__, rows_upto="one", size_upto="size")
+        rows = written(rows.select(
+            "conv_id", "slice", F.floor((F.col("rows_upto") - 1) / MOST_ROWS).alias("by_rows"),
+            F.floor((F.col("size_upto") - F.col("size")) / MOST_BYTES).alias("by_size"), "turn", "role", "text", "line",
+            "n_turns", "n_copies",
+        ), "heavy")
+        keys = keys.unionByName(rows.select(*key, "n_turns", "n_copies").distinct())
+        light = alike(turns, slices.where(~large).select("conv_id", "slice"), "conv_id", "slice")
+        lines = light.select("conv_id", "slice", *cut, "turn", "role", "text", "line").unionByName(rows.drop("n_turns", "n_copies"))
+    ordered = [F.col(c) for c in key[1:]]
+    numbered = running(keys.withColumn("one", F.lit(1).cast("bigint")), ["conv_id"], ordered, ordered, F.sum, Column.__add__, place="one")
+    numbered = numbered.select(*key, "n_turns", "n_copies", (F.col("place") - 1).cast("int").alias("part"))
+    line = F.struct("turn", "role", "text", "line")
+    return (
+        alike(lines, numbered, *key).groupBy("conv_id", "part", "n_turns", "n_copies")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "").alias("rendered"))
     )
-    part = F.row_number().over(Window.partitionBy("conv_id").orderBy("slice")) - 1
-    return parts.select("conv_id", part.alias("part"), "n_turns", "n_copies", "rendered")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pytest
 
 import corpus_pipeline
 from fixture import comparable, expected
+from paywarden.llm import chat
 from paywarden.llm.queries import oracle_sql, queries
 
 GIVEN = "/root/testdata/sf0.001"
@@ -52,6 +55,26 @@ def test_native(spark, odd, name):
     assert not [node for node in IN_THE_JVM if node in plan]
 
 
+def test_large_conversations_are_cut_by_rows(spark, monkeypatch):
+    """Many rows under few turn numbers: parts stay small, and in order they are the whole text."""
+    monkeypatch.setattr(chat, "MOST_ROWS", 50)
+    rows = [(None, i % 8, "user", f"text {i}") for i in range(700)] + [(None, None, "user", f"last {i}") for i in range(120)]
+    rows += [(4, t, "user", f"t{t}") for t in range(40)] + [(5, t, "user", f"t{t}") for t in range(3)]
+    rows += [(6, 1000 * t, "user", f"far {t}") for t in range(30)]
+    got = defaultdict(dict)
+    for r in chat.chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)).collect():
+        got[r["conv_id"]][r["part"]] = r
+    assert set(got) == {None, 4, 6}
+    for conv, parts in got.items():
+        own = sorted((chat.NO_TURN if t is None else t, role, text) for c, t, role, text in rows if c == conv)
+        assert sorted(parts) == list(range(len(parts)))
+        assert "".join(parts[i]["rendered"] for i in range(len(parts))) == "".join(
+            f"{chat.OPEN}{role}{chat.END}{text}{chat.CLOSE}{chat.END}" for _, role, text in own
+        )
+        assert all(r["n_turns"] == len(own) and r["rendered"].count(chat.OPEN) <= 50 for r in parts.values())
+    assert [len(got[c]) for c in (None, 4, 6)] == [17, 1, 30]
+
+
 def test_stages_return_the_columns_of_documents(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     ids = {row["doc_id"] for row in docs.select("doc_id").collect()}
