@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from paywarden.llm.common import written
+from paywarden.llm.common import alike, running, written
 
 #: Turn numbers of a rendered part, and its most rows and bytes: a part that has more of them is cut by rows.
 SLICE = 512
@@ -52,34 +52,6 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     return turns.withColumn("slice", F.floor(F.col("turn") / SLICE).cast("bigint")).withColumn("mark", mark)
 
 
-def alike(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-    """Inner join on null-safe keys that stand once in the result."""
-    right = right.withColumnsRenamed({key: f"_{key}" for key in keys})
-    same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
-    return left.join(right, same).drop(*(f"_{key}" for key in keys))
-
-
-def running(rows: DataFrame, group: list[str], order: list[Column], dealt: list[Column], total, join, **values: str) -> DataFrame:
-    """Rows with the totals of their group up to and including them, and whether they are the group's last row.
-
-    Rows are dealt out by ranges of ``dealt``, which must not contradict ``order``, so no task sees a large group whole.
-    """
-    ranged = written(rows.repartitionByRange(*group, *dealt).withColumn("_range", F.spark_partition_id()), "ranges")
-    by_range = Window.partitionBy(*group).orderBy("_range")
-    before = by_range.rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy(*group, "_range").agg(*(total(value).alias(f"_{name}") for name, value in values.items())).select(
-        *group, "_range", F.lead("_range").over(by_range).isNull().alias("final"),
-        *(F.coalesce(total(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in values),
-    )
-    upto = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.lead(F.lit(1)).over(Window.partitionBy(*group, "_range").orderBy(*order)).isNull()
-    inside = ranged.withColumns({name: total(value).over(upto) for name, value in values.items()} | {"last": end})
-    found = alike(inside, starts, *group, "_range")
-    return found.withColumns({name: join(F.col(name), F.col(f"_{name}")) for name in values}).withColumn(
-        "last", F.col("last") & F.col("final")
-    ).drop("_range", "final", *(f"_{name}" for name in values))
-
-
 def collapse(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_snapshots) of the maximal conversations."""
     # Rows of one turn number share the hash of all turns up to and including it.

@@ -22,16 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from paywarden.llm.common import shuffle_partitions, utf8, written
-from paywarden.llm.shards import chunk_count
+from paywarden.llm.common import running, shuffle_partitions, utf8, written
+from paywarden.llm.shards import CHUNK_BYTES
 
 #: Chunk sizes in bytes: least, normal, most; zero bits asked for before and after the normal size.
 LEAST, NORMAL, MOST = 16, 64, 256
 STRICT, LOOSE = 7, 5
-#: Bytes hashed at a time.
-BLOCK = 1 << 20
+#: Bytes hashed at a time; rows and characters of fingerprints that leave a task together; bytes that a row counts besides its text.
+BLOCK, BATCH_ROWS, BATCH_CHARS, ROW_BYTES = 1 << 20, 512, 8 << 20, 64
 #: The hash of a byte: 256 numbers of 32 bits, made by a rule.
 GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)], np.uint32)
 
@@ -111,71 +111,76 @@ LAYOUT = (
 )
 
 
-def compared(group: pa.Table) -> Iterator[dict]:
-    """The rows of one id range, each against the next document in descending order of ids."""
-    ids, carried = group["doc_id"].to_pylist(), group["carried"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (carried[i], ids[i] is None, -(ids[i] or 0)))
-    text_of = lambda i: group["text"][i].as_py() or ""
-    heads: list[list[int]] = []
-    for i in order:
-        if heads and ids[heads[-1][0]] == ids[i] and carried[heads[-1][0]] == carried[i]:
-            heads[-1].append(i)
-        else:
-            heads.append([i])
-    least = [min(map(text_of, same)) for same in heads]
-    prints = [fingerprint(utf8(text)) for text in least[:1]]
-    for place, same in enumerate(heads):
-        if carried[same[0]]:
-            return
-        following = least[place + 1]
-        after = fingerprint(utf8(following))
-        for i in same:
-            text = text_of(i)
-            own = prints[0] if text == least[place] else fingerprint(utf8(text))
-            changed = utf8(edited(text, following))
-            other = fingerprint(changed)
-            yield {
-                "doc_id": ids[i], "n_chars": len(text), "edited_sha256": hashlib.sha256(changed).hexdigest(),
-                "fingerprint": as_text(own), "edited_fingerprint": as_text(other),
-                "near_edited": containment(own, other), "near_next": containment(own, after),
-            }
-        prints[0] = after
-
-
-def of_range(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for row in compared(pa.Table.from_batches(groups)):
+def compared(rows: Iterator[tuple]) -> Iterator[dict]:
+    """Rows of (group, carried, doc_id, text) in ascending order, each against the next document in descending order.
+
+    A group's first row carries the text that its least id is compared with; the first row of an id has its least text.
+    So no more than the texts of a row and of the two documents around it are held.
+    """
+    now, least, after = None, ("", {}), ("", {})
+    for group, carried, doc_id, text in rows:
+        text = text or ""
+        own = fingerprint(utf8(text))
+        if carried:
+            now, least = None, (text, own)
+            continue
+        if now != (group, doc_id):
+            now, after, least = (group, doc_id), least, (text, own)
+        changed = utf8(edited(text, after[0]))
+        other = fingerprint(changed)
+        yield {
+            "doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(changed).hexdigest(),
+            "fingerprint": as_text(own), "edited_fingerprint": as_text(other),
+            "near_edited": containment(own, other), "near_next": containment(own, after[1]),
+        }
+
+
+def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    every = (
+        (group, not place, doc_id, text.as_py()) for batch in batches
+        for group, place, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("group", "place", "doc_id")), batch.column("text"))
+    )
+    rows, size = [], 0
+    for row in compared(every):
         rows.append(row)
-        if len(rows) == 512:
+        size += len(row["fingerprint"]) + len(row["edited_fingerprint"])
+        if len(rows) == BATCH_ROWS or size > BATCH_CHARS:
             yield pa.RecordBatch.from_pylist(rows, schema=ROW)
-            rows = []
+            rows, size = [], 0
     yield pa.RecordBatch.from_pylist(rows, schema=ROW)
 
 
-def ranges(docs: DataFrame) -> tuple[list[int], DataFrame]:
-    """Bounds that cut the ids into ranges of like counts, and the largest id of every range with the range above it.
+def ranges(docs: DataFrame) -> list[tuple[int | None, int]]:
+    """(largest id, number of groups) of ranges of ids of like bytes, in ascending order with a null id first.
 
-    There are as many ranges as shuffle partitions, and more if texts are so many that a range would exceed a chunk.
+    There are as many as shuffle partitions, and more if a range would exceed a chunk. An id that exceeds a range is a
+    range of its own, whose rows are dealt to several groups.
     """
-    ids = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), "ids")
-    parts = max(shuffle_partitions(docs.sparkSession), chunk_count(docs))
-    cuts = ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, max(parts, 2))], 20 * parts).alias("c")).first()["c"]
-    bounds = sorted(set(cuts or []))
-    heads = ids.groupBy(ranger(bounds)("doc_id").alias("range")).agg(F.max("doc_id").alias("head")).collect()
-    heads = sorted((row["range"], row["head"]) for row in heads)
-    above = heads[1:] + heads[:1]
-    pairs = [(head, up[0]) for (_, head), up in zip(heads, above)]
-    return bounds, docs.sparkSession.createDataFrame(pairs, "head bigint, above int")
-
-
-def ranger(bounds: list[int]):
-    """id -> number of its range; a null id belongs to the lowest one."""
-    limits = np.array(bounds, np.int64)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + ROW_BYTES
+    sizes = written(docs.groupBy("doc_id").agg(F.sum(size).alias("size")), "ids")
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    most = max(1, min(CHUNK_BYTES, -(-total // shuffle_partitions(docs.sparkSession))))
+    up = [F.col("doc_id").asc_nulls_first()]
+    upto = running(sizes, [], up, up, F.sum, Column.__add__, upto="size")
+    large = F.col("size") > most
+    # What exceeds a range begins in it last.
+    place = 2 * F.floor((F.col("upto") - F.col("size")) / most) + large.cast("bigint")
+    found = upto.groupBy(place.alias("place")).agg(F.max("doc_id").alias("head"), F.max("size").alias("size")).collect()
+    return [(r["head"], -(-r["size"] // most)) for r in sorted(found, key=lambda r: r["place"])]
+
+
+def grouper(found: list[tuple[int | None, int]]):
+    """(id, draw) -> number of its group; a null id belongs to the lowest range."""
+    first = np.cumsum([0, *(n for _, n in found)])[:-1].astype(np.int32)
+    parts = np.array([n for _, n in found], np.int64)
+    skipped = sum(head is None for head, _ in found)
+    limits = np.array([head for head, _ in found if head is not None], np.int64)
 
     @F.arrow_udf(T.IntegerType())
-    def place(ids: pa.Array) -> pa.Array:
-        known = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-        return pa.array(np.searchsorted(limits, known, side="left"), pa.int32())
+    def place(ids: pa.Array, draws: pa.Array) -> pa.Array:
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(limits, known, side="left") + skipped)
+        return pa.array((first[at] + draws.to_numpy() % parts[at]).astype(np.int32), pa.int32())
 
     return place
 
@@ -183,17 +188,26 @@ def ranger(bounds: list[int]):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and how like they are and the next document's.
 
-    Texts move once, by ranges of ids. The first document of a range also goes
-    to the range above, whose last document it follows.
+    Texts move once, by groups of ids of like bytes, and are read in order, one at a time. The least text of a range's
+    largest id also goes to the groups of the range above, whose least id it follows.
     """
-    bounds, heads = ranges(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    placed = rows.withColumn("range", ranger(bounds)("doc_id")).join(
-        F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")), "left"
-    )
-    homes = F.array(
-        F.struct(F.col("range").alias("range"), F.lit(False).alias("carried")),
-        F.struct(F.col("above").alias("range"), F.lit(True).alias("carried")),
+    found = ranges(rows)
+    if not found:
+        return docs.sparkSession.createDataFrame([], LAYOUT)
+    count, heads, group = sum(n for _, n in found), [], 0
+    for (_, n), (below, _) in zip(found, found[-1:] + found[:-1]):
+        heads += [(below, group + i) for i in range(n)]
+        group += n
+    heads = docs.sparkSession.createDataFrame(heads, "head bigint, group int")
+    same = F.col("doc_id").eqNullSafe(F.col("head"))
+    wanted = rows.join(F.broadcast(heads.select("head").distinct()), same, "left_semi")
+    least = wanted.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    carried = least.join(F.broadcast(heads), same).select("group", F.lit(0).alias("place"), "doc_id", "text")
+    draw = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) if count > len(found) else F.lit(0).cast("bigint")
+    drawn = rows.withColumn("draw", draw)
+    dealt = drawn.select(grouper(found)("doc_id", "draw").alias("group"), F.lit(1).alias("place"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ordered = dealt.unionByName(carried).repartition(count, "group").sortWithinPartitions(
+        "group", "place", F.col("doc_id").asc_nulls_first(), "text"
     )
-    dealt = placed.select("doc_id", "text", F.explode(homes).alias("home")).select("doc_id", "text", "home.*")
-    return dealt.where(F.col("range").isNotNull()).groupBy("range").applyInArrow(of_range, LAYOUT)
+    return ordered.mapInArrow(in_order, LAYOUT)

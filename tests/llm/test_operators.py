@@ -389,6 +389,28 @@ def test_fingerprints_against_single_texts(spark, docs, texts):
     assert got[50_000]["fingerprint"] == got[texts[3][0]]["fingerprint"]
 
 
+def test_fingerprints_of_a_hot_id(spark, monkeypatch):
+    """A third of the rows without id and a third under one id: many tasks share them, and results stay the same."""
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choices("abcdef", k=4)) for _ in range(rng.randint(0, 90)))
+    rows = [(None, text()) for _ in range(100)] + [(40, text()) for _ in range(100)] + [(i, text()) for i in range(20, 70) for _ in range(2)]
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 4000)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(n for _, n in chunks.ranges(frame))[-2:] > [5, 5]
+    least = {i: min(t for j, t in rows if j == i) for i in {i for i, _ in rows}}
+    down = [*sorted((i for i in least if i is not None), reverse=True), None]
+    below = dict(zip(down, down[1:] + down[:1]))
+    expected = Counter()
+    for i, t in rows:
+        following = least[below[i]]
+        own, after = chunks.fingerprint(t.encode()), chunks.fingerprint(following.encode())
+        changed = chunks.edited(t, following).encode()
+        expected[i, chunks.as_text(own), hashlib.sha256(changed).hexdigest(), chunks.containment(own, after)] += 1
+    held = chunks.fingerprints(frame).withColumn("task", F.spark_partition_id()).collect()
+    assert Counter((r["doc_id"], r["fingerprint"], r["edited_sha256"], r["near_next"]) for r in held) == expected
+    assert max(Counter(r["task"] for r in held).values()) < 100
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(4)
     raw = bytes(rng.choices(b"abcdefghijklmnop ", k=1_300_000))
