@@ -13,9 +13,9 @@ compared exhaustively across components, and so are dense ones, half of which
 is one component or which branching does not thin out; the rest branches.
 
 Candidates that pass the sizes' bound and a wide margin of the signatures'
-agreement are confirmed on their full shingle sets. Links inside a component
-found before are skipped, as they change no component; no link between
-components is given up.
+agreement are confirmed on their full shingle sets; dense clusters are compared
+on full sets alone. Links inside a component found before are skipped, as they
+change no component.
 
 Defined cases: a null or empty text, or one without words, has no shingles, is
 linked with nothing and kept; with fewer than five words the whole sequence is
@@ -43,8 +43,8 @@ from paywarden.llm.components import components
 WORDS, PART, WHOLE = 5, 100, 75
 #: Signature places, independent trees, documents of a node that is compared exhaustively.
 PLACES, TREES, LEAF = 64, 8, 40
-#: Candidates agree in this many places at least; a linked pair does not with a probability below 1e-4.
-AGREEING = 34
+#: Candidates agree in this many places at least; a linked pair does not with a probability below 1e-7.
+AGREEING = 28
 #: Documents of a dense cluster that a task compares with as many others.
 BLOCK_DOCS = 1024
 #: Levels of a tree, how many of them one job goes down, and the share of a node that goes down with dense ones.
@@ -246,22 +246,25 @@ def compared(left: pa.Table, right: pa.Table) -> pa.Table:
     """(a, b): the links between documents of different components, from their full sets."""
     found: list[tuple[int, int]] = []
     if left.num_rows and right.num_rows:
-        ids, roots, sizes = (right[c].to_numpy() for c in ("rep", "root", "n_shingles"))
+        ids, roots = (right[c].to_numpy() for c in ("rep", "root"))
         main, sets = roots == right["major"][0].as_py(), arrays(right["found"])
-        places = np.stack(arrays(right["sig"]))
-        ones = zip(left["rep"].to_pylist(), left["root"].to_pylist(), arrays(left["found"]), arrays(left["sig"]))
-        for rep, root, own, sig in ones:
-            size = len(own)
-            open_ = (roots != root) & (main | (ids > rep)) & (PART * np.minimum(sizes, size) >= WHOLE * np.maximum(sizes, size))
-            open_ &= (places == sig).sum(axis=1) >= AGREEING
-            for at in np.flatnonzero(open_):
-                common = size + len(sets[at]) - len(np.union1d(own, sets[at]))
-                if PART * common >= WHOLE * (size + len(sets[at]) - common):
-                    found.append((rep, int(ids[at])))
+        # Every shingle of the right side with the documents that have it.
+        counts = np.array([len(own) for own in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values, holders = values[order], np.repeat(np.arange(len(sets)), counts)[order]
+        for rep, root, own in zip(left["rep"].to_pylist(), left["root"].to_pylist(), arrays(left["found"])):
+            begin, end = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            lengths = end - begin
+            at = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            common = np.bincount(holders[at], minlength=len(sets))
+            open_ = (roots != root) & (main | (ids > rep))
+            links = open_ & (PART * common >= WHOLE * (len(own) + counts - common))
+            found += [(rep, int(i)) for i in ids[links]]
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def dense_links(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def dense_links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The links that dense nodes leave open, by exact comparison.
 
     Documents that share such nodes form a cluster, in which each stands once. The documents outside the cluster's
@@ -277,14 +280,13 @@ def dense_links(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(full_sets, "doc_id bigint, found array<bigint>")
     known = sets.select(F.col("doc_id").alias("own"), "found")
     placed = written(
-        members.join(sizes, F.col("cluster") == F.col("of")).join(classes.select("rep", "n_shingles", "sig"), "rep")
-        .join(known, F.col("rep") == F.col("own"))
-        .select("cluster", "rep", "root", "major", "n_shingles", "sig", "found", "blocks",
+        members.join(sizes, F.col("cluster") == F.col("of")).join(known, F.col("rep") == F.col("own"))
+        .select("cluster", "rep", "root", "major", "found", "blocks",
                 F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")),
         "placed",
     )
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["rep", "root", "major", "n_shingles", "sig", "found"]
+    columns = ["rep", "root", "major", "found"]
     left = placed.where(F.col("root") != F.col("major")).select("cluster", F.col("block").alias("i"), every.alias("j"), *columns)
     right = placed.select("cluster", every.alias("i"), F.col("block").alias("j"), *columns)
     return left.groupBy("cluster", "i", "j").cogroup(right.groupBy("cluster", "i", "j")).applyInArrow(
@@ -345,7 +347,7 @@ def placed(docs: DataFrame, *columns: str) -> DataFrame:
         links = written(links.unionByName(confirmed(stars, docs)), "links")
         roots = components(links)
         rows = written(with_nodes(with_roots(rows, roots)), "nodes")
-    classes = in_nodes = still_open(classes, rows)
+    in_nodes = still_open(classes, rows)
     found, dense = [], []
     for _ in range(0, DEPTH, LEVELS):
         small, thick = F.col("n") <= LEAF, F.col("dense")
@@ -357,7 +359,7 @@ def placed(docs: DataFrame, *columns: str) -> DataFrame:
         in_nodes = still_open(in_nodes, rows)
     more = written(reduce(DataFrame.unionByName, found).distinct(), "candidates")
     thick = written(reduce(DataFrame.unionByName, [*dense, rows]), "dense")
-    extra = [confirmed(more, docs)] * (not more.isEmpty()) + [dense_links(thick, classes, docs)] * (not thick.isEmpty())
+    extra = [confirmed(more, docs)] * (not more.isEmpty()) + [dense_links(thick, docs)] * (not thick.isEmpty())
     if extra:
         roots = components(written(reduce(DataFrame.unionByName, [links, *extra]), "links"))
     rooted = members.join(roots, F.col("rep") == F.col("node"), "left")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -333,6 +334,22 @@ def test_near_duplicates_of_a_hot_group(spark):
     assert all(r["kept"] == (i == find(i)) for i, r in got.items())
 
 
+def test_dense_blocks_need_no_signature():
+    """A pair above the threshold is linked whatever its signatures say; margins lose less than one link in ten million."""
+    def side(rows):
+        return pa.table({
+            "rep": [r for r, _ in rows], "root": [r for r, _ in rows], "major": [1] * len(rows), "n_shingles": [len(s) for _, s in rows],
+            "sig": pa.array([[r] * chosen_path.PLACES for r, _ in rows], pa.list_(pa.int32())),
+            "found": pa.array([sorted(s) for _, s in rows], pa.list_(pa.int64())),
+        })
+
+    near, far, most = set(range(12, 112)), set(range(50, 150)), set(range(100))
+    got = chosen_path.compared(side([(7, near), (9, far)]), side([(1, most), (7, near), (8, set(range(13, 113))), (9, far)]))
+    assert sorted(zip(*got.to_pydict().values())) == [(7, 1), (7, 8)]
+    lost = sum(math.comb(chosen_path.PLACES, k) * 0.75**k * 0.25 ** (chosen_path.PLACES - k) for k in range(chosen_path.AGREEING))
+    assert lost < 1e-7
+
+
 def test_rows_that_share_an_id(spark):
     one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(5, one), (5, two), (5, one), (9, two), (2, one), (None, one), (7, None)]
