@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from paywarden.llm import chat, chosen_path, chunks, ctw, kneser_ney, mixing, rules, sentencepiece, toxicity, warc
+from paywarden.llm import chat, chosen_path, chunks, ctw, kneser_ney, mixing, resampling, rules, search, sentencepiece, token_counts, toxicity, warc
 from paywarden.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Tokens that a text may have before it is over the limit of op12.
+CONTEXT = 4096
+
 
 def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece.encoded(table(spark, folder, "documents"), corpus_pipeline.TOKENIZER)
@@ -63,6 +66,18 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return ctw.scored(table(spark, folder, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counted(table(spark, folder, "documents"), corpus_pipeline.TOKENIZER, CONTEXT)
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -75,6 +90,9 @@ def queries() -> dict[str, Query]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_source_mixing": op9_source_mixing,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_token_counts": op12_token_counts,
+        "op13_importance_resampling": op13_importance_resampling,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -174,9 +192,57 @@ LEFT JOIN taken ON taken.source IS NOT DISTINCT FROM d.source AND taken.h = d.h
 """
 
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{TERM}') AS ws FROM documents),
+q AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, cast(coalesce(sum(len(ws)), 0) AS bigint) AS n_terms FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+t AS (SELECT term, cast(floor(1000 * ln(cast(2 * any_value(n_docs) + 2 AS double) / (2 * count(*) + 1))) AS bigint) AS w FROM p, s GROUP BY term),
+a AS (SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(ws) * n_docs) // n_terms))) AS part
+  FROM p JOIN t USING (term) JOIN d USING (r), s),
+o AS (SELECT item_id, r, cast(sum(k * part) AS bigint) AS score FROM q JOIN a USING (term) GROUP BY ALL)
+SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS integer) AS rank, doc_id, score
+FROM o JOIN d USING (r) WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+#: CRC-32 byte by byte, its table of remainders by the rule of the reversed polynomial.
+CRC_TABLE = (
+    "list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), "
+    "lambda c, i: xor(c >> 1, 3988292384 * (c & 1))))"
+)
+RESAMPLE_SQL = f"""
+WITH tab AS MATERIALIZED (SELECT {CRC_TABLE} AS remainders),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{TERM}') AS ws FROM documents),
+b AS (SELECT regexp_extract_all({LOWER}, '{TERM}') AS ws FROM benchmark),
+dw AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(ws) AS word FROM d) GROUP BY ALL),
+bw AS (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM b) GROUP BY ALL),
+words AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+crc AS (SELECT word, xor(4294967295, list_reduce(list_concat([4294967295],
+    list_transform(range(1, len(h), 2), lambda i: cast('0x' || substr(h, i, 2) AS bigint))),
+    lambda c, x: xor(c >> 8, remainders[xor(c & 255, x) + 1]))) % 10000 AS bucket FROM words, tab),
+own AS (SELECT bucket, sum(n) AS s FROM dw JOIN crc USING (word) GROUP BY bucket),
+tgt AS (SELECT bucket, sum(n) AS t FROM bw JOIN crc USING (word) GROUP BY bucket),
+al AS (SELECT (SELECT coalesce(sum(n), 0) FROM dw) AS all_s, (SELECT coalesce(sum(n), 0) FROM bw) AS all_t),
+gain AS (SELECT bucket, cast(floor(1000 * ln(cast((coalesce(t, 0) + 1) * (all_s + 10000) AS double)
+    / cast((s + 1) * (all_t + 10000) AS double))) AS bigint) AS g FROM own LEFT JOIN tgt USING (bucket), al),
+w AS (SELECT r, cast(floor(cast(sum(n * g) AS double) / cast(sum(n) AS double)) AS bigint) AS weight
+  FROM dw JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY r),
+sc AS (SELECT r, doc_id, cast(len(ws) AS bigint) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast(cast('0x' || substr(sha256('2024:' || coalesce(cast(doc_id AS varchar), '')), 1, 8) AS bigint) AS double)
+      + 0.5) / 4294967296))) AS bigint) AS score FROM d LEFT JOIN w USING (r)),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, count(*) OVER () AS n FROM sc WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM sc LEFT JOIN k USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "op3_warc": WARC_SQL, "op5_near_duplicates": NEAR_SQL, "op7_quality_rules": RULES_SQL, "op8_chat_formatting": CHAT_SQL,
-        "op9_source_mixing": MIX_SQL, "pipeline": corpus_pipeline.ORACLE_SQL,
+        "op9_source_mixing": MIX_SQL, "op11_lexical_search": SEARCH_SQL, "op13_importance_resampling": RESAMPLE_SQL,
+        "pipeline": corpus_pipeline.ORACLE_SQL,
     }
     return {name: text for name, text in sql.items() if text}

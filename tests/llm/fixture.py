@@ -11,7 +11,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-TABLES = "documents labels pages conversations".split()
+TABLES = "documents labels pages conversations benchmark".split()
 
 
 def words(rng: random.Random, n: int) -> list[str]:
@@ -62,7 +62,16 @@ def labels(docs: list[dict]) -> list[dict]:
     return [{"doc_id": d["doc_id"], "quality": [1, 0, None, 1][i % 4], "toxic": [0, 1, None][i % 3], "text": "clash"} for i, d in enumerate(docs)]
 
 
+def benchmark(docs: list[dict]) -> list[dict]:
+    """Items from the documents: equal texts, equal ids, no id, no text, no terms."""
+    texts = [d["text"] for d in docs[3:40:4]] + ["the same words the same", "the same words the same", "THE same", None, "", "! ?", "漢字 漢字"]
+    ids = [*range(len(texts) - 2), None, 4]
+    return [{"item_id": i, "text": t, "term": "x", "n": 1, "rank": 0, "score": 0.5} for i, t in zip(ids, texts)]
+
+
 LAYOUT = {
+    "benchmark": [("item_id", pa.int64()), ("text", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("rank", pa.int64()),
+                  ("score", pa.float64())],
     "documents": [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("row", pa.string()),
                   ("size", pa.float64()), ("chunk", pa.int32()), ("n", pa.int64()), ("target", pa.string()), ("gram", pa.string()),
                   ("failed", pa.int64()), ("n_chars", pa.int64()), ("hash", pa.int64()), ("own", pa.string())],
@@ -76,7 +85,8 @@ LAYOUT = {
 def write(folder: Path, empty: bool = False) -> str:
     rng = random.Random(5)
     docs = documents(rng)
-    rows = {"documents": docs, "labels": labels(docs), "pages": pages(), "conversations": conversations(rng)}
+    rows = {"documents": docs, "labels": labels(docs), "pages": pages(), "conversations": conversations(rng),
+            "benchmark": benchmark(docs)}
     for name in TABLES:
         table = pa.Table.from_pylist([] if empty else rows[name], schema=pa.schema(LAYOUT[name]))
         pq.write_table(table, folder / f"{name}.parquet", row_group_size=20)

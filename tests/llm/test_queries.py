@@ -16,7 +16,8 @@ GIVEN = "/root/testdata/sf0.001"
 PER_ROW = {
     "op1_sentencepiece": "documents", "op2_toxicity": "documents", "op3_warc": "pages", "op4_quality_classifier": "documents",
     "op5_near_duplicates": "documents", "op6_fingerprints": "documents", "op7_quality_rules": "documents",
-    "op9_source_mixing": "documents", "op10_lm_scoring": "documents",
+    "op9_source_mixing": "documents", "op10_lm_scoring": "documents", "op12_token_counts": "documents",
+    "op13_importance_resampling": "documents",
 }
 IN_THE_JVM = ["Python", "Pandas", "Arrow"]
 
