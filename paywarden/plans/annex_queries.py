@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paywarden.functions import text
-from paywarden.operators import annexes as ax
+from paywarden.functions.formulas import Formula
+from paywarden.operators import annex_totals as at, annexes as ax
 from paywarden.plans.controls import ORDER, USABLE, money
-from paywarden.plans.formula_sql import FORMULA_SQL, join_formula, value_sql
+from paywarden.plans.formula_sql import FORMULA_SQL, TERM_COLUMNS, join_formula, value_sql
 from paywarden.plans.registry import S, query, same_scope
 from paywarden.plans.views import FORMULAS, RULES, Views
-from paywarden.schema import SCOPE
+from paywarden.schema import Mode, Rubric, SCOPE
 from paywarden.session import scratch_path
 from paywarden.sources.writers import export_parts
 
@@ -104,7 +105,7 @@ SUMMARY_SQL = f"summary AS (SELECT {S}, family, annex, {FIGURES} FROM entries GR
 
 
 def summary(v: Views, names: list[str] = ()):
-    return ax.annex_summary(ax.pack_entries(v.pay, v.declared, RULES, FORMULAS, names))
+    return at.pack_summary(v.pay, v.declared, RULES, FORMULAS, names)
 
 
 @query("annex_summary", f"SELECT {S}, family, annex, {FIGURES} FROM entries GROUP BY {S}, family, annex", PACK)
@@ -112,6 +113,27 @@ def annex_summary(v):
     return summary(v)
 
 
+#: One formula in place of those of all rubrics; it counts the lines after the first one of a person.
+FORCED = Formula("forced", Rubric.ANY, Mode.EXTRA_LINES, (("BASE_PAY", 1), ("BONUS", 0.5), ("DEDUCTIONS", -1)), name="Forced")
+
+
+def forced_sql(annex: ax.Annex) -> str:
+    """Entries of an annex under the forced formula."""
+    if annex.rubric is None:
+        return f"SELECT {S}, '{annex.name}' AS annex, '{annex.family}' AS family, concerned, impact FROM ({annex_sql(annex)}) a"
+    person = annex.person if annex.person != ax.PERSON else PERSON_SQL.format(u=USABLE, line="line_id")
+    amount = " + ".join(f"cast({k} AS decimal(12,4)) * {TERM_COLUMNS[code]}" for code, k in FORCED.terms)
+    return f"""SELECT {S}, '{annex.name}' AS annex, '{annex.family}' AS family, {person} AS concerned,
+      cast(CASE WHEN row_number() OVER (PARTITION BY {S}, {annex.rank_key} ORDER BY {ORDER}) = 1 THEN 0 ELSE {amount} END AS decimal(18,2)) AS impact
+      FROM ({ROWS_SQL[annex.name]}) r"""
+
+
+@query("annex_summary_forced", f"SELECT {S}, family, annex, {FIGURES} FROM entries GROUP BY {S}, family, annex",
+       (FORMULA_SQL, "entries AS (" + "\n    UNION ALL ".join(map(forced_sql, ax.ANNEXES)) + ")"))
+def annex_summary_forced(v):
+    return at.pack_summary(v.pay, v.declared, RULES, FORMULAS, forced=FORCED)
+
+
 TOTALS = "cast(sum(row_count) AS bigint) AS row_count, cast(sum(people) AS bigint) AS people, " + money("sum(impact)") + " AS impact"
 
 
@@ -142,6 +164,21 @@ def annex_people(v):
     return ax.annex_people(rows, ax.BY_NAME["validation"]).select(*SCOPE, "line_id", "concerned")
 
 
+def people_sql(annex: ax.Annex) -> str:
+    """The first line of every person of an annex."""
+    line = "declared_id" if annex.family == ax.DECLARED else "line_id"
+    person = annex.person if annex.person != ax.PERSON else PERSON_SQL.format(u=USABLE, line=line)
+    order = DECLARED_SQL_ORDER if annex.family == ax.DECLARED else ORDER
+    return f"""SELECT {S}, '{annex.name}' AS annex, {person} AS concerned, {line} AS line_id FROM ({ROWS_SQL[annex.name]}) x
+      QUALIFY row_number() OVER (PARTITION BY {S}, {person} ORDER BY {order}) = 1"""
+
+
+@query("annex_people_all", "\nUNION ALL ".join(map(people_sql, ax.ANNEXES)))
+def annex_people_all(v):
+    """One representative line per person of each of the annexes."""
+    return at.pack_people(v.pay, v.declared, RULES)
+
+
 @query("annex_export", "SELECT annex, count(*) AS row_count FROM entries GROUP BY annex", PACK)
 def annex_export(v):
     """The pack written as one folder per annex in a single pass; what the folders hold."""
