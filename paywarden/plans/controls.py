@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paywarden.functions import formulas as fx
-from paywarden.operators import campaign as cp, compare as cm, listing as ls, matching as mt, ranking as rk
+from paywarden.operators import campaign as cp, compare as cm, formula_book as fb, listing as ls, matching as mt, ranking as rk
 from paywarden.plans.formula_sql import FORMULA_SQL, join_formula, value_sql
 from paywarden.plans.registry import P, S, query, same_period, same_scope
 from paywarden.plans.views import FORMULAS, RULES, Views
-from paywarden.schema import LINE_ORDER, PERIOD, Rubric, SCOPE
+from paywarden.schema import LINE_ORDER, Mode, PERIOD, Rubric, SCOPE
 
 USABLE = "staff_key NOT IN ('', 'NU')"
 ORDER = "source_row, execution_id, line_id"
@@ -141,6 +141,46 @@ def resolve_formula(v):
     return fx.resolve_table(v.pay, FORMULAS)
 
 
+#: The formulas of ``Views.formula_rows``, resolved by trying every formula on every scope.
+BOOK_SQL = f"""
+book_formulas AS (
+  SELECT 'B' || o_orderkey AS formula_id, ([{', '.join(f"'{r}'" for r in Rubric.ALL)}])[(o_orderkey // 3) % {len(Rubric.ALL)} + 1] AS rubric,
+    ([{', '.join(f"'{m}'" for m in Mode.ALL)}])[(o_orderkey // 7) % {len(Mode.ALL)} + 1] AS mode,
+    cast((o_orderkey % 400 - 200) / 100 AS decimal(12,4)) AS k_base, cast((o_orderkey % 7) / 8 AS decimal(12,4)) AS k_bonus,
+    CASE WHEN o_orderkey % 5 = 4 THEN 'I' || o_custkey ELSE ([NULL, 'IF', 'IO', 'IP'])[o_orderkey % 5 + 1] END AS institution_id,
+    CASE WHEN o_orderkey % 11 > 0 THEN 'R' || (o_orderkey % 5 + 1) END AS regime,
+    year(o_orderdate) * 4 + quarter(o_orderdate) AS starts, o_orderkey AS version FROM orders WHERE o_orderkey % 9 > 0),
+book AS (
+  SELECT {S}, rubric, coalesce(formula_id, 'DEFAULT') AS formula_id, mode, k_base, k_bonus FROM (
+    SELECT s.institution_id, s.regime, s.quarter, s.year, r.rubric, f.formula_id, f.mode, f.k_base, f.k_bonus,
+      row_number() OVER (PARTITION BY s.institution_id, s.regime, s.quarter, s.year, r.rubric ORDER BY
+        f.institution_id IS NOT NULL DESC, f.rubric = r.rubric DESC, f.starts DESC, f.version DESC) AS place
+    FROM scopes s CROSS JOIN rubrics r LEFT JOIN book_formulas f
+      ON (f.regime = s.regime OR f.regime IS NULL) AND f.rubric IN (r.rubric, '*')
+      AND (f.institution_id IS NULL OR f.institution_id = s.institution_id)
+      AND f.starts <= s.year * 4 + cast(substr(s.quarter, 2, 1) AS integer))
+  WHERE place = 1)"""
+
+
+@query("formula_book", f"SELECT {S}, rubric, formula_id FROM book", (FORMULA_SQL, BOOK_SQL))
+def formula_book(v):
+    """The formula in force for every scope and rubric, out of as many formulas as there are orders."""
+    return fb.in_force(v.pay, v.formula_rows).select(*SCOPE, "rubric", "formula_id")
+
+
+@query("matching_book", f"""
+SELECT c.line_id, c.status, b.formula_id AS impact_formula_id,
+  cast(CASE WHEN b.formula_id = 'DEFAULT' THEN base_pay + transport + bonus WHEN b.mode = 'NO_IMPACT' THEN 0
+    WHEN b.mode = 'EXTRA_LINES' AND c.rn = 1 THEN 0 WHEN b.mode = 'ONE_PER_PERSON' AND c.rn > 1 THEN 0
+    ELSE k_base * base_pay + k_bonus * bonus - deductions END AS decimal(18,2)) AS impact
+FROM classified c JOIN book b ON {same_scope('b', 'c')} AND b.rubric = c.status""", (*MATCHED, BOOK_SQL))
+def matching_book(v):
+    """Matching valued by a table of formulas."""
+    book = fb.in_force(v.pay, v.formula_rows, mt.Match.PAY_STATUSES)
+    rows = fb.valued(mt.classify(v.pay, v.declared), book, F.col("status"), "impact", "first_line")
+    return rows.select("line_id", "status", "impact_formula_id", "impact")
+
+
 @query("formula_versions", """
 SELECT f.institution_id, f.regime, f.rubric, max(f.version) + 1 AS next_version, min(u.uses) AS scopes
 FROM formulas f JOIN (

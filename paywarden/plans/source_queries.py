@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from paywarden.functions import filters as fl, money as mn, text as tx
 from paywarden.operators import explore as xp, matching as mt, summaries as sm
@@ -12,6 +14,7 @@ from paywarden.plans.views import RULES, Views
 from paywarden.schema import MONEY, SCOPE
 from paywarden.session import scratch_path
 from paywarden.sources import lifecycle as lc, mapping as mp, readers as rd, writers as wr
+from paywarden.sources.commits import Tables
 
 REGIMES = {f"R{n}": rf"Tab_R{n}_T[1-4]_\d{{4}}" for n in range(1, 6)}
 
@@ -429,10 +432,33 @@ def declaration_imports(v):
 # --- withdrawals ---------------------------------------------------------------------
 
 
+def stored(v: Views, **rows: DataFrame) -> Tables:
+    """The given rows as tables of a new folder that change together."""
+    tables = Tables(v.spark, scratch_path(v.spark, "tables"))
+    with tables.change() as change:
+        for name, own in rows.items():
+            change.append(name, own)
+    return tables
+
+
 @query("delete_import", f"SELECT declared_id, {S} FROM declared WHERE execution_id <> 'VIP'")
 def delete_import(v):
-    """What withdrawing one import leaves."""
-    return lc.kept(v.declared, F.col("execution_id") == "VIP").select("declared_id", *SCOPE)
+    """Withdraw one import from tables that change together, and read back what is left."""
+    tables = stored(v, declared=v.declared, journal=v.full_journal)
+    elsewhere = used_by_matching(v).where(~F.startswith("run_id", F.lit("IP")))
+    lc.withdraw_import(tables, "VIP", elsewhere, v.declared.where("institution_id = 'IF'").select("execution_id").distinct())
+    return tables.read("declared").select("declared_id", *SCOPE)
+
+
+@query("withdrawn_journal", f"""
+SELECT {S}, execution_id, operation, CASE WHEN execution_id = 'VIP' THEN 'DELETED' ELSE status END AS status,
+  CASE WHEN execution_id = 'VIP' AND status <> 'DELETED' THEN 'Withdrawn (' || n || ' lines)' END AS message
+FROM journal, (SELECT count(*) AS n FROM declared WHERE execution_id = 'VIP')""")
+def withdrawn_journal(v):
+    """The latest entry of each import after one was withdrawn; the journal itself only grows."""
+    tables = stored(v, declared=v.declared, journal=v.full_journal)
+    lc.withdraw_import(tables, "VIP")
+    return wr.current_journal(tables.read("journal")).select(*SCOPE, "execution_id", "operation", "status", "message")
 
 
 SCOPE_TEST = "institution_id = 'IO' AND regime = 'R3' AND quarter = 'T2' AND year = 1998"
@@ -443,8 +469,11 @@ SCOPE_TEST = "institution_id = 'IO' AND regime = 'R3' AND quarter = 'T2' AND yea
     for t, src in (("declared", "declared"), ("pay", "pay"), ("results", "matched"))), MATCHED)
 def delete_scope(v):
     """Lines that emptying a scope removes from the pay, declaration and result tables, and what is left."""
-    tables = {"pay": v.pay, "declared": v.declared, "results": mt.matching(v.pay, v.declared)}
-    return lc.deletion_counts(tables, fl.in_scope("IO", "R3", "T2", 1998))
+    tables = stored(v, pay=v.pay.select(*SCOPE, "line_id"), declared=v.declared, results=mt.matching(v.pay, v.declared))
+    deleted = lc.empty_scope(tables, dict(zip(SCOPE, ("IO", "R3", "T2", 1998))))
+    rows = [tables.read(name).agg(F.count(F.lit(1)).alias("kept")).select(
+        F.lit(name).alias("table_name"), F.lit(n).cast("long").alias("deleted"), "kept") for name, n in deleted.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("inspect_scope", f"""
@@ -474,9 +503,11 @@ def delete_pay_scope(v):
 SELECT event_id FROM events WHERE NOT coalesce(cast(event_type AS varchar) = 'click' AND try_cast(value AS double) < 20, false)""",
        raw=True)
 def delete_rows(v):
-    """What deleting by two filters leaves."""
-    delete = fl.explore("event_type", "=", "click") & fl.explore("value", "<", "20")
-    return lc.kept(v.table("events"), delete).select("event_id")
+    """What deleting by two filters leaves of a table without any partitions."""
+    tables = stored(v, events=v.table("events"))
+    with tables.change() as change:
+        change.delete("events", fl.explore("event_type", "=", "click") & fl.explore("value", "<", "20"))
+    return tables.read("events").select("event_id")
 
 
 @query("upsert_latest", """

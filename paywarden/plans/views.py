@@ -16,6 +16,7 @@ from paywarden.functions.formulas import Formula
 from paywarden.functions.text import normalise
 from paywarden.schema import GROSS_PARTS, MONEY, Mode, PERIOD, Rubric, SCOPE
 from paywarden.session import scratch_path
+from paywarden.sources.writers import JOURNAL
 
 RULES = [FilterRule("category", "=", "BUILDING", institution_id="IF")]
 
@@ -259,6 +260,32 @@ class Views:
             )
         return entries[0].unionByName(entries[1])
 
+    @cached_property
+    def full_journal(self) -> DataFrame:
+        """The journal in its stored layout."""
+        entries = self.journal.withColumns({
+            "mode": F.lit("append"), "rows_read": F.col("rows_loaded"), "message": F.lit(None).cast("string"),
+            "logged_at": F.col("finished_on").cast("timestamp"),
+        })
+        return entries.select(*JOURNAL.names)
+
+    @cached_property
+    def formula_rows(self) -> DataFrame:
+        """One formula per order, of a few named institutions, of all of them or of one per customer."""
+        k = F.col("o_orderkey")
+        pick = lambda values, number: F.get(F.array(*[F.lit(x) for x in values]), (number % len(values)).cast("int"))
+        own = F.concat(F.lit("I"), F.col("o_custkey").cast("string"))
+        term = lambda code, value: F.struct(F.lit(code).alias("code"), value.cast("decimal(12,4)").alias("coefficient"))
+        return self.table("orders").select(
+            F.concat(F.lit("B"), k.cast("string")).alias("formula_id"), pick(Rubric.ALL, F.floor(k / 3)).alias("rubric"),
+            pick(Mode.ALL, F.floor(k / 7)).alias("mode"),
+            F.array(term("BASE_PAY", (k % 400 - 200) / 100), term("BONUS", (k % 7) / 8), term("DEDUCTIONS", F.lit(-1))).alias("terms"),
+            F.when(k % 5 == 4, own).otherwise(pick([None, "IF", "IO", "IP", None], k)).alias("institution_id"),
+            F.when(k % 11 > 0, F.concat(F.lit("R"), (k % 5 + 1).cast("string"))).alias("regime"),
+            F.concat(F.lit("T"), F.quarter("o_orderdate").cast("string")).alias("quarter"), F.year("o_orderdate").alias("year"),
+            k.alias("version"), (k % 9 > 0).alias("active"),
+        )
+
     @cached_property
     def institutions(self) -> DataFrame:
         """Official names; one institution has none."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from paywarden.functions.filters import in_scope
 from paywarden.schema import DECLARED_LINE, PAY_LINE, SCOPE, SCOPE_LAYOUT
 from paywarden.sources import mapping as mp, writers
+from paywarden.sources.commits import Tables
 
 IMPORT_PAY, IMPORT_DECLARED = "IMPORT_PAY", "IMPORT_DECLARED"
 
@@ -269,6 +270,56 @@ def delete_scope(spark: SparkSession, store: Store, scope: dict[str, object]) ->
     return counts
 
 
+# --- the same on tables that change together -----------------------------------------
+
+
+def withdraw_import(tables: Tables, execution_id: str, results: DataFrame | None = None, campaigns: DataFrame | None = None) -> int:
+    """Withdraw an unused declaration import: lines, captured columns and journal entry change in one commit."""
+    entries = writers.current_journal(tables.read("journal"))
+    mine = F.col("execution_id") == execution_id
+    found = entries.where(mine & (F.col("operation") == IMPORT_DECLARED) & (F.col("status") != "DELETED"))
+    if found.isEmpty():
+        raise ValueError("Declaration import not found or already withdrawn.")
+    guard(uses(tables.read("declared").where(mine), "declared_id", results, campaigns))
+    with tables.change() as change:
+        deleted = change.delete("declared", mine)
+        if "schemas" in change.entries:
+            change.delete("schemas", mine)
+        change.append("journal", withdrawn_entries(found, f"Withdrawn ({deleted} lines)"))
+    return deleted
+
+
+def withdrawn_entries(found: DataFrame, message: str) -> DataFrame:
+    """Journal entries that end the given ones."""
+    return found.withColumns({"status": F.lit("DELETED"), "message": F.lit(message), "logged_at": F.current_timestamp()})
+
+
+def withdraw_pay_scope(tables: Tables, scope: dict[str, object], results: DataFrame | None = None, sources: DataFrame | None = None) -> int:
+    """Withdraw the pay lines of a scope with their raw copies and captured columns, unless analyses use them."""
+    here = in_scope(**scope_only(scope))
+    lines = tables.read("pay").where(here)
+    if lines.isEmpty():
+        raise ValueError("There are no pay lines in this scope.")
+    guard(uses(lines, "line_id", results, sources))
+    imports = lines.select("execution_id").distinct()
+    mine = F.col("execution_id").isin([r.execution_id for r in imports.collect()])  # one per import
+    found = writers.current_journal(tables.read("journal")).where(mine & (F.col("operation") == IMPORT_PAY) & here)
+    with tables.change() as change:
+        deleted = change.delete("pay", here)
+        for name in ("raw", "schemas"):
+            if name in change.entries:
+                change.delete(name, mine & here if set(SCOPE) <= set(change.read(name).columns) else mine)
+        change.append("journal", withdrawn_entries(found, "Pay lines withdrawn"))
+    return deleted
+
+
+def empty_scope(tables: Tables, scope: dict[str, object]) -> dict[str, int]:
+    """Empty a scope in the pay, declaration and result tables, without a guard. Returns the counts."""
+    here = in_scope(**scope_only(scope))
+    with tables.change() as change:
+        return {name: change.delete(name, here) for name in ("results", "pay", "declared") if name in change.entries}
+
+
 # --- configuration and runs ----------------------------------------------------------
 
 
