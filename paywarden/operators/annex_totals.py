@@ -154,7 +154,10 @@ def figures(lines: DataFrame, declared: DataFrame, rules: list[FilterRule], book
         own += [f"min({order}) as declared_head", f"min(if(no_id, {order}, null)) as declared_no_id_head"]
     sheet = declared.select(key, *SCOPE, *DECLARED_ORDER, (~usable_id(F.col(ID))).alias("no_id"))
     both = per_key.join(sheet.groupBy(key, *SCOPE).agg(*map(F.expr, own)), [key, *SCOPE], "full")
-    return with_elsewhere(both, key, terms, of_terms is not None)
+    found = with_elsewhere(both, key, terms, of_terms is not None)
+    usable = usable_id(F.col(key)) if key == ID else has_name(F.col(key))
+    number = F.expr(book.terms_number(Rubric.PAID_ELSEWHERE)).cast("int").alias("terms_number")
+    return found.select("*", usable.alias("usable"), (usable & (F.col("declared_n") > 0)).alias("is_declared"), number)
 
 
 def with_elsewhere(rows: DataFrame, key: str, terms: list[str], ranked: bool) -> DataFrame:
@@ -176,9 +179,7 @@ def with_elsewhere(rows: DataFrame, key: str, terms: list[str], ranked: bool) ->
     heads = [f"least(if({a}_head = {p}_first, {p}_next, {p}_first), {o}_head) as {p}_head" for p, (a, o) in prefixes.items()] if ranked else []
     rest = [c for c in rows.columns if not c.startswith(("all_", "out_", "else_"))]
     whole = [f"coalesce({c}, 0) as {c}" if c.endswith("_n") else c for c in rest]
-    found = rows.selectExpr(*whole, *less, *heads)
-    usable = usable_id(F.col(key)) if key == ID else has_name(F.col(key))
-    return found.select("*", usable.alias("usable"), (usable & (F.col("declared_n") > 0)).alias("is_declared"))
+    return rows.selectExpr(*whole, *less, *heads)
 
 
 # --- rows of a key to the annexes ----------------------------------------------------
@@ -227,8 +228,8 @@ def shares(book: Book, key: str) -> dict[str, list[Share]]:
         f"declared_first_{kind}": [Share("is_declared", "1", "1", head="declared_head")],
         f"declared_dup_{kind}": [Share("is_declared and declared_n > 1", "declared_n", "1", head="declared_head")],
     }
-    lists, number = elsewhere_terms(book), book.terms_number(Rubric.PAID_ELSEWHERE)
-    picked = lambda column: f"try_element_at(array({', '.join(map(column, lists))}), 1 + {number})"
+    lists = elsewhere_terms(book)
+    picked = lambda column: fx.case_sql([(f"terms_number = {i}", column(t)) for i, t in enumerate(lists)], "null")
     for names, prefix in (([f"elsewhere_{kind}"], "else"), ([f"elsewhere_{kind}_pos", f"paid_elsewhere_{kind}"], "else_paid")):
         first = amount = None
         if lists:
@@ -265,7 +266,7 @@ def per_scope(rows: DataFrame, book: Book, key: str, names: list[str]) -> DataFr
     sums: dict[str, str] = {}
 
     def total(values: list[tuple[str, str | None]]) -> str | None:
-        added = [f"coalesce(sum(if({test}, {value}, null)), 0)" for test, value in values if value]
+        added = [f"coalesce(if({test}, cast({value} as bigint), null), 0)" for test, value in values if value]
         return sums.setdefault(" + ".join(added), f"sum_{len(sums)}") if added else None
 
     def total_money(values: list[tuple[str, tuple[str, ...] | None]]) -> str | None:
@@ -280,7 +281,9 @@ def per_scope(rows: DataFrame, book: Book, key: str, names: list[str]) -> DataFr
         impact = book.impact(rubric, amount, first or "0") if amount and rubric else "0"
         entries.append(f"struct('{name}' as annex, cast({lines or 0} as bigint) as row_count, "
                        f"cast({people or 0} as bigint) as people, cast({impact} as {SUM}) as impact)")
-    summed = rows.groupBy(*SCOPE).agg(*(F.expr(f"{value} as {name}") for value, name in sums.items()))
+    # What each row adds is a column before it is summed: sums of plain columns need little generated code.
+    added = rows.selectExpr(*SCOPE, *(f"{value} as {name}" for value, name in sums.items()))
+    summed = added.groupBy(*SCOPE).agg(*(F.expr(f"sum({name}) as {name}") for name in sums.values()))
     return summed.selectExpr(*SCOPE, f"inline(array({', '.join(entries)}))")
 
 
