@@ -60,7 +60,9 @@ def paying_sources(base: DataFrame, key: str, formulas: list[fx.Formula] = (), d
 
     The first payment of a key in an import is found among the first payments of
     its sources, so no line needs a rank. The windows run over these sums: at
-    most one row per source of the period.
+    most one row per source of the period. With a detail (spellings, say) a key
+    may have any number of rows, so its figures are summed once more and come
+    back by a join that Spark can split.
     """
     formulas = list(formulas)
     able = usable_id(F.col(key)) if key == "staff_key" else has_name(F.col(key))
@@ -73,10 +75,16 @@ def paying_sources(base: DataFrame, key: str, formulas: list[fx.Formula] = (), d
         total(F.col("value")).alias("value"),
         head,
     )
-    whole_key = Window.partitionBy(key, *PERIOD)
-    first = F.min("head").over(Window.partitionBy(key, "execution_id", *PERIOD))
+    if detail:
+        sums = with_key_figures(sums, key)
+    else:
+        whole_key, of_import = Window.partitionBy(key, *PERIOD), Window.partitionBy(key, "execution_id", *PERIOD)
+        sums = sums.withColumns({
+            "first": F.min("head").over(of_import), "occurrences": F.sum("payments").over(whole_key),
+            "regimes": F.size(F.collect_set("regime").over(whole_key)).cast("long"),
+        })
     mode = fx.mode_of("formula_id", formulas)
-    head_value = F.when(F.col("head") == first, F.col("head.value")).otherwise(F.lit(0).cast(MONEY))
+    head_value = F.when(F.col("head") == F.col("first"), F.col("head.value")).otherwise(F.lit(0).cast(MONEY))
     outside = (
         F.when(mode == Mode.EXTRA_LINES, F.col("value") - head_value)
         .when(mode == Mode.ONE_PER_PERSON, head_value)
@@ -94,11 +102,22 @@ def paying_sources(base: DataFrame, key: str, formulas: list[fx.Formula] = (), d
         "payments",
         "mass",
         outside.alias("outside_impact"),
-        F.sum("payments").over(whole_key).alias("occurrences"),
-        F.size(F.collect_set("regime").over(whole_key)).cast("long").alias("regimes"),
+        "occurrences",
+        "regimes",
     )
 
 
+def with_key_figures(sums: DataFrame, key: str) -> DataFrame:
+    """Sums with the first payment of their key in the import, and the payments and regimes of the whole key."""
+    of_source = sums.groupBy(key, *PERIOD, *SOURCE).agg(F.min("head").alias("head"), F.sum("payments").alias("payments"))
+    of_import = of_source.groupBy(key, *PERIOD, "execution_id").agg(F.min("head").alias("first"))
+    whole = of_source.groupBy(key, *PERIOD).agg(
+        F.sum("payments").alias("occurrences"), F.size(F.collect_set("regime")).cast("long").alias("regimes")
+    )
+    figures = of_import.join(whole, [key, *PERIOD])
+    return sums.join(figures, [key, *PERIOD, "execution_id"])
+
+
 def source_struct(base: DataFrame, key: str, formulas, detail, join_key: str, out: str) -> DataFrame:
     """The paying sources of a key, each as one value."""
     sources = paying_sources(base, key, formulas, detail)

@@ -7,7 +7,7 @@ else is a partial aggregate: each task sends one row per key at most.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from paywarden.schema import LINE_ORDER
 from paywarden.session import scratch_path
@@ -176,42 +176,49 @@ def joined_on(rows: DataFrame, figures: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(figures, same).select(rows["*"], *[figures[c] for c in figures.columns if c not in keys])
 
 
-#: Parts that a round of the search cuts its range into, and distinct values that are few enough to look at.
-PARTS, FEW = 1024, 4096
+#: Values that are few enough to be sorted in one place, and how exactly pivots are drawn from the sketch of the values.
+FEW, ACCURACY, MARGIN = 100_000, 10_000, 3e-4
 
 
-def value_at(values: DataFrame, place: int):
-    """The value at a place (from 0) of the order of column ``v``, which holds no nulls.
+def middle_values(rows: DataFrame, size: int, places: tuple[int, int]) -> tuple:
+    """The values at two neighbouring places (from 0) of the order of column ``v``, which holds neither nulls nor NaN.
 
-    A round counts the values in equal parts of the range that still holds the place, and goes on with one part,
-    until few distinct values are left. All it moves is one count per part.
+    A sketch of the values gives a pivot on either side of both places; one pass counts the values below and at the
+    pivots. If that does not settle both places, the search goes on between the pivots, or wider if they missed.
     """
-    v, rest = F.col("v").cast("double"), values
-    while True:
-        low, high, distinct = rest.agg(F.min(v), F.max(v), F.approx_count_distinct("v")).first()
-        width = (high - low) / PARTS
-        if distinct <= FEW // 2 or not 0 < width < float("inf"):
-            break
-        part = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(PARTS - 1))
-        for number, n in sorted(rest.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
-            if place < n:
-                break
-            place -= n
-        rest = rest.where(part == number)
-    upto = 0
-    for row in rest.groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").toLocalIterator():
-        upto += row.n
-        if place < upto:
-            return row.v
+    (low, high), v, margin = places, F.col("v"), MARGIN
+    while size > FEW:
+        at = [max(0.0, low / size - margin), min(1.0, (high + 1) / size + margin)]
+        a, b = rows.agg(F.percentile_approx("v", at, ACCURACY)).first()[0]
+        below_a, upto_a, below_b, upto_b = rows.agg(*map(F.count_if, (v < a, v <= a, v < b, v <= b))).first()
+        if not (below_a <= low and high < upto_b):
+            margin *= 4
+            continue
+        if low < upto_a:
+            if high < upto_a:
+                return a, a
+            return a, (b if high >= below_b else rows.where(v > a).agg(F.min("v")).first()[0])
+        if high >= below_b:
+            return (b if low >= below_b else rows.where(v < b).agg(F.max("v")).first()[0]), b
+        rows, size, low, high = rows.where((v > a) & (v < b)), below_b - upto_a, low - upto_a, high - upto_a
+    ordered = rows.agg(F.sort_array(F.collect_list("v")).alias("v"))
+    return tuple(ordered.select(F.get("v", F.lit(low)).alias("low"), F.get("v", F.lit(high)).alias("high")).first())
 
 
 def exact_median(rows: DataFrame, column: str) -> Column:
-    """The exact median of a column as a literal: the middle value, or the mean of the two."""
+    """The exact median of a column as a literal: the middle value, or the mean of the two.
+
+    Nulls do not count; infinities are ordinary values, and NaN is larger than any of them.
+    """
     values = rows.select(F.col(column).alias("v")).where("v is not null")
-    n = values.count()
+    fractional = isinstance(values.schema["v"].dataType, (T.FloatType, T.DoubleType))
+    n, numbers = values.agg(F.count(F.lit(1)), F.count_if(~F.isnan("v")) if fractional else F.count(F.lit(1))).first()
     if not n:
         return F.lit(None)
-    lower, upper = value_at(values, (n - 1) // 2), value_at(values, n // 2)
+    places = ((n - 1) // 2, n // 2)
+    if places[1] >= numbers:
+        return F.lit(float("nan"))
+    lower, upper = middle_values(values.where(~F.isnan("v")) if numbers < n else values, numbers, places)
     return (F.lit(lower) + F.lit(upper)) / 2
 
 

@@ -164,6 +164,23 @@ def annex_people(v):
     return ax.annex_people(rows, ax.BY_NAME["validation"]).select(*SCOPE, "line_id", "concerned")
 
 
+#: Declarations of which some were handed in twice.
+TWICE_SQL = f"""
+twice AS (SELECT declared_id, execution_id, {S}, staff_key, name_key, source_row FROM declared
+  UNION ALL SELECT 'S' || declared_id, execution_id, {S}, staff_key, name_key, source_row + 1 FROM declared WHERE agent_no % 10 = 4)"""
+
+
+@query("annex_declared_twice", f"""
+SELECT {S}, declared_id AS line_id, staff_key, name_key FROM ({windowed('twice', 'staff_key', '{n} > 1')}) x""", (TWICE_SQL,))
+def annex_declared_twice(v):
+    """Duplicates by identifier among declarations that were handed in twice."""
+    columns = ["declared_id", "execution_id", *SCOPE, "staff_key", "name_key", "source_row"]
+    again = v.declared.where("agent_no % 10 = 4").withColumns(
+        {"declared_id": F.concat(F.lit("S"), "declared_id"), "source_row": F.col("source_row") + 1})
+    rows = ax.annex("declared_dup_id", v.pay, v.declared.select(*columns).unionByName(again.select(*columns)), RULES, FORMULAS)
+    return rows.select(*SCOPE, F.col("declared_id").alias("line_id"), "staff_key", "name_key")
+
+
 def people_sql(annex: ax.Annex) -> str:
     """The first line of every person of an annex."""
     line = "declared_id" if annex.family == ax.DECLARED else "line_id"

@@ -246,10 +246,8 @@ SELECT rubric, formula_id, CASE {TEXTS} END AS expression, count(*) AS scopes
 FROM resolved GROUP BY rubric, formula_id""", (FORMULA_SQL,))
 def formula_text(v):
     """The formulas in use, as text, with the scopes they value."""
-    term = "concat(format_number(t.coefficient, '#.####'), ' × ', t.code)"
-    table = fx.formula_table(v.spark, [fx.DEFAULT_FORMULA, *FORMULAS]).select(
-        "formula_id", F.expr(f"if(size(terms) = 0, '0', concat_ws(' + ', transform(terms, t -> {term})))").alias("expression")
-    )
+    texts = [(f.formula_id, fx.describe(f)) for f in [fx.DEFAULT_FORMULA, *FORMULAS]]
+    table = v.spark.createDataFrame(texts, "formula_id string, expression string")
     uses = fx.resolve_table(v.pay, FORMULAS).groupBy("rubric", "formula_id").agg(F.count(F.lit(1)).alias("scopes"))
     return uses.join(table, "formula_id").select("rubric", "formula_id", "expression", "scopes")
 
@@ -413,6 +411,8 @@ campaign_rows AS (
   FROM declared WHERE declared_id NOT IN (SELECT declared_id FROM pairs))
 """
 CAMPAIGN = (FORMULA_SQL, CAMPAIGN_SQL)
+#: The same tables over the lines that the business filters keep.
+FILTERED_CAMPAIGN_SQL = CAMPAIGN_SQL.replace("JOIN pay b", "JOIN listing b")
 CAMPAIGN_KEYS = f"""declared_id, {S}, staff_key, name_key, paying_institution, paying_regime, paying_execution, method,
   occurrences, regimes, formula_id, status"""
 
@@ -469,6 +469,24 @@ def campaign_rank(v):
     return cp.ranked_payments(v.pay, "staff_key").select("line_id", "payment_rank")
 
 
+@query("campaign_rank_name", f"""
+SELECT line_id, row_number() OVER (PARTITION BY {P}, name_key, execution_id
+  ORDER BY regime, institution_id, {ORDER}) AS payment_rank
+FROM pay WHERE name_key <> ''""")
+def campaign_rank_name(v):
+    """Rank of a payment under any declaration that finds it by name."""
+    return cp.ranked_payments(v.pay, "name_key").select("line_id", "payment_rank")
+
+
+@query("campaign_filtered", f"""
+SELECT {CAMPAIGN_KEYS}, cast(sum(payments) AS bigint) AS payments, {money('sum(mass)')} AS mass,
+  {money('sum(impact)')} AS impact
+FROM campaign_rows GROUP BY {CAMPAIGN_KEYS}""", (FORMULA_SQL, FILTERED_CAMPAIGN_SQL))
+def campaign_filtered(v):
+    """The campaign over the lines that the business filters keep."""
+    return cp.campaign(v.declared, cp.analysis_base(v.pay, None, RULES), FORMULAS)
+
+
 @query("unique_people_campaign", f"""
 SELECT declared_id, staff_key, name_key, coalesce(paid_name, name_key) AS full_name, max(status) AS status,
   string_agg(DISTINCT coalesce(paying_regime, 'NOT PAID'), ', ' ORDER BY coalesce(paying_regime, 'NOT PAID')) AS regimes,

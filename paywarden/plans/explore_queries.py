@@ -86,6 +86,14 @@ def page(v):
     return xp.page(orders(v), ["o_custkey", "o_orderkey"], 200, 700).selectExpr(*ORDERS.split(", "))
 
 
+@query("page_deep", f"""
+SELECT {ORDERS} FROM orders ORDER BY o_custkey, o_orderkey LIMIT 200 OFFSET (SELECT 4 * count(*) // 5 FROM orders)""", raw=True)
+def page_deep(v):
+    """A page far down the table, by the index of its ranges."""
+    index = xp.page_index(orders(v), ["o_custkey", "o_orderkey"])
+    return index.page(200, 4 * orders(v).count() // 5).selectExpr(*ORDERS.split(", "))
+
+
 @query("limited_query", """
 SELECT o_orderkey, (SELECT count(*) FROM orders) > 1000 AS truncated FROM orders ORDER BY o_orderkey LIMIT 1000""", raw=True)
 def limited_query(v):
@@ -262,6 +270,13 @@ def t_b_not_a(v):
     return xp.joined(v.table("supplier"), orders(v), {"s_suppkey": "o_custkey"}, "left_anti").select("s_suppkey")
 
 
+@query("t_b_not_a_buyers", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)", raw=True)
+def t_b_not_a_buyers(v):
+    """Customers who are not among the buyers of a large order."""
+    large = orders(v).where("o_totalprice > 200000")
+    return xp.joined(v.table("customer"), large, {"c_custkey": "o_custkey"}, "left_anti").select("c_custkey")
+
+
 BALANCE = "cast({} AS decimal(18,2))"
 
 
@@ -293,10 +308,11 @@ def t_name_other_id(v):
 
 @query("ghost_agents", """
 SELECT line_id, staff_key FROM pay p WHERE coalesce(trim(p.staff_key), '') <> ''
-  AND NOT EXISTS (SELECT 1 FROM declared r WHERE trim(r.name_key) = trim(p.staff_key))""")
+  AND NOT EXISTS (SELECT 1 FROM declared r WHERE r.year >= 2000 AND r.regime IN ('R1', 'R2') AND trim(r.staff_key) = trim(p.staff_key))""")
 def ghost_agents(v):
-    """Paid persons whom no declaration knows by that key."""
-    return xp.ghost_agents(v.pay, v.declared, "staff_key", "name_key").select("line_id", "staff_key")
+    """Paid persons whom the late declarations of two regimes do not know by their identifier."""
+    reference = v.declared.where("year >= 2000 and regime in ('R1', 'R2')")
+    return xp.ghost_agents(v.pay, reference, "staff_key", "staff_key").select("line_id", "staff_key")
 
 
 # --- subqueries and expressions ------------------------------------------------------

@@ -208,3 +208,29 @@ def test_full_outer_join_agrees_with_the_single_pass(spark):
     joined = cm.full_outer(profile("A"), profile("B"), ["institution_id"])
     once = cm.both_sides(lines, cm.Side("A"), cm.Side("B"), ["institution_id"]).select(*joined.columns)
     assert joined.exceptAll(once).isEmpty() and once.exceptAll(joined).isEmpty()
+
+
+def test_a_name_with_very_many_spellings(spark):
+    """Spellings are summed per key once more; no window holds all of them."""
+    one = pay(spark, [("", "Anonyme", 2)], "E1")
+    spelled = F.concat(F.lit("A"), F.col("n").cast("string"), F.lit("nonyme"))
+    base = one.crossJoin(spark.range(100_000).withColumnRenamed("id", "n")).withColumns({
+        "last_name": spelled, "line_id": F.col("n").cast("string"), "source_row": F.col("n"),
+        "regime": F.when(F.col("n") % 5 == 0, "FARDC").otherwise("PNC"), "execution_id": F.when(F.col("n") % 5 == 0, "E2").otherwise("E1"),
+    }).drop("n")
+    people = cp.unique_people(declared(spark, [("NU", "Anonyme"), ("A", "Other")]), base, spark.createDataFrame([], "institution_id string, official_name string"))
+    plan = cp.paying_sources(base, "name_key", [], ["last_name"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    found = people.where("mass > 0").agg(F.count("*").alias("n"), F.min("occurrences").alias("o"), F.sum("mass").alias("m"), F.sum("impact").alias("i"))
+    assert tuple(map(int, found.first())) == (100_000, 100_000, 200_000, 40_000)
+    assert people.count() == 100_001
+
+
+def test_details_share_the_figures_of_their_key(spark):
+    columns = ("Matricule", "NomPostnom", "Base", "Section")
+    rows = [(f"A{i % 3}", "Alpha", i, f"S{i % 4}") for i in range(24)]
+    base = union(pay(spark, rows, "E1", columns=columns), pay(spark, rows[:9], "E2", columns=columns, regime="FARDC"))
+    keys = ["staff_key", "quarter", "year", "paying_institution", "paying_regime", "paying_execution", "formula_id", "occurrences", "regimes"]
+    sums = [F.sum(c).alias(c) for c in ("payments", "mass", "outside_impact")]
+    whole, parts = cp.paying_sources(base, "staff_key"), cp.paying_sources(base, "staff_key", [], ["section"])
+    assert sorted(map(str, parts.groupBy(*keys).agg(*sums).collect())) == sorted(map(str, whole.groupBy(*keys).agg(*sums).collect()))

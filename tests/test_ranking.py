@@ -98,6 +98,49 @@ def test_exact_median(spark, n):
     assert (profile.n, profile["median"]) == (n, statistics.median(values))
 
 
+def in_doubles(values):
+    """Median with nulls left out and NaN above everything."""
+    ordered = sorted((v for v in values if v is not None), key=lambda v: (v != v, v if v == v else 0))
+    return (ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+@pytest.mark.parametrize("values", [
+    [1.0] * 500 + [2.0] * 500, [1.0] * 501 + [2.0] * 500, [float(i % 7) for i in range(999)], [float(-i * i) for i in range(1000)],
+    [5.0] * 300 + [float(i) for i in range(2000)], [1e300 * i for i in range(301)] + [1e-300 * i for i in range(300)],
+    [NAN] + [float(i) for i in range(2000)], [INF, -INF, NAN, None] * 3 + [float(i) for i in range(999)],
+    [NAN] * 600 + [1.0] * 300, [NAN] * 300 + [1.0] * 301, [-INF] * 700 + [INF] * 701, [1.0, 3.0], [NAN],
+], ids=range(13))
+def test_median_by_pivots(spark, monkeypatch, values):
+    monkeypatch.setattr(rk, "FEW", 20)
+    random.Random(1).shuffle(values)
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    got, expected = rows.agg(rk.exact_median(rows, "v").alias("m")).first().m, in_doubles(values)
+    assert got == expected or (got != got and expected != expected)
+
+
+def test_median_of_money(spark, monkeypatch):
+    monkeypatch.setattr(rk, "FEW", 20)
+    rows = spark.range(3001).select((F.col("id") * 1000003 % 3001 / 100).cast("decimal(18,2)").alias("v"))
+    assert float(rows.agg(rk.exact_median(rows, "v").alias("m")).first().m) == 15.0
+
+
+@pytest.mark.parametrize("offset, limit", [(0, 10), (7, 500), (990, 30), (999, 1), (1000, 5), (500, 0), (333, 334)])
+def test_pages_by_the_index_of_ranges(spark, conf, offset, limit):
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false")
+    rows = spark.range(1000).select((F.col("id") * 7919 % 100).alias("a"), "id").repartition(6)
+    index = xp.page_index(rows, ["a", "id"])
+    expected = [tuple(r) for r in rows.orderBy("a", "id").collect()][offset:offset + limit]
+    page = index.page(limit, offset)
+    assert [tuple(r) for r in page.collect()] == expected
+    assert len(index.starts) > 1 and sum(n for _, _, n in index.starts) == 1000
+    if offset >= 500 and limit:
+        assert f"Offset {offset}" not in page._jdf.queryExecution().optimizedPlan().toString()
+    assert xp.page_index(rows.limit(0), ["id"]).page(5, 0).collect() == []
+
+
 def test_self_join_and_homonyms_are_counted_without_pairs(spark):
     rows = [("1", "ann", "A"), ("2", " Ann", "B"), ("3", "bob", "A"), ("4", "ANN", "A"), ("5", "eve", "E")]
     people = spark.createDataFrame(rows, "id string, name string, person string")
