@@ -105,13 +105,15 @@ def declared_not_paid(lines: DataFrame, declared: DataFrame) -> DataFrame:
 
     What lines refer to follows from their distinct identifiers and names; the lines themselves do not move for it.
     """
+    staff, name = F.col("staff_key"), F.col("name_key")
     people = lines.select(*SCOPE, "staff_key", "name_key").distinct()
-    named = usable_id(F.col("staff_key"))
-    known = people.where(named).select(*SCOPE, "staff_key").distinct().join(by_id(declared), ["staff_key", *SCOPE])
-    others = people.where(named).join(known, ["staff_key", *SCOPE], "left_anti").unionByName(people.where(~named))
-    by_names = others.select(*SCOPE, "name_key").distinct().join(by_name(declared), ["name_key", *SCOPE])
-    used = known.select(F.col("id_match").alias("declared_id")).unionByName(by_names.select(F.col("name_match").alias("declared_id")))
-    return declared.join(used.distinct(), "declared_id", "left_anti")
+    keyed = people.withColumn("id_join", spread_key(staff, usable_id(staff), F.coalesce(name, F.lit(""))))
+    found = keyed.join(by_id(declared).withColumnRenamed("staff_key", "id_join"), ["id_join", *SCOPE], "left")
+    falls_back = F.col("id_match").isNull() & has_name(name)
+    named = found.withColumn("name_join", spread_key(name, falls_back, F.coalesce(staff, F.lit(""))))
+    both = named.join(by_name(declared).withColumnRenamed("name_key", "name_join"), ["name_join", *SCOPE], "left")
+    used = both.select(F.coalesce("id_match", "name_match").alias("declared_id")).where("declared_id is not null").distinct()
+    return declared.join(used, "declared_id", "left_anti")
 
 
 def value_matches(classified: DataFrame, formulas: list[fx.Formula], forced: fx.Formula | None = None) -> DataFrame:
