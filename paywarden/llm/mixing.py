@@ -1,15 +1,16 @@
 """Mixing sources to target weights by hash thresholds.
 
-A document is taken if the hash of its id lies below its source's threshold,
+A document is taken if the hash of its id and text lies below its source's threshold,
 so a larger budget always takes a superset. The threshold comes from a
 histogram of sizes by source and hash bucket: whole buckets below the budget
 are in, only the bucket that the budget cuts is refined by the next digits of
 the hash. Nothing is sorted and no task sees a source.
 
 Defined cases: a null text has size 0; null sources form one source, last in
-the order; all rows with one id share their hash and are taken alike; a null
-id counts as an empty one; an empty table gives an empty mix; other columns
-are carried by ``mixed`` and never read.
+the order; a null id or text counts as an empty one, so rows that share an id
+are told apart by their texts; rows alike in both share their hash and are
+taken alike; an empty table gives an empty mix; other columns are carried by
+``mixed`` and never read.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ MOST = 3
 DIGIT_BITS, LEVELS = 12, 3
 
 
-def id_hash(doc_id: Column) -> Column:
-    """36 bits of the md5 of the id's text."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def row_hash() -> Column:
+    """36 bits of the md5 of a row's id and its text's md5."""
+    whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    digest = F.md5(F.concat(whole("doc_id"), F.lit(":"), F.md5(whole("text").cast("binary"))).cast("binary"))
     return F.conv(F.substring(digest, 1, LEVELS * DIGIT_BITS // 4), 16, 10).cast("bigint")
 
 
@@ -114,7 +116,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, size, hash of every document; targets and thresholds of every source), both written."""
     sized = written(
-        docs.select("doc_id", "source", words(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash")),
+        docs.select("doc_id", "source", words(F.col("text")).alias("size"), row_hash().alias("hash")),
         "sized",
     )
     goals = written(targets(sized), "goals")
@@ -139,7 +141,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns."""
     _, limit = plan(docs)
-    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), id_hash(F.col("doc_id")).alias("hash"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), row_hash().alias("hash"))
     limit = limit.withColumnRenamed("source", "own")
     joined = rows.join(limit, rows["source"].eqNullSafe(limit["own"]))
     again = F.explode(F.array_repeat(F.lit(True), times(limit, F.col("hash")).cast("int")))

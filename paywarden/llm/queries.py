@@ -166,7 +166,7 @@ FROM parts
 
 MIX_SQL = rf"""
 WITH d AS (SELECT doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS bigint) AS size,
-    cast('0x' || substr(md5(coalesce(cast(doc_id AS varchar), '')), 1, 9) AS bigint) AS h FROM documents),
+    cast('0x' || substr(md5(coalesce(cast(doc_id AS varchar), '') || ':' || md5(coalesce(text, ''))), 1, 9) AS bigint) AS h FROM documents),
 s AS (SELECT source, cast(sum(size) AS bigint) AS source_size,
     ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
 o AS (SELECT *, 3 * source_size AS cap,

@@ -461,6 +461,19 @@ def test_mix_comes_near_its_targets(spark):
     assert rows.where(F.col("taken") > 3 * F.col("size")).count() == 0
 
 
+def test_mix_comes_near_its_targets_without_ids(spark):
+    """A third of the ids null, and another third the same: rows are told apart by their texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(
+        F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.lit(7)).otherwise(F.col("doc_id")).alias("doc_id"), "text", "source"
+    ).distinct()
+    sized, limit = mixing.plan(docs)
+    own = limit.withColumnRenamed("source", "own")
+    rows = sized.join(own, sized["source"].eqNullSafe(own["own"])).withColumn(
+        "taken", F.col("size") * (F.col("copies") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)))
+    found = rows.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n"), F.max("size").alias("most")).collect()
+    assert len(found) > 3 and all(abs(r["n"] - r["t"]) <= r["most"] for r in found)
+
+
 def test_mixed_rows_are_as_many_as_taken(spark, docs):
     taken = mixing.mix(docs).where("size > 0").agg(F.sum(F.col("taken") / F.col("size"))).first()[0]
     assert mixing.mixed(docs).where(mixing.words(F.col("text")) > 0).count() == taken
