@@ -47,8 +47,8 @@ PLACES, TREES, LEAF = 64, 8, 40
 AGREEING = 28
 #: Documents of a dense cluster that a task compares with as many others.
 BLOCK_DOCS = 1024
-#: Levels of a tree, how many of them one job goes down, and the share of a node that goes down with dense ones.
-DEPTH, LEVELS, DENSE = 8, 2, 0.35
+#: Levels of a tree, and the share of a node that goes down together in dense ones.
+DEPTH, DENSE = 8, 0.59
 
 RANDOM = np.random.default_rng(20240601)
 MIX = RANDOM.integers(0, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -163,16 +163,13 @@ def first_nodes(classes: DataFrame) -> DataFrame:
 
 
 def next_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows' documents in the two child nodes, LEVELS levels down; a node's places follow from its key."""
-    rows = rows.join(classes.select("rep", "sig"), "rep").select("node", "rep", "root", F.col("n").alias("was"), "sig")
-    for _ in range(LEVELS):
-        first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PLACES)).cast("int")
-        step = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(PLACES - 1)).cast("int") + 1
-        children = [
-            F.xxhash64("node", place, F.element_at("sig", place + 1)) for place in (first, (first + step) % PLACES)
-        ]
-        rows = rows.select(F.explode(F.array(*children)).alias("node"), "rep", "root", "was", "sig")
-    return rows.drop("sig")
+    """The rows' documents in the two child nodes; a node's places follow from its key."""
+    first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PLACES)).cast("int")
+    step = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(PLACES - 1)).cast("int") + 1
+    children = [F.xxhash64("node", place, F.element_at("sig", place + 1)) for place in (first, (first + step) % PLACES)]
+    return rows.join(classes.select("rep", "sig"), "rep").select(
+        F.explode(F.array(*children)).alias("node"), "rep", "root", F.col("n").alias("was")
+    )
 
 
 def with_nodes(rows: DataFrame) -> DataFrame:
@@ -349,11 +346,13 @@ def placed(docs: DataFrame, *columns: str) -> DataFrame:
         rows = written(with_nodes(with_roots(rows, roots)), "nodes")
     in_nodes = still_open(classes, rows)
     found, dense = [], []
-    for _ in range(0, DEPTH, LEVELS):
+    for _ in range(DEPTH):
         small, thick = F.col("n") <= LEAF, F.col("dense")
         found.append(written(cross_pairs(rows.where(small), in_nodes), "candidates"))
         dense.append(rows.where(~small & thick))
-        rows = written(with_nodes(next_nodes(rows.where(~small & ~thick), in_nodes)), "nodes")
+        # One level at a time: nodes of one component and dense ones go no further.
+        children = written(next_nodes(rows.where(~small & ~thick), in_nodes), "children")
+        rows = written(with_nodes(children), "nodes")
         if rows.isEmpty():
             break
         in_nodes = still_open(in_nodes, rows)
