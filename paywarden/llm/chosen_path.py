@@ -6,16 +6,19 @@ tree branches on it: a node picks two signature places, and documents that
 agree in one go on together. Two sets of similarity s share a branch with
 probability s, so from s = 0.75 on a tree keeps a pair together down to any
 depth with a probability of 8/9 at least; independent trees raise that to the
-target recall (1 - 9**-TREES). At the root's branches every document is first
-compared with one document of its node; most nodes are then one component and
-done. The others go on with what the components leave open: small nodes are
-compared exhaustively across components, and so are dense ones, half of which
-is one component or which branching does not thin out; the rest branches.
+target recall (1 - 9**-TREES).
 
-Candidates that pass the sizes' bound and a wide margin of the signatures'
-agreement are confirmed on their full shingle sets; dense clusters are compared
-on full sets alone. Links inside a component found before are skipped, as they
-change no component.
+The upper levels are Spark joins; a node of at most NODE documents is one group
+of a task, which branches on until its nodes are small and compares them
+exhaustively. Trees run in two ways. First every node proposes a spanning
+forest of its likeliest pairs, so a group of n near copies costs n pairs, not
+n * n; what full sets confirm gives components. Then the nodes that still hold
+several components go down the trees and give all likely pairs between them.
+Nodes that branching does not thin out, or half of which is one component, are
+compared exactly on full sets, in blocks.
+
+Every link is confirmed on full shingle sets. Pairs inside a component found
+before are skipped, as they change no component.
 
 Defined cases: a null or empty text, or one without words, has no shingles, is
 linked with nothing and kept; with fewer than five words the whole sequence is
@@ -41,14 +44,16 @@ from paywarden.llm.components import components
 
 #: Words of a shingle, and the link condition: PART * intersection >= WHOLE * union.
 WORDS, PART, WHOLE = 5, 100, 75
-#: Signature places, independent trees, documents of a node that is compared exhaustively.
-PLACES, TREES, LEAF = 64, 8, 40
-#: Candidates agree in this many places at least; a linked pair does not with a probability below 1e-7.
-AGREEING = 28
+#: Signature places, independent trees, documents of a node that is compared exhaustively, and of one that a task holds.
+PLACES, TREES, LEAF, NODE = 128, 8, 40, 1024
+#: Likely pairs agree in this many places at least; a linked pair does not with a probability below 1e-7.
+AGREEING = 69
 #: Documents of a dense cluster that a task compares with as many others.
 BLOCK_DOCS = 1024
-#: Levels of a tree, and the share of a node that goes down together in dense ones.
-DEPTH, DENSE = 8, 0.59
+#: Levels of a tree in joins and in a task. Dense nodes: the share that goes down together, the mean likeness of all pairs.
+DEPTH, TASK_DEPTH, DENSE, ALIKE = 8, 24, 0.85, 0.6
+#: Times that spanning forests are proposed.
+FORESTS = 2
 
 RANDOM = np.random.default_rng(20240601)
 MIX = RANDOM.integers(0, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,6 +61,8 @@ FLIP = RANDOM.integers(0, 1 << 32, PLACES, np.uint32)
 ODD = RANDOM.integers(0, 1 << 31, PLACES, np.uint32) * np.uint32(2) + np.uint32(1)
 #: Shingles whose signature is taken at a time, and bytes whose words are hashed at a time.
 BLOCK, PIECE = 512, 1 << 18
+#: Where the counts of a signature place begin.
+SLOTS = 256 * np.arange(PLACES)
 #: A word's hash is a polynomial of its bytes' numbers; POWERS and INVERSES hold the powers of its odd base.
 LETTERS = RANDOM.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 BASE = int(RANDOM.integers(0, 1 << 62)) * 4 + 3
@@ -119,25 +126,27 @@ def signature(found: np.ndarray) -> np.ndarray:
         values = (short[begin:begin + BLOCK, None] ^ FLIP) * ODD
         values ^= values >> np.uint32(15)
         least = np.minimum(least, values.min(axis=0))
-    return least.view(np.int32)
+    return least
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, size and digest of the shingle set, signature, further columns as they are."""
+    """doc_id, size and digest of the shingle set, the places of the roots, one byte of every place, further columns as they are."""
     for batch in batches:
-        sizes, first, second, places = [], [], [], []
+        sizes, first, second, roots, places = [], [], [], [], []
         for text in batch.column("text"):
             found = shingles(text.as_py())
             sizes.append(len(found))
             first.append(int(found.sum().view(np.int64)) if len(found) else 0)
             second.append(int(np.bitwise_xor.reduce(scrambled(found + MIX[0])).view(np.int64)) if len(found) else 0)
-            places.append(signature(found))
-        flat = np.concatenate(places) if places else np.empty(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1) * PLACES, pa.int32()), pa.array(flat))
+            least = signature(found)
+            roots.append(least[:2 * TREES].view(np.int32))
+            places.append((least & np.uint32(255)).astype(np.uint8).tobytes())
+        flat = np.concatenate(roots) if roots else np.empty(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(roots) + 1) * 2 * TREES, pa.int32()), pa.array(flat))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists,
-             *(batch.column(c) for c in batch.schema.names[2:])],
-            ["doc_id", "n_shingles", "sum", "mark", "sig", *batch.schema.names[2:]],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
+             lists, pa.array(places, pa.binary()), *(batch.column(c) for c in batch.schema.names[2:])],
+            ["doc_id", "n_shingles", "sum", "mark", "top", "sig", *batch.schema.names[2:]],
         )
 
 
@@ -156,7 +165,7 @@ def linked(common: Column, size_a: Column, size_b: Column) -> Column:
 
 def first_nodes(classes: DataFrame) -> DataFrame:
     """(node, rep, root, was): two branches at the root of every tree; ``was`` is the size of the node above."""
-    keys = [F.xxhash64(F.lit(place), F.col("sig")[place]) for place in range(2 * TREES)]
+    keys = [F.xxhash64(F.lit(place), F.col("top")[place]) for place in range(2 * TREES)]
     return classes.select(
         F.explode(F.array(*keys)).alias("node"), "rep", F.col("rep").alias("root"), F.lit(None).cast("bigint").alias("was")
     )
@@ -166,7 +175,7 @@ def next_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows' documents in the two child nodes; a node's places follow from its key."""
     first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PLACES)).cast("int")
     step = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(PLACES - 1)).cast("int") + 1
-    children = [F.xxhash64("node", place, F.element_at("sig", place + 1)) for place in (first, (first + step) % PLACES)]
+    children = [F.xxhash64("node", place, F.substring("sig", place + 1, F.lit(1))) for place in (first, (first + step) % PLACES)]
     return rows.join(classes.select("rep", "sig"), "rep").select(
         F.explode(F.array(*children)).alias("node"), "rep", "root", F.col("n").alias("was")
     )
@@ -190,46 +199,127 @@ def with_nodes(rows: DataFrame) -> DataFrame:
     )
 
 
-def star_pairs(rows: DataFrame, centre: str) -> DataFrame:
-    """Every document of a node with one of them, unless both are in one component already."""
-    rows = rows.where(F.col("root") != F.col("drawn_root")) if centre == "drawn" else rows.where(F.col("rep") != F.col(centre))
-    return rows.select(F.col(centre).alias("a"), F.col("rep").alias("b"))
-
-
 def still_open(classes: DataFrame, rows: DataFrame) -> DataFrame:
     """The classes that the nodes still hold: what the next joins move."""
     held = rows.select(F.col("rep").alias("held")).distinct()
     return written(classes.join(held, F.col("rep") == F.col("held"), "left_semi").select("rep", "n_shingles", "sig"), "open")
 
 
-def likely(n_a: str, n_b: str, sig_a: str, sig_b: str) -> Column:
-    """Whether the sizes allow a link and the signatures agree in enough places."""
-    agreeing = F.size(F.filter(F.zip_with(sig_a, sig_b, lambda x, y: x == y), lambda same: same))
-    return (PART * F.least(n_a, n_b) >= WHOLE * F.greatest(n_a, n_b)) & (agreeing >= AGREEING)
-
-
-def side(classes: DataFrame, name: str) -> DataFrame:
-    return classes.select(F.col("rep").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n_shingles").alias(f"n_{name}"))
-
-
-def candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct likely pairs."""
-    joined = pairs.distinct().join(side(classes, "a"), "a").join(side(classes, "b"), "b")
-    return joined.where(likely("n_a", "n_b", "sig_a", "sig_b")).select("a", "b").distinct()
-
-
-def cross_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """The likely pairs of different components in small nodes.
-
-    The documents outside the largest component meet all others; what is unlikely leaves inside the join.
-    """
-    ones = rows.where(F.col("root") != F.col("major")).select(
-        F.col("node").alias("key"), F.col("rep").alias("a"), F.col("root").alias("root_a")
-    ).join(side(classes, "a"), "a")
-    twos = rows.select("node", F.col("rep").alias("b"), "root", "major").join(side(classes, "b"), "b")
-    other = (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("major")) | (F.col("a") < F.col("b")))
-    near = likely("n_a", "n_b", "sig_a", "sig_b")
-    return ones.join(twos, (F.col("node") == F.col("key")) & other & near).select("a", "b").distinct()
+def whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, ids, roots, sizes, signatures) of every node, from rows sorted by node."""
+    rest = None
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        rows = (pa.concat_tables([rest, new]) if rest is not None else new).combine_chunks()
+        nodes, ids, roots, sizes = (rows[c].to_numpy() for c in ("node", "rep", "root", "n_shingles"))
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, PLACES)
+        cuts = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1)]
+        for begin, end in zip(cuts, cuts[1:]):
+            yield int(nodes[begin]), ids[begin:end], roots[begin:end], sizes[begin:end], sig[begin:end]
+        rest = rows.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield int(nodes[cuts[-1]]), ids[cuts[-1]:], roots[cuts[-1]:], sizes[cuts[-1]:], sig[cuts[-1]:]
+
+
+def lower_nodes(node: int, roots: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+    """The places of the documents of all small (False) and dense (True) nodes that a node branches into."""
+    above = [(np.random.default_rng(node & 0x7FFFFFFFFFFFFFFF), np.arange(len(roots)), 0)]
+    while above:
+        draw, at, depth = above.pop()
+        parts = np.unique(roots[at], return_counts=True)[1]
+        if len(parts) < 2:
+            continue
+        if len(at) <= LEAF:
+            yield at, False
+            continue
+        counts = np.bincount((sig[at] + SLOTS).ravel(), minlength=256 * PLACES).reshape(PLACES, 256)
+        splitting = np.flatnonzero(counts.max(axis=1) < len(at))
+        thick = np.square(counts / len(at)).sum() >= ALIKE * PLACES or len(parts) < len(at) and 2 * parts.max() >= len(at)
+        if thick or depth == TASK_DEPTH or len(splitting) < 2:
+            yield at, True
+            continue
+        for place in draw.choice(splitting, 2, replace=False):
+            values = sig[at, place]
+            order = np.argsort(values, kind="stable")
+            for part in np.split(at[order], np.flatnonzero(np.diff(values[order])) + 1):
+                if len(part) > 1:
+                    above.append((np.random.default_rng(draw.integers(1 << 62)), part, depth + 1))
+
+
+def agreement(at: int, sizes: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """In how many places a document agrees with every other; 0 if the sizes allow no link."""
+    same = (sig == sig[at]).sum(axis=1)
+    possible = PART * np.minimum(sizes, sizes[at]) >= WHOLE * np.maximum(sizes, sizes[at])
+    return np.where(possible, same, 0)
+
+
+def forest(roots: np.ndarray, sizes: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(a, b, agreeing): likely pairs that span the components of a node, the likeliest first from where it stands."""
+    count = len(roots)
+    best, near, inside, at = np.full(count, -1), np.zeros(count, np.int64), np.zeros(count, bool), int(np.argmin(roots))
+    for _ in range(count - 1):
+        inside[at] = True
+        agreeing = np.where(roots == roots[at], PLACES + 1, agreement(at, sizes, sig))
+        better = ~inside & (agreeing > best)
+        best[better], near[better] = agreeing[better], at
+        at = int(np.argmax(np.where(inside, -2, best)))
+        if AGREEING <= best[at] <= PLACES:
+            yield int(near[at]), at, int(best[at])
+
+
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, component, agreeing): the spanning forests of all nodes, with the component of b."""
+    for node, ids, roots, sizes, sig in whole_nodes(batches):
+        found: set[tuple[int, int, int]] = set()
+        for at, _ in lower_nodes(node, roots, sig):
+            found.update((int(at[x]), int(at[y]), n) for x, y, n in forest(roots[at], sizes[at], sig[at]))
+        if found:
+            a, b, n = (np.array(c) for c in zip(*sorted(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[a], ids[b], roots[b], n)], ["a", "b", "component", "agreeing"])
+
+
+def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, dense): all likely pairs between the components of small nodes; for dense ones their least document and each."""
+    for node, ids, roots, sizes, sig in whole_nodes(batches):
+        pairs: set[tuple[int, int]] = set()
+        thick: set[tuple[int, int]] = set()
+        for at, dense in lower_nodes(node, roots, sig):
+            if dense:
+                thick.update((int(ids[at].min()), int(i)) for i in ids[at])
+                continue
+            for place in range(len(at) - 1):
+                agreeing = agreement(place, sizes[at], sig[at])
+                other = at[(agreeing >= AGREEING) & (np.arange(len(at)) > place) & (roots[at] != roots[at[place]])]
+                pairs.update((int(min(ids[i], ids[at[place]])), int(max(ids[i], ids[at[place]]))) for i in other)
+        for rows, dense in ((pairs, False), (thick, True)):
+            if rows:
+                a, b = (pa.array(c, pa.int64()) for c in zip(*sorted(rows)))
+                yield pa.RecordBatch.from_arrays([a, b, pa.array([dense] * len(rows))], ["a", "b", "dense"])
+
+
+def by_node(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows with size and signature of their class, every node in one task, one after the other."""
+    known = classes.select(F.col("rep").alias("own"), "n_shingles", "sig")
+    held = rows.select("node", "rep", "root").join(known, F.col("rep") == F.col("own"))
+    return held.select("node", "rep", "root", "n_shingles", "sig").repartition("node").sortWithinPartitions("node")
+
+
+def in_parts(rows: DataFrame, centre: str) -> DataFrame:
+    """Rows of nodes that a task holds: a larger node falls into parts, each with the same one of its documents."""
+    parts = F.ceil(F.col("n") / NODE).cast("int")
+    small, large = rows.where(F.col("n") <= NODE), rows.where(F.col("n") > NODE)
+    dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("rep"), parts)).alias("node"), "rep", "root")
+    middle = large.where(F.col("rep") == F.col(centre)).select(
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "rep", "root"
+    ).select(F.xxhash64("node", F.col("part").cast("bigint")).alias("node"), "rep", "root")
+    return small.select("node", "rep", "root").unionByName(dealt).unionByName(middle).distinct()
+
+
+def proposed(rows: DataFrame, classes: DataFrame, centre: str) -> DataFrame:
+    """(a, b): the spanning forests of all nodes, one pair per component: its likeliest."""
+    pairs = by_node(in_parts(rows, centre), classes).mapInArrow(forests, "a bigint, b bigint, component bigint, agreeing bigint")
+    best = pairs.groupBy("component").agg(F.max(F.struct("agreeing", -F.col("a"), "a", "b")).alias("best"))
+    return best.select(F.least("best.a", "best.b").alias("a"), F.greatest("best.a", "best.b").alias("b")).distinct()
 
 
 def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -261,15 +351,16 @@ def compared(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def dense_links(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links that dense nodes leave open, by exact comparison.
+def dense_links(rows: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links that dense nodes, rows of (a, b), leave open, by exact comparison.
 
     Documents that share such nodes form a cluster, in which each stands once. The documents outside the cluster's
     largest component are compared with all of it, in blocks of a bounded number of documents.
     """
-    together = rows.select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    together = rows.select("a", "b")
     clusters = components(together).select(F.col("node").alias("own"), F.col("root").alias("cluster"))
-    members = written(rows.select("rep", "root").distinct().join(clusters, F.col("rep") == F.col("own")).drop("own"), "members")
+    known = clusters.join(roots.withColumnRenamed("node", "rep"), F.col("own") == F.col("rep"), "left")
+    members = written(known.select(F.col("own").alias("rep"), F.coalesce("root", "own").alias("root"), "cluster"), "members")
     sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy(F.col("cluster").alias("of")).agg(
         F.ceil(F.sum("n") / BLOCK_DOCS).cast("int").alias("blocks"), F.max(F.struct("n", "root"))["root"].alias("major")
     )
@@ -322,14 +413,14 @@ def shared_ids(members: DataFrame) -> DataFrame:
 
 def placed(docs: DataFrame, *columns: str) -> DataFrame:
     """Per row: doc_id, n_shingles, rep of its class, component_id, kept; with further bigint columns also sum and mark."""
-    layout = ", ".join(["doc_id bigint, n_shingles bigint, sum bigint, mark bigint, sig array<int>", *(f"{c} bigint" for c in columns)])
+    layout = ", ".join(["doc_id bigint, n_shingles bigint, sum bigint, mark bigint, top array<int>, sig binary", *(f"{c} bigint" for c in columns)])
     signed = written(docs.select("doc_id", "text", *columns).mapInArrow(signatures, layout), "signatures")
     docs = docs.select("doc_id", "text")
     identity = ["n_shingles", "sum", "mark"]
     carried = [*identity[1:], *columns] if columns else []
     classes = written(
         signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*identity)
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")),
+        .agg(F.min("doc_id").alias("rep"), F.first("top").alias("top"), F.first("sig").alias("sig")),
         "classes",
     )
     rows = written(with_nodes(first_nodes(classes)), "nodes")
@@ -339,26 +430,34 @@ def placed(docs: DataFrame, *columns: str) -> DataFrame:
     )
     links = written(shared_ids(members), "links")
     classes = still_open(classes, rows)
-    for centre in ("least", "drawn"):
-        stars = written(candidates(star_pairs(rows, centre), classes), "stars")
-        links = written(links.unionByName(confirmed(stars, docs)), "links")
+    for turn in range(FORESTS):
+        pairs = written(proposed(rows, classes, ("least", "drawn")[turn % 2]), "proposed")
+        links = written(links.unionByName(confirmed(pairs, docs)), "links")
         roots = components(links)
         rows = written(with_nodes(with_roots(rows, roots)), "nodes")
     in_nodes = still_open(classes, rows)
     found, dense = [], []
     for _ in range(DEPTH):
-        small, thick = F.col("n") <= LEAF, F.col("dense")
-        found.append(written(cross_pairs(rows.where(small), in_nodes), "candidates"))
+        small, thick = (F.col("n") <= LEAF) | (F.col("n") <= NODE) & ~F.col("dense"), F.col("dense")
+        pairs = by_node(rows.where(small), in_nodes).mapInArrow(open_pairs, "a bigint, b bigint, dense boolean")
+        found.append(written(pairs.distinct(), "candidates"))
         dense.append(rows.where(~small & thick))
-        # One level at a time: nodes of one component and dense ones go no further.
-        children = written(next_nodes(rows.where(~small & ~thick), in_nodes), "children")
-        rows = written(with_nodes(children), "nodes")
-        if rows.isEmpty():
+        large = rows.where(~small & ~thick)
+        rows = large
+        if large.isEmpty():
             break
+        # One level at a time: nodes of one component and dense ones go no further.
+        rows = written(with_nodes(written(next_nodes(large, in_nodes), "children")), "nodes")
         in_nodes = still_open(in_nodes, rows)
-    more = written(reduce(DataFrame.unionByName, found).distinct(), "candidates")
-    thick = written(reduce(DataFrame.unionByName, [*dense, rows]), "dense")
-    extra = [confirmed(more, docs)] * (not more.isEmpty()) + [dense_links(thick, docs)] * (not thick.isEmpty())
+    found = reduce(DataFrame.unionByName, found)
+    more = written(found.where(~F.col("dense")).select("a", "b").distinct(), "candidates")
+    thick = reduce(DataFrame.unionByName, [*dense, rows]).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    thick = written(found.where("dense").select("a", "b").unionByName(thick).distinct(), "dense")
+    extra = []
+    if not more.isEmpty():
+        extra.append(confirmed(more, docs))
+    if not thick.isEmpty():
+        extra.append(dense_links(thick, roots, docs))
     if extra:
         roots = components(written(reduce(DataFrame.unionByName, [links, *extra]), "links"))
     rooted = members.join(roots, F.col("rep") == F.col("node"), "left")

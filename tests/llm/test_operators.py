@@ -492,3 +492,46 @@ def test_repeated_words_are_covered_once():
     assert rules.repeated_words("a b c d a b x a b c".split()) == 6
     assert rules.repeated_words(["a", "b"]) == 0
     assert all(c in SPACE for c in "\x0b\x0c")
+
+
+def test_a_common_passage_ends_in_small_nodes():
+    """Texts half alike are thinned out in a task: no dense node, few likely pairs; a near copy among them is found."""
+    core, count = [f"core{i}" for i in range(64)], 900
+    texts = [" ".join(core + [f"own{n}x{i}" for i in range(32)]) for n in range(count - 1)]
+    texts.append(" ".join(core + [f"own0x{i}" for i in range(31)] + ["other"]))
+    sets = [chosen_path.shingles(text) for text in texts]
+    least = [chosen_path.signature(found) for found in sets]
+    sig = [(x & np.uint32(255)).astype(np.uint8).tobytes() for x in least]
+    seen, met = set(), 0
+    for node in range(2):
+        rows = pa.RecordBatch.from_pydict({
+            "node": pa.array([node] * count, pa.int64()), "rep": pa.array(range(count), pa.int64()),
+            "root": pa.array(range(count), pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "sig": sig,
+        })
+        for batch in chosen_path.open_pairs(iter([rows])):
+            assert not any(batch["dense"].to_pylist())
+            seen.update(zip(batch["a"].to_pylist(), batch["b"].to_pylist()))
+            met += batch.num_rows
+    assert (0, count - 1) in seen
+    assert met < 0.4 * count * count / 2
+
+
+def test_forest_of_near_copies_grows_with_them():
+    """A node of near copies proposes fewer pairs than documents, over batch borders too."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[:i % 40] + [f"n{i}"] + words[i % 40 + 1:]) for i in range(300)]
+    sets = [chosen_path.shingles(text) for text in texts]
+    rows = pa.table({
+        "node": pa.array([7] * 300 + [8] * 300, pa.int64()), "rep": pa.array([*range(300)] * 2, pa.int64()),
+        "root": pa.array([*range(300)] * 2, pa.int64()), "n_shingles": pa.array([len(s) for s in sets] * 2, pa.int64()),
+        "sig": [(chosen_path.signature(s) & np.uint32(255)).astype(np.uint8).tobytes() for s in sets] * 2,
+    })
+    whole = [b.to_pydict() for b in chosen_path.forests(iter(rows.to_batches(max_chunksize=600)))]
+    cut = [b.to_pydict() for b in chosen_path.forests(iter(rows.to_batches(max_chunksize=37)))]
+    assert whole == cut
+    linked = {}
+    for part in whole:
+        for a, b in zip(part["a"], part["b"]):
+            linked.setdefault(b, a)
+    assert len({(a, b) for p in whole[:1] for a, b in zip(p["a"], p["b"])}) <= 16 * 300
+    assert len(linked) >= 299
