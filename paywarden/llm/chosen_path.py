@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paywarden.llm.common import SPACE, numbered, text_mark, utf8, written
+from paywarden.llm.common import SPACE, numbered, shuffle_partitions, text_mark, utf8, written
 from paywarden.llm.components import components
 
 #: Words of a shingle, and the link condition: PART * intersection >= WHOLE * union.
@@ -53,7 +53,7 @@ BLOCK_DOCS = 1024
 #: Levels of a tree in joins and in a task. Dense nodes: the share that goes down together, the mean likeness of all pairs.
 DEPTH, TASK_DEPTH, DENSE, ALIKE = 8, 24, 0.85, 0.6
 #: Times that spanning forests are proposed.
-FORESTS = 2
+FORESTS = 1
 
 RANDOM = np.random.default_rng(20240601)
 MIX = RANDOM.integers(0, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -301,7 +301,8 @@ def by_node(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows with size and signature of their class, every node in one task, one after the other."""
     known = classes.select(F.col("rep").alias("own"), "n_shingles", "sig")
     held = rows.select("node", "rep", "root").join(known, F.col("rep") == F.col("own"))
-    return held.select("node", "rep", "root", "n_shingles", "sig").repartition("node").sortWithinPartitions("node")
+    tasks = shuffle_partitions(rows.sparkSession)  # many small tasks: a node costs more time than bytes
+    return held.select("node", "rep", "root", "n_shingles", "sig").repartition(tasks, "node").sortWithinPartitions("node")
 
 
 def in_parts(rows: DataFrame, centre: str) -> DataFrame:
