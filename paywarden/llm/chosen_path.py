@@ -246,23 +246,26 @@ def lower_nodes(node: int, roots: np.ndarray, sig: np.ndarray) -> Iterator[tuple
                     above.append((np.random.default_rng(draw.integers(1 << 62)), part, depth + 1))
 
 
-def agreement(at: int, sizes: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """In how many places a document agrees with every other; 0 if the sizes allow no link."""
-    same = (sig == sig[at]).sum(axis=1)
-    possible = PART * np.minimum(sizes, sizes[at]) >= WHOLE * np.maximum(sizes, sizes[at])
-    return np.where(possible, same, 0)
+def agreements(sizes: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """In how many places two documents of a node agree; 0 if their sizes allow no link."""
+    same = np.empty((len(sig), len(sig)), np.int16)
+    for begin in range(0, len(sig), LEAF):
+        same[begin:begin + LEAF] = (sig[begin:begin + LEAF, None] == sig).sum(axis=2)
+    same[PART * np.minimum.outer(sizes, sizes) < WHOLE * np.maximum.outer(sizes, sizes)] = 0
+    return same
 
 
 def forest(roots: np.ndarray, sizes: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(a, b, agreeing): likely pairs that span the components of a node, the likeliest first from where it stands."""
     count = len(roots)
-    best, near, inside, at = np.full(count, -1), np.zeros(count, np.int64), np.zeros(count, bool), int(np.argmin(roots))
+    agreeing = np.where(np.equal.outer(roots, roots), PLACES + 1, agreements(sizes, sig))
+    best, near, at = np.full(count, -1), np.zeros(count, np.int64), int(np.argmin(roots))
+    inside = np.zeros(count, bool)
     for _ in range(count - 1):
-        inside[at] = True
-        agreeing = np.where(roots == roots[at], PLACES + 1, agreement(at, sizes, sig))
-        better = ~inside & (agreeing > best)
-        best[better], near[better] = agreeing[better], at
-        at = int(np.argmax(np.where(inside, -2, best)))
+        inside[at], best[at] = True, -2
+        better = ~inside & (agreeing[at] > best)
+        best[better], near[better] = agreeing[at, better], at
+        at = int(np.argmax(best))
         if AGREEING <= best[at] <= PLACES:
             yield int(near[at]), at, int(best[at])
 
@@ -287,10 +290,10 @@ def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if dense:
                 thick.update((int(ids[at].min()), int(i)) for i in ids[at])
                 continue
-            for place in range(len(at) - 1):
-                agreeing = agreement(place, sizes[at], sig[at])
-                other = at[(agreeing >= AGREEING) & (np.arange(len(at)) > place) & (roots[at] != roots[at[place]])]
-                pairs.update((int(min(ids[i], ids[at[place]])), int(max(ids[i], ids[at[place]]))) for i in other)
+            likely = (agreements(sizes[at], sig[at]) >= AGREEING) & np.not_equal.outer(roots[at], roots[at])
+            for x, y in zip(*np.nonzero(likely)):
+                if ids[at[x]] < ids[at[y]]:
+                    pairs.add((int(ids[at[x]]), int(ids[at[y]])))
         for rows, dense in ((pairs, False), (thick, True)):
             if rows:
                 a, b = (pa.array(c, pa.int64()) for c in zip(*sorted(rows)))
@@ -331,7 +334,7 @@ def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def compared(left: pa.Table, right: pa.Table) -> pa.Table:
-    """(a, b): the links between documents of different components, from their full sets."""
+    """(a, b): links between documents of different components, from their full sets; they span what all links join."""
     found: list[tuple[int, int]] = []
     if left.num_rows and right.num_rows:
         ids, roots = (right[c].to_numpy() for c in ("rep", "root"))
@@ -341,14 +344,19 @@ def compared(left: pa.Table, right: pa.Table) -> pa.Table:
         values = np.concatenate(sets)
         order = np.argsort(values, kind="stable")
         values, holders = values[order], np.repeat(np.arange(len(sets)), counts)[order]
-        for rep, root, own in zip(left["rep"].to_pylist(), left["root"].to_pylist(), arrays(left["found"])):
+        # The group, of those that links have joined, of every component.
+        known, at = np.unique(np.concatenate([left["root"].to_numpy(), roots]), return_inverse=True)
+        group, (own_part, parts) = np.arange(len(known)), np.split(at, [left.num_rows])
+        for rep, part, own in zip(left["rep"].to_pylist(), own_part, arrays(left["found"])):
             begin, end = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
             lengths = end - begin
             at = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             common = np.bincount(holders[at], minlength=len(sets))
-            open_ = (roots != root) & (main | (ids > rep))
-            links = open_ & (PART * common >= WHOLE * (len(own) + counts - common))
-            found += [(rep, int(i)) for i in ids[links]]
+            open_ = (group[parts] != group[part]) & (main | (ids > rep))
+            links = np.flatnonzero(open_ & (PART * common >= WHOLE * (len(own) + counts - common)))
+            joined, first = np.unique(group[parts[links]], return_index=True)
+            found += [(rep, int(i)) for i in ids[links[first]]]
+            group[np.isin(group, joined)] = group[part]
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
@@ -436,22 +444,21 @@ def placed(docs: DataFrame, *columns: str) -> DataFrame:
         links = written(links.unionByName(confirmed(pairs, docs)), "links")
         roots = components(links)
         rows = written(with_nodes(with_roots(rows, roots)), "nodes")
-    in_nodes = still_open(classes, rows)
-    found, dense = [], []
+    in_nodes = open_ = still_open(classes, rows)
+    small, dense = [], []
     for _ in range(DEPTH):
-        small, thick = (F.col("n") <= LEAF) | (F.col("n") <= NODE) & ~F.col("dense"), F.col("dense")
-        pairs = by_node(rows.where(small), in_nodes).mapInArrow(open_pairs, "a bigint, b bigint, dense boolean")
-        found.append(written(pairs.distinct(), "candidates"))
-        dense.append(rows.where(~small & thick))
-        large = rows.where(~small & ~thick)
-        rows = large
-        if large.isEmpty():
+        light, thick = (F.col("n") <= LEAF) | (F.col("n") <= NODE) & ~F.col("dense"), F.col("dense")
+        small.append(rows.where(light))
+        dense.append(rows.where(~light & thick))
+        rows = rows.where(~light & ~thick)
+        if rows.isEmpty():
             break
         # One level at a time: nodes of one component and dense ones go no further.
-        rows = written(with_nodes(written(next_nodes(large, in_nodes), "children")), "nodes")
+        rows = written(with_nodes(written(next_nodes(rows, in_nodes), "children")), "nodes")
         in_nodes = still_open(in_nodes, rows)
-    found = reduce(DataFrame.unionByName, found)
-    more = written(found.where(~F.col("dense")).select("a", "b").distinct(), "candidates")
+    pairs = by_node(reduce(DataFrame.unionByName, small), open_).mapInArrow(open_pairs, "a bigint, b bigint, dense boolean")
+    found = written(pairs.distinct(), "candidates")
+    more = found.where(~F.col("dense")).select("a", "b")
     thick = reduce(DataFrame.unionByName, [*dense, rows]).select(F.col("least").alias("a"), F.col("rep").alias("b"))
     thick = written(found.where("dense").select("a", "b").unionByName(thick).distinct(), "dense")
     extra = []
