@@ -44,8 +44,10 @@ from paywarden.llm.components import components
 
 #: Words of a shingle, and the link condition: PART * intersection >= WHOLE * union.
 WORDS, PART, WHOLE = 5, 100, 75
-#: Signature places, independent trees, documents of a node that is compared exhaustively, and of one that a task holds.
-PLACES, TREES, LEAF, NODE = 128, 8, 40, 1024
+#: Signature places, independent trees, documents of a node that is compared exhaustively, and of one that a task branches.
+PLACES, TREES, LEAF, NODE = 128, 8, 40, 4096
+#: Documents of a part of a node that gets a spanning forest: all their pairs are held at once.
+FOREST_DOCS = 1024
 #: Likely pairs agree in this many places at least; a linked pair does not with a probability below 1e-7.
 AGREEING = 69
 #: Documents of a dense cluster that a task compares with as many others.
@@ -309,9 +311,9 @@ def by_node(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def in_parts(rows: DataFrame, centre: str) -> DataFrame:
-    """Rows of nodes that a task holds: a larger node falls into parts, each with the same one of its documents."""
-    parts = F.ceil(F.col("n") / NODE).cast("int")
-    small, large = rows.where(F.col("n") <= NODE), rows.where(F.col("n") > NODE)
+    """Rows of nodes of at most FOREST_DOCS or so: a larger node falls into parts, each with the same one of its documents."""
+    parts = F.ceil(F.col("n") / FOREST_DOCS).cast("int")
+    small, large = rows.where(F.col("n") <= FOREST_DOCS), rows.where(F.col("n") > FOREST_DOCS)
     dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("rep"), parts)).alias("node"), "rep", "root")
     middle = large.where(F.col("rep") == F.col(centre)).select(
         F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "rep", "root"

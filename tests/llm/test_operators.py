@@ -292,8 +292,11 @@ def test_tree_weighting_against_the_definition(spark, docs, texts):
 # Near-duplicates ------------------------------------------------------------
 
 
-def test_near_duplicates_of_a_hot_group(spark):
-    """Copies, near copies and a passage that many share: components equal brute force."""
+@pytest.mark.parametrize("leaf, node, part", [(40, 4096, 1024), (8, 24, 12)])
+def test_near_duplicates_of_a_hot_group(spark, monkeypatch, leaf, node, part):
+    """Copies, near copies and a passage that many share: components equal brute force, also if nodes must go down by joins."""
+    for name, value in (("LEAF", leaf), ("NODE", node), ("FOREST_DOCS", part)):
+        monkeypatch.setattr(chosen_path, name, value)
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     base, passage = [word() for _ in range(120)], [word() for _ in range(60)]
@@ -374,6 +377,45 @@ def test_one_row_of_a_group_stays(spark):
     assert unnamed == {"c": 1, "": 2}
 
 
+def test_dense_blocks_give_spanning_links():
+    """Of a block in which all are linked, as many links come out as join its components."""
+    sets = [sorted({*range(100), 1000 + i}) for i in range(30)]
+    rows = pa.table({
+        "rep": range(30), "root": [i // 3 * 3 for i in range(30)], "major": [0] * 30, "found": pa.array(sets, pa.list_(pa.int64())),
+    })
+    links = list(zip(*chosen_path.compared(rows.slice(3), rows).to_pydict().values()))
+    joined = {i: i // 3 * 3 for i in range(30)}
+    for a, b in links:
+        old, new = joined[a], joined[b]
+        assert old != new
+        joined = {i: new if r == old else r for i, r in joined.items()}
+    assert len(links) == 9 and len(set(joined.values())) == 1
+
+
+def test_links_contracted_in_pieces(monkeypatch):
+    """Whatever a task holds at a time, its links span the same components, every node under a lesser one."""
+    rng = random.Random(4)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i + 1, i) for i in range(300, 360)]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links[i:i + 20])], ["a", "b"]) for i in range(0, 210, 20)
+    ]
+
+    def parts(edges):
+        group = {x: {x} for e in links for x in e}
+        for a, b in edges:
+            if group[a] is not group[b]:
+                group[a] |= group[b]
+                for x in group[b]:
+                    group[x] = group[a]
+        return {frozenset(g) for g in group.values()}
+
+    for held in (1 << 20, 50):
+        monkeypatch.setattr(components, "HELD", held)
+        got = [e for batch in components.contracted(iter(batches)) for e in zip(*batch.to_pydict().values())]
+        assert all(a > b for a, b in got) and parts(got) == parts(links)
+    assert list(components.contracted(iter([]))) == []
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 480)]
