@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paywarden.llm.common import held_out, utf8, written
-from paywarden.llm.shards import bordered, chunk_count, distinct_grams, in_chunks, summed_by_text, unpacked
+from paywarden.llm.shards import bordered, chunk_count, in_chunks, seen_grams, summed_by_text, unpacked
 
 #: Depth of the trees in bytes, depth at which they are cut into shards, folds of which one is held out, and the
 #: base model's added count.
@@ -66,11 +66,7 @@ def features(chunks: DataFrame) -> DataFrame:
         del rows
         for word in others:
             words.setdefault(word, 0)
-        scored, _ = distinct_grams(streams[False], GRAM)
-        learned, n = distinct_grams(streams[True], GRAM)
-        grams = np.union1d(scored, learned)
-        counts = np.zeros(len(grams), np.int64)
-        counts[np.searchsorted(grams, learned)] = n
+        grams, counts = seen_grams(*streams, GRAM)
         size = len(grams) + len(words)
         return pa.table({
             "chunk": pa.array(np.full(size, group["chunk"][0].as_py(), np.int32)),

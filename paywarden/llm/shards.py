@@ -8,12 +8,12 @@ What moves is the texts once and the distinct n-grams of every chunk.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from paywarden.llm.grams import Lookup, blocks
 
@@ -28,13 +28,17 @@ def chunk_count(docs: DataFrame) -> int:
     return max(1, ceil(size / CHUNK_BYTES))
 
 
+def chunk_of(count: int) -> Column:
+    """The chunk of a document, by the hash of id and length."""
+    return F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(count)).cast("int").alias("chunk")
+
+
 def in_chunks(docs: DataFrame, count: int, *columns: str) -> DataFrame:
-    """(chunk, blob): doc_id, text and further columns of the documents that the hash of id and length puts together.
+    """(chunk, blob): doc_id, text and further columns of the documents of a chunk.
 
     Every task packs its rows for a chunk into compressed blobs, which move in place of the rows.
     """
-    chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(count)).cast("int")
-    rows = docs.select("doc_id", "text", *columns, chunk.alias("chunk"))
+    rows = docs.select("doc_id", "text", *columns, chunk_of(count))
     return rows.mapInArrow(packed_by_chunk, "chunk int, blob binary").repartition(count, "chunk")
 
 
@@ -78,38 +82,14 @@ def distinct_grams(streams: list[bytes], order: int) -> tuple[np.ndarray, np.nda
     return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
 
-def counted(docs: DataFrame, stream: Callable[[str | None], bytes], order: int) -> DataFrame:
-    """(gram, n) over all texts, summed in every task before they move."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def summed() -> pa.RecordBatch:
-            keys, counts = distinct_grams(held, order)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
-
-        for batch in batches:
-            for text in batch.column("text"):
-                held.append(bordered(stream(text.as_py()), order))
-                size += len(held[-1])
-                if size > CHUNK_BYTES:
-                    yield summed()
-                    held, size = [], 0
-        yield summed()
-
-    return docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def asked(chunks: DataFrame, stream: Callable[[str | None], bytes], order: int) -> DataFrame:
-    """(chunk, gram): what every chunk needs to know."""
-
-    def ask(group: pa.Table) -> pa.Table:
-        streams = [bordered(stream(text.as_py()), order) for text in unpacked(group)["text"]]
-        keys, _ = distinct_grams(streams, order)
-        chunk = group["chunk"][0].as_py()
-        return pa.table({"chunk": pa.array(np.full(len(keys), chunk, np.int32)), "gram": pa.array(keys)})
-
-    return chunks.groupBy("chunk").applyInArrow(ask, "chunk int, gram bigint")
+def seen_grams(others: list[bytes], learned: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every n-gram of the texts, and how often those that are learned from have it."""
+    scored, _ = distinct_grams(others, order)
+    known, n = distinct_grams(learned, order)
+    grams = np.union1d(scored, known)
+    counts = np.zeros(len(grams), np.int64)
+    counts[np.searchsorted(grams, known)] = n
+    return grams, counts
 
 
 def summed_by_text(streams: list[bytes], order: int, grams: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -202,6 +202,21 @@ def test_all_trusted_rows_calibrate(spark, monkeypatch):
     assert limits == {("en", False), ("rare", False), (None, True)}
 
 
+def test_all_trusted_documents_are_counted(spark, docs, texts, monkeypatch):
+    """The bound of the sample changes nothing: all good documents but the calibrating ones are in the model."""
+    monkeypatch.setattr(kneser_ney, "TRUSTED", 5)
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 3 != 0, 1).otherwise(0).alias("quality"))
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect() if r["doc_id"] is not None}
+    counted = {r["id"] for r in kneser_ney.trusted_documents(labels).where("not calibrates").collect()}
+    assert counted < good and len(counted) > 0.6 * len(good)
+    p = kneser_ney_brute([t.encode() for i, t in texts if i in counted], kneser_ney.ORDER)
+    got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.judged(docs, labels).collect()}
+    for i, text in [pair for pair in texts if pair[1]][:12]:
+        padded = b"\xff" * (kneser_ney.ORDER - 1) + text.encode() + b"\xff"
+        grams = [padded[j:j + kneser_ney.ORDER] for j in range(len(padded) - kneser_ney.ORDER + 1)]
+        assert math.isclose(math.log10(got[i]), -sum(math.log10(p(g, kneser_ney.ORDER)) for g in grams) / len(grams), rel_tol=1e-9)
+
+
 def test_rows_go_by_their_own_score(spark):
     rng = random.Random(9)
     good = lambda: " ".join("".join(rng.choices("abcdef", k=4)) for _ in range(20))
