@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from paywarden.llm.common import held_out, utf8, written
+from paywarden.llm.common import held_out, lean, lean_pair, utf8, written
 from paywarden.llm.shards import bordered, chunk_count, in_chunks, seen_grams, summed_by_text, unpacked
 
 #: Depth of the trees in bytes, depth at which they are cut into shards, folds of which one is held out, and the
@@ -66,6 +66,7 @@ def features(chunks: DataFrame) -> DataFrame:
         del rows
         for word in others:
             words.setdefault(word, 0)
+        del others
         grams, counts = seen_grams(*streams, GRAM)
         size = len(grams) + len(words)
         return pa.table({
@@ -75,7 +76,7 @@ def features(chunks: DataFrame) -> DataFrame:
             "n": pa.chunked_array([pa.array(counts), pa.array(list(words.values()), pa.int64())]),
         })
 
-    return chunks.groupBy("chunk").applyInArrow(extract, "chunk int, gram bigint, word binary, n bigint")
+    return chunks.groupBy("chunk").applyInArrow(lean(extract), "chunk int, gram bigint, word binary, n bigint")
 
 
 # The formulas below take NumPy arrays and columns alike; ``log`` is the logarithm of either kind.
@@ -107,11 +108,10 @@ def at_depth(node, depth: int):
     return node.bitwiseAND(F.lit(mask)) if isinstance(node, Column) else node & mask
 
 
-def choices(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, bit) of the eight binary choices of each n-gram's last byte, choice by choice."""
-    context, byte = grams >> 8 << PLACE_BITS, grams & 0xFF
-    nodes = [context | 1 << bit | byte >> 8 - bit for bit in range(8)]
-    return np.concatenate(nodes), np.concatenate([byte >> 7 - bit & 1 for bit in range(8)])
+def choice(grams: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, bit) of one of the eight binary choices of each n-gram's last byte."""
+    byte = grams & 0xFF
+    return grams >> 8 << PLACE_BITS | 1 << bit | byte >> 8 - bit, byte >> 7 - bit & 1
 
 
 @dataclass
@@ -127,10 +127,14 @@ class Level:
 
 def shard_levels(grams: np.ndarray, counts: np.ndarray) -> dict[int, Level]:
     """The nodes from SHARD to DEPTH of n-grams that hold every n-gram after the same SHARD bytes."""
-    nodes, bits = choices(grams)
-    node, at = np.unique(nodes, return_inverse=True)
-    weights = np.tile(counts, 8).astype(np.float64)
-    zeros, ones = (np.bincount(at, weights * (bits == b), len(node)) for b in (0, 1))
+    weights, parts = counts.astype(np.float64), []
+    for bit in range(8):  # choices share no node, and one at a time takes an eighth of the memory
+        nodes, bits = choice(grams, bit)
+        node, at = np.unique(nodes, return_inverse=True)
+        parts.append((node, *(np.bincount(at, weights * (bits == b), len(node)) for b in (0, 1))))
+    node, zeros, ones = (np.concatenate(columns) for columns in zip(*parts))
+    order = np.argsort(node)
+    node, zeros, ones = node[order], zeros[order], ones[order]
     levels = {DEPTH: Level(node, zeros, ones, block(zeros, ones, np.log), np.ones(len(node)))}
     for depth in range(DEPTH - 1, SHARD - 1, -1):
         below = levels[depth + 1]
@@ -163,18 +167,20 @@ def shard_answers(group: pa.Table, above: pa.Table) -> pa.Table:
         parent = np.searchsorted(up, at_depth(level.node, depth - 1))
         one, acc, rest = estimate(level.zeros, level.ones), acc[parent], rest[parent]
         mixed[depth] = level.node, acc + rest * level.stop * one, rest * (1 - level.stop), acc + rest * one
-    nodes, bits = choices(grams)
-    q = np.full(len(nodes), np.nan)
-    for depth in range(DEPTH, -1, -1):  # the deepest node that training has reached
-        known, _, _, value = mixed[depth]
-        open_ = np.flatnonzero(np.isnan(q))
-        if len(known) and len(open_):
-            wanted = at_depth(nodes[open_], depth)
-            place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-            hit = known[place] == wanted
-            q[open_[hit]] = value[place[hit]]
-    q = np.where(np.isnan(q), 0.5, q)
-    values = np.log10(np.where(bits == 1, q, 1 - q)).reshape(8, -1).sum(axis=0)
+    values = np.zeros(len(grams))
+    for bit in range(8):
+        nodes, bits = choice(grams, bit)
+        q = np.full(len(nodes), np.nan)
+        for depth in range(DEPTH, -1, -1):  # the deepest node that training has reached
+            known, _, _, value = mixed[depth]
+            open_ = np.flatnonzero(np.isnan(q))
+            if len(known) and len(open_):
+                wanted = at_depth(nodes[open_], depth)
+                place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                hit = known[place] == wanted
+                q[open_[hit]] = value[place[hit]]
+        q = np.where(np.isnan(q), 0.5, q)
+        values += np.log10(np.where(bits == 1, q, 1 - q))
     return pa.table({"chunk": group["chunk"], "gram": group["gram"], "value": values[at]})
 
 
@@ -222,7 +228,7 @@ def gram_answers(seen: DataFrame, count: int) -> DataFrame:
     shard = F.pmod(F.xxhash64(suffix), F.lit(count)).cast("int")
     rows = seen.where(F.col("gram").isNotNull()).select("chunk", "gram", "n", shard.alias("shard")).repartition(count, "shard")
     layout = "node bigint, zeros double, ones double, weighted double, stop double"
-    tops = top_levels(written(rows.groupBy("shard").applyInArrow(shard_tops, layout), "level"))
+    tops = top_levels(written(rows.groupBy("shard").applyInArrow(lean(shard_tops), layout), "level"))
     paths = rows.select(F.col("shard").alias("home"), suffix.alias("suffix")).distinct().select(
         "home", F.explode(F.array(*[
             F.struct(F.lit(d).alias("depth"), F.col("suffix").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("context"))
@@ -233,7 +239,7 @@ def gram_answers(seen: DataFrame, count: int) -> DataFrame:
         paths, (F.col("of") == F.col("depth")) & (F.shiftright("node", PLACE_BITS) == F.col("context"))
     ).select("home", "depth", "node", "acc", "rest", "q")
     return rows.groupBy("shard").cogroup(above.groupBy("home")).applyInArrow(
-        shard_answers, "chunk int, gram bigint, value double"
+        lean_pair(shard_answers), "chunk int, gram bigint, value double"
     )
 
 
@@ -294,4 +300,4 @@ def scored(docs: DataFrame) -> DataFrame:
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
         "score double, n_bytes bigint, bits_per_byte double"
     )
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, layout)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_pair(score), layout)

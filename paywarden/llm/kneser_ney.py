@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from paywarden.llm.common import text_mark, utf8, written
+from paywarden.llm.common import lean, lean_pair, text_mark, utf8, written
 from paywarden.llm.shards import bordered, chunk_count, chunk_of, in_chunks, seen_grams, summed_by_text, unpacked
 
 #: Bytes of an n-gram, and of those whose table is complete; bound of the trusted documents that ``trusted_sample``
@@ -153,7 +153,7 @@ def asked(chunks: DataFrame, counted: DataFrame) -> DataFrame:
         chunk = blobs["chunk"][0].as_py() if texts else 0
         return pa.table({"chunk": pa.array(np.full(len(grams), chunk, np.int32)), "gram": pa.array(grams), "n": pa.array(counts)})
 
-    return chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(ask, "chunk int, gram bigint, n bigint")
+    return chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lean_pair(ask), "chunk int, gram bigint, n bigint")
 
 
 def answered(questions: DataFrame, count: int) -> DataFrame:
@@ -165,7 +165,7 @@ def answered(questions: DataFrame, count: int) -> DataFrame:
     """
     shard = F.pmod(F.xxhash64(suffix(F.shiftright("gram", 8), LOW)), F.lit(count)).cast("int")
     dealt = questions.withColumn("shard", shard).repartition(count, "shard")
-    tallies = dealt.groupBy("shard").applyInArrow(tallied, "order int, gram bigint, n bigint")
+    tallies = dealt.groupBy("shard").applyInArrow(lean(tallied), "order int, gram bigint, n bigint")
     tallies = tallies.groupBy("order", "gram").agg(F.sum("n").alias("n")).groupBy().applyInArrow(
         shared, "low binary, discounts array<double>"
     )
@@ -182,7 +182,7 @@ def answered(questions: DataFrame, count: int) -> DataFrame:
             p = interpolated(grams % 256**order, *orders[order], Discounts(next(off), next(off), next(off)), p)
         return pa.table({"chunk": asked["chunk"], "gram": asked["gram"], "value": np.log10(p)[at]})
 
-    return dealt.groupBy("shard").cogroup(everywhere.groupBy("home")).applyInArrow(answer, "chunk int, gram bigint, value double")
+    return dealt.groupBy("shard").cogroup(everywhere.groupBy("home")).applyInArrow(lean_pair(answer), "chunk int, gram bigint, value double")
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         })
 
     layout = "doc_id bigint, lang string, mark_a bigint, mark_b bigint, n_bytes bigint, log_ppl double"
-    scores = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, layout), "perplexities")
+    scores = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_pair(score), layout), "perplexities")
     return scores.join(trusted, F.col("doc_id") == F.col("id"), "left").drop("id")
 
 

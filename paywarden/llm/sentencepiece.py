@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from sentencepiece import sentencepiece_model_pb2 as proto
 
+from paywarden.llm.common import give_back
+
 #: Fixed values of the format: the space mark, piece types, and the penalty of an unknown character.
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -213,15 +215,15 @@ def encoder(spark: SparkSession, path: str):
     @F.arrow_udf(ENCODED)
     def encode(texts: pa.Array) -> pa.Array:
         own = tokenizer(model.value)
-        ids, exact, ends = [], [], [0]
+        ids, exact, ends = bytearray(), [], [0]
         for text in texts:
             text = text.as_py()
             found = own.encode(text)
-            ids.append(found)
+            ids += found.tobytes()
             ends.append(ends[-1] + len(found))
             exact.append(own.decode(found.tolist()) == (text or ""))
-        values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+        give_back()
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
         return pa.StructArray.from_arrays([lists, pa.array(exact, pa.bool_())], ["ids", "exact"])
 
     return encode

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from paywarden.llm.common import lean_batches
 from paywarden.llm.grams import Lookup, blocks
 
 #: Bytes of text in a chunk.
@@ -39,7 +40,7 @@ def in_chunks(docs: DataFrame, count: int, *columns: str) -> DataFrame:
     Every task packs its rows for a chunk into compressed blobs, which move in place of the rows.
     """
     rows = docs.select("doc_id", "text", *columns, chunk_of(count))
-    return rows.mapInArrow(packed_by_chunk, "chunk int, blob binary").repartition(count, "chunk")
+    return rows.mapInArrow(lean_batches(packed_by_chunk), "chunk int, blob binary").repartition(count, "chunk")
 
 
 def packed_by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
