@@ -7,6 +7,8 @@ else is a partial aggregate: each task sends one row per key at most.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from paywarden.schema import LINE_ORDER
@@ -162,12 +164,29 @@ def neighbours(
     )
 
 
-def with_group_totals(rows: DataFrame, keys: list[str], measure: str) -> DataFrame:
-    """SUM and AVG over the group of each row: summed per group, then joined back, so that no group is one task's work."""
-    totals = rows.groupBy(*keys).agg(
-        F.sum(measure).alias("group_total"), F.avg(F.col(measure).cast("double")).alias("group_mean")
+def with_group_totals(
+    rows: DataFrame, keys: list[str], measure: str, limit: int = LARGE_KEYS, floor: int = LARGE_FLOOR
+) -> DataFrame:
+    """SUM and AVG over the group of each row: summed per group, then joined back, so that no group is one task's work.
+
+    The totals of large groups, of which there are few, go to the rows; only rows of other groups move by their key.
+    """
+    summed = rows.groupBy(*keys).agg(
+        F.sum(measure).alias("group_total"), F.avg(F.col(measure).cast("double")).alias("group_mean"), F.count(F.lit(1)).alias("_n")
     )
-    return joined_on(rows, totals, keys)
+    path = scratch_path(rows.sparkSession, "totals")
+    summed.write.parquet(path)
+    known = rows.sparkSession.read.schema(summed.schema).parquet(path)
+    share = known.agg((F.sum("_n") / limit).alias("share"))
+    is_large = (F.col("_n") > floor) & (F.col("_n") > share.scalar())
+    large, small = (known.where(test).drop("_n") for test in (is_large, ~is_large))
+    if large.isEmpty():
+        return joined_on(rows, small, keys)
+    few = joined_on(rows, F.broadcast(large), keys)
+    if small.isEmpty():
+        return few
+    rest = rows.join(F.broadcast(large), reduce(Column.__and__, [rows[k].eqNullSafe(large[k]) for k in keys]), "left_anti")
+    return few.unionByName(joined_on(rest, small, keys))
 
 
 def joined_on(rows: DataFrame, figures: DataFrame, keys: list[str]) -> DataFrame:

@@ -180,3 +180,15 @@ def test_a_hot_identifier_is_split_by_the_join(spark, conf, tmp_path):
     # Lines without identifier are spread over all tasks of that join.
     keyed = mt.with_spread_keys(lines).where("staff_key = ''")
     assert keyed.select("id_join").distinct().count() == keyed.count()
+
+
+def test_totals_of_large_groups_go_to_the_rows(lines):
+    """Rows of large groups do not move by their key; small groups and null keys still meet their totals."""
+    mixed = lines.withColumn("key", F.when(F.col("source_row") % 100 == 0, None).when(F.col("key") != 0, F.col("key") + 1).otherwise(F.col("key")))
+    window = W.partitionBy("key")
+    expected = mixed.withColumns({"group_total": F.sum("amount").over(window), "group_mean": F.avg("amount").over(window)})
+    got = rk.with_group_totals(mixed, ["key"], "amount", **LARGE)
+    assert same(got.select(*expected.columns), expected)
+    one = lines.withColumn("key", F.lit(0))
+    plan = rk.with_group_totals(one, ["key"], "amount", **LARGE)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
