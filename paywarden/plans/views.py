@@ -15,7 +15,7 @@ from paywarden.functions.filters import FilterRule, retained
 from paywarden.functions.formulas import Formula
 from paywarden.functions.text import normalise
 from paywarden.schema import GROSS_PARTS, MONEY, Mode, PERIOD, Rubric, SCOPE
-from paywarden.session import scratch_path
+from paywarden.session import many_folders, scratch_path
 from paywarden.sources.writers import JOURNAL
 
 RULES = [FilterRule("category", "=", "BUILDING", institution_id="IF")]
@@ -123,11 +123,13 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def written(self, name: str, build: Callable[[], DataFrame], finish: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The finished rows of a build, one folder per period. What moves is the build; ``finish`` widens it in place."""
         key = (self.spark.sparkContext.applicationId, self.source_state(), name)
         if key not in WRITTEN:
-            rows, path = build(), scratch_path(self.spark, name)
-            rows.hint("rebalance", *PERIOD).write.partitionBy(*PERIOD).parquet(path)
+            rows, path = finish(build().hint("rebalance", *PERIOD)), scratch_path(self.spark, name)
+            with many_folders(self.spark):
+                rows.write.partitionBy(*PERIOD).option("compression", "zstd").parquet(path)
             WRITTEN[key] = (path, rows.schema)
         path, schema = WRITTEN[key]
         return self.spark.read.schema(schema).parquet(path).select(*schema.names)
@@ -142,18 +144,28 @@ class Views:
     @cached_property
     def pay(self) -> DataFrame:
         """Standard pay lines."""
-        return self.written("pay_line", lambda: self.standard_pay)
+        return self.written("pay_line", lambda: self.source_lines, lambda rows: self.standard_of(self.raw_of(rows)))
 
     @cached_property
     def declared(self) -> DataFrame:
         """Standard declared lines."""
-        return self.written("declared_line", lambda: self.standard_declared)
+        return self.written("declared_line", lambda: self.declared_people, self.declared_of)
+
+    @cached_property
+    def source_lines(self) -> DataFrame:
+        """The columns of the given tables that a listing line is made of, with its period."""
+        people = self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        return self.table("orders").join(people, F.col("o_custkey") == F.col("c_custkey")).select(
+            "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "c_custkey", "c_mktsegment", "c_acctbal", "n_name",
+            F.concat(F.lit("T"), F.quarter("o_orderdate").cast("string")).alias("quarter"), F.year("o_orderdate").alias("year"),
+        )
 
     @cached_property
     def raw_pay(self) -> DataFrame:
         """Listing lines as they would arrive: text identifiers, names and amounts."""
-        orders = self.table("orders")
-        people = self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        return self.raw_of(self.source_lines)
+
+    def raw_of(self, rows: DataFrame) -> DataFrame:
         agent, text_of = F.col("c_custkey"), lambda c: c.cast("string")
         regime_no = F.substring("o_orderpriority", 1, 1)
         raw_id = (
@@ -169,14 +181,14 @@ class Views:
             .otherwise(F.concat(F.lit("Agént "), name_no))
         )
         money = lambda c: c.cast(MONEY)
-        return orders.join(people, F.col("o_custkey") == agent).select(
+        return rows.select(
             text_of(F.col("o_orderkey")).alias("line_id"),
             F.col("o_orderkey").alias("source_row"),
             F.concat(F.lit("E"), text_of(F.col("o_orderkey") % 7)).alias("execution_id"),
             F.concat(F.lit("I"), "o_orderstatus").alias("institution_id"),
             F.concat(F.lit("R"), regime_no).alias("regime"),
-            F.concat(F.lit("T"), text_of(F.quarter("o_orderdate"))).alias("quarter"),
-            F.year("o_orderdate").alias("year"),
+            "quarter",
+            "year",
             agent.alias("agent_no"),
             raw_id.alias("raw_id"),
             last_name.alias("last_name"),
@@ -185,21 +197,19 @@ class Views:
             F.col("n_name").alias("province"),
             F.concat(F.lit("G"), text_of(F.when(agent % 8 == 0, F.col("o_orderkey") % 3).otherwise(agent % 3))).alias("grade"),
             F.concat(F.lit("U"), text_of(agent % 9)).alias("unit"),
-            F.concat(F.lit("Tab_R"), regime_no, F.lit("_T"), text_of(F.quarter("o_orderdate")), F.lit("_"),
-                     text_of(F.year("o_orderdate"))).alias("source_table"),
+            F.concat(F.lit("Tab_R"), regime_no, F.lit("_"), "quarter", F.lit("_"), text_of(F.col("year"))).alias("source_table"),
             money(F.when(agent % 4 == 0, F.col("c_acctbal")).otherwise(F.col("o_totalprice"))).alias("base_pay"),
             money(agent % 7 * 10).alias("transport"),
             money(agent % 3 * 25).alias("bonus"),
             money(agent % 5 * 5).alias("deductions"),
         )
 
-    @cached_property
-    def standard_pay(self) -> DataFrame:
+    def standard_of(self, raw: DataFrame) -> DataFrame:
         gross = (F.col("base_pay") + F.col("transport") + F.col("bonus")).cast(MONEY)
         zero = F.lit(0).cast(MONEY)
-        columns = self.raw_pay.columns
+        columns = raw.columns
         absent = [zero.alias(c) for c in GROSS_PARTS if c not in columns]
-        return self.raw_pay.select(
+        return raw.select(
             *columns,
             *absent,
             normalise(F.col("raw_id")).alias("staff_key"),
@@ -215,18 +225,21 @@ class Views:
         return self.pay.where(retained(RULES))
 
     @cached_property
-    def standard_declared(self) -> DataFrame:
+    def declared_people(self) -> DataFrame:
+        """One row per person and scope that is declared."""
         base = self.pay.select("agent_no", *SCOPE, "staff_key", "name_key", "source_row")
         slot = F.col("source_row") % 10
         next_regime = F.concat(F.lit("R"), (F.substring("regime", 2, 1).cast("int") % 5 + 1).cast("string"))
         kept = base.where((slot < 6) | (slot == 9)).withColumn(
             "regime", F.when(slot == 9, next_regime).otherwise(F.col("regime"))
         )
-        people = kept.groupBy("agent_no", *SCOPE).agg(
+        return kept.groupBy("agent_no", *SCOPE).agg(
             F.min("staff_key").alias("staff_key"),
             F.min("name_key").alias("name_key"),
             F.min("source_row").alias("source_row"),
         )
+
+    def declared_of(self, people: DataFrame) -> DataFrame:
         agent = F.col("agent_no").cast("string")
         return people.select(
             F.concat(F.lit("D"), agent, "institution_id", "regime", "quarter", F.col("year").cast("string")).alias(
