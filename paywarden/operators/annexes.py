@@ -183,8 +183,16 @@ def annex_people(rows: DataFrame, annex: Annex, order: list[str] = LINE_ORDER) -
 
 
 def annex(name: str, lines: DataFrame, declared: DataFrame, rules: list[FilterRule], formulas: list[fx.Formula]) -> DataFrame:
-    """One annex by name, with its impact."""
-    listing = lines.where(retained(rules))
+    """One annex by name, with its impact.
+
+    A line of the own listing whose amount depends on nothing but itself is valued first, so that its amount moves in
+    place of all that the formulas read.
+    """
+    listing, about = lines.where(retained(rules)), BY_NAME[name]
+    own = about.rubric is not None and Rubric.PAID_ELSEWHERE != about.rubric
+    early = own and not fx.any_ranked(formulas, [about.rubric])
+    if early:
+        listing = with_impact(listing, formulas, about)
     positive = lambda rows: rows.where(paid_something())
     build = {
         "listing": lambda: listing,
@@ -214,7 +222,7 @@ def annex(name: str, lines: DataFrame, declared: DataFrame, rules: list[FilterRu
         "undeclared_id": lambda: undeclared(listing, declared, ID),
         "undeclared_name": lambda: undeclared(listing, declared, NAME),
     }
-    return with_impact(build[name](), formulas, BY_NAME[name])
+    return build[name]() if early else with_impact(build[name](), formulas, about)
 
 
 # --- the whole pack in one pass ------------------------------------------------------

@@ -110,3 +110,16 @@ def test_lines_without_any_key_are_people_of_their_own(spark):
     assert found["missing_id"] == found["listing"] == (9, 7) and found["undeclared_id"] == (9, 2)
     people = at.pack_people(pay, declared, [], ["missing_id"]).collect()
     assert sorted(r.concerned for r in people) == [f"L:l{i}" for i in range(6)] + ["N:ANNA"]
+
+
+def test_amounts_of_unranked_rubrics_move_instead_of_what_formulas_read(tables):
+    """The value of a line that depends on nothing but the line is taken below the join."""
+    plan = ax.annex("undeclared_id", *tables, RULES, FORMULAS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftAnti") < plan.index("AS impact")
+
+
+def test_standard_tables_are_widened_after_they_move(spark):
+    views = Views(spark, SMALL)
+    moved = views.source_lines.hint("rebalance", "quarter", "year")
+    plan = views.standard_of(views.raw_of(moved))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS staff_key") < plan.index("RebalancePartitions") and len(moved.columns) == 10
