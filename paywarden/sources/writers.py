@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, funct
 
 from paywarden.functions.text import sanitise
 from paywarden.schema import SCOPE
+from paywarden.session import many_folders
 
 JOURNAL = T.StructType(
     [
@@ -131,5 +132,10 @@ def export_csv(rows: DataFrame, path: str, single_file: bool = False, bom: bool
 
 
 def export_parts(rows: DataFrame, path: str, by: str, fmt: str = "parquet") -> None:
-    """One folder per annex, status or other value, in a single pass."""
-    rows.hint("rebalance", by).write.partitionBy(by).mode("overwrite").format(fmt).save(path)
+    """One folder per annex, status or other value, in a single pass: every task adds its rows to the folders.
+
+    The rows neither move nor are sorted for it; a folder gets at most one file per task.
+    """
+    options = {"compression": "zstd"} if fmt == "parquet" else {}
+    with many_folders(rows.sparkSession):
+        rows.write.partitionBy(by).mode("overwrite").format(fmt).options(**options).save(path)

@@ -314,3 +314,14 @@ def test_pages_need_an_order(spark):
     assert [r.id for r in xp.page(spark.range(10), ["id"], 3, 4).collect()] == [4, 5, 6]
     with pytest.raises(ValueError):
         xp.page(spark.range(10), [], 3)
+
+
+def test_parts_are_written_where_the_rows_are(spark, tmp_path):
+    """Every task adds to the folders; nothing moves, and the session's setting comes back."""
+    rows = spark.range(0, 400, 1, 4).select("id", (F.col("id") % 2).alias("part"))
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    wr.export_parts(rows, str(tmp_path / "parts"), "part")
+    assert spark.conf.get(name, None) == before
+    assert [len(list((tmp_path / "parts" / f"part={i}").glob("*.parquet"))) for i in (0, 1)] == [4, 4]
+    assert spark.read.parquet(str(tmp_path / "parts")).count() == 400
