@@ -10,13 +10,14 @@ expands them for a chosen declaration version.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paywarden.functions import formulas as fx
 from paywarden.functions.filters import FilterRule, retained
 from paywarden.functions.money import total
 from paywarden.functions.text import full_name, has_name, spread_key, usable_id
-from paywarden.operators.listing import joined_list
 from paywarden.operators.ranking import ranked
 from paywarden.schema import LINE_ORDER, MONEY, MONEY_SUM, Mode, PERIOD, Rubric, SCOPE
 
@@ -232,25 +233,48 @@ def campaign_summary(results: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def unique_people(declared: DataFrame, base: DataFrame, institutions: DataFrame, formulas: list[fx.Formula] = ()) -> DataFrame:
-    """One row per declaration and spelling of the paid name."""
+    """One row per declaration and spelling of the paid name.
+
+    Declarations without identifier are found by a name that many others of their scope may share. They meet the
+    sources once per scope and name, and the figures of that, one row per spelling, come back to each of them.
+    """
     named = base.withColumn("paid_name", full_name(F.col("last_name"), F.col("first_name")))
-    results = campaign(declared, named, formulas, detail=["paid_name"])
+    carried = ["declared_id", *SCOPE, "staff_key", "name_key"]
+    identified = usable_id(F.col("staff_key"))
+    key, person = ["declared_id", "staff_key", "name_key"], [*SCOPE, "staff_key", "name_key"]
+    shared = declared.where(~identified)
+    people = shared.select(*person).distinct().withColumn("declared_id", F.to_json(F.struct(*person)))
+    alike = spellings(campaign(people, named, formulas, detail=["paid_name"]), institutions, person)
+    alike = alike.withColumnsRenamed({c: f"_{c}" for c in person})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in person])
+    unnamed = shared.select(*carried).join(alike, same)
+    by_name = unnamed.groupBy(*key, "full_name").agg(*merged(F.flatten(F.collect_list("regimes")), F.flatten(F.collect_list("institutions"))))
+    results = campaign(declared.where(identified), named, formulas, detail=["paid_name"])
+    by_id = spellings(results, institutions, key)
+    listed = [F.concat_ws(", ", F.array_sort(c)).alias(c) for c in ("regimes", "institutions")]
+    return by_id.unionByName(by_name).select(*key, "full_name", "status", *listed, "occurrences", "mass", "impact")
+
+
+def spellings(results: DataFrame, institutions: DataFrame, keys: list[str]) -> DataFrame:
+    """Status, paying regimes and institutions, payments and money per key and spelling of the paid name."""
     labelled = results.join(
         institutions.withColumnRenamed("institution_id", "paying_institution"), "paying_institution", "left"
     )
     not_paid = F.lit("NOT PAID")
-    return labelled.groupBy(
-        "declared_id", "staff_key", "name_key", F.coalesce("paid_name", "name_key").alias("full_name")
-    ).agg(
-        F.max("status").alias("status"),
-        joined_list(F.coalesce("paying_regime", not_paid)).alias("regimes"),
-        joined_list(F.coalesce("official_name", not_paid)).alias("institutions"),
-        F.max("occurrences").alias("occurrences"),
-        total(F.col("mass")).alias("mass"),
-        total(F.col("impact")).alias("impact"),
+    return labelled.groupBy(*keys, F.coalesce("paid_name", "name_key").alias("full_name")).agg(
+        *merged(F.collect_set(F.coalesce("paying_regime", not_paid)), F.collect_set(F.coalesce("official_name", not_paid)))
     )
 
 
+def merged(regimes: Column, institutions: Column) -> list[Column]:
+    """The figures of a spelling, from rows or from figures of some of them; lists are sets."""
+    return [
+        F.max("status").alias("status"), F.array_distinct(regimes).alias("regimes"),
+        F.array_distinct(institutions).alias("institutions"), F.max("occurrences").alias("occurrences"),
+        total(F.col("mass")).alias("mass"), total(F.col("impact")).alias("impact"),
+    ]
+
+
 def payment_lines(declared: DataFrame, base: DataFrame) -> DataFrame:
     """Every pair of a declaration and a payment it matches.
 

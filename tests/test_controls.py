@@ -234,3 +234,17 @@ def test_details_share_the_figures_of_their_key(spark):
     sums = [F.sum(c).alias(c) for c in ("payments", "mass", "outside_impact")]
     whole, parts = cp.paying_sources(base, "staff_key"), cp.paying_sources(base, "staff_key", [], ["section"])
     assert sorted(map(str, parts.groupBy(*keys).agg(*sums).collect())) == sorted(map(str, whole.groupBy(*keys).agg(*sums).collect()))
+
+
+def test_declarations_of_one_name_meet_its_sources_once(spark, monkeypatch):
+    """Many declarations without identifier share a name: the campaign sees the name once per scope."""
+    rows = [("", "Anonyme", i + 1) for i in range(12)]
+    base = reduce(lambda a, b: a.unionByName(b), [pay(spark, rows, f"E{i}", regime=f"R{i}") for i in range(5)])
+    seen, original = [], cp.campaign
+    monkeypatch.setattr(cp, "campaign", lambda *a, **k: seen.append(original(*a, **k)) or seen[-1])
+    names = spark.createDataFrame([], "institution_id string, official_name string")
+    many = declared(spark, [("NU", "Anonyme")] * 40 + [("A", "Other")]).withColumn("declared_id", F.concat(F.lit("D"), F.monotonically_increasing_id().cast("string")))
+    got = cp.unique_people(many, base, names).collect()
+    assert len(got) == 41 and sum(frame.count() for frame in seen) <= 6
+    paid = [r for r in got if r["mass"] > 0]
+    assert len(paid) == 40 and {(r["occurrences"], int(r["mass"]), r["regimes"]) for r in paid} == {(60, 390, "R0, R1, R2, R3, R4")}
