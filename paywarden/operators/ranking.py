@@ -176,10 +176,9 @@ def with_group_totals(
     )
     path = scratch_path(rows.sparkSession, "totals")
     summed.write.parquet(path)
-    known = rows.sparkSession.read.schema(summed.schema).parquet(path)
-    share = known.agg((F.sum("_n") / limit).alias("share"))
-    is_large = (F.col("_n") > floor) & (F.col("_n") > share.scalar())
-    large, small = (known.where(test).drop("_n") for test in (is_large, ~is_large))
+    known = lambda: rows.sparkSession.read.schema(summed.schema).parquet(path)
+    least = max(floor, (known().agg(F.sum("_n")).first()[0] or 0) / limit)
+    large, small = known().where(F.col("_n") > least).drop("_n"), known().where(F.col("_n") <= least).drop("_n")
     if large.isEmpty():
         return joined_on(rows, small, keys)
     few = joined_on(rows, F.broadcast(large), keys)
